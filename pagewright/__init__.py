@@ -1 +1,5 @@
 """Document analytics on Spark DataFrames."""
+
+from pagewright.session import ship_package
+
+ship_package()

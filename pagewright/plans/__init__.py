@@ -1 +1,10 @@
-"""Plans of the engine."""
+"""Registered queries of the engine, and the SQL that they are held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
