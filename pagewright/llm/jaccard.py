@@ -14,15 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.blocks import bitmap, cells, compare, hits, listed, slot, wanted
 from pagewright.llm.columns import gram_hashes, mix, signed, utf8, word_hashes, words
 from pagewright.session import durable
 
 N, THRESHOLD = 3, 0.7
-LONGEST = 4
+LONGEST = 8
 SLOT_BITS = 20
 HOT_GRAMS = 1 << 18
 FLUSH = 6 << 20
-BLOCK = 256
+POSTINGS_TOGETHER = 4_000_000
 _U = np.uint64
 
 
@@ -63,7 +64,8 @@ def choose(frequencies: np.ndarray, size: int, t: float) -> tuple[int, int]:
 
 
 def summarise(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: rows (doc_id, node, null) of texts with a word, and (null, gram, times) of grams that a part of the table holds more than once."""
+    """One pass: rows (doc_id, node, null) of texts with a word, (null, gram, times) of grams that a part of the table holds
+    more than once, and (0, null, times) of how many grams there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
@@ -71,10 +73,11 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
         def counted() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times > 1
-            return batch_of(pa.nulls(int(keep.sum()), pa.int64()), signed(grams[keep]), pa.array(times[keep].astype(np.int64)))
+            told = np.append(signed(grams[keep]), 0), np.append(times[keep], total).astype(np.int64)
+            return batch_of(pa.array([None] * int(keep.sum()) + [0], pa.int64()), pa.array(told[0], mask=np.arange(len(told[0])) == len(told[0]) - 1), pa.array(told[1]))
 
-        def batch_of(ids: pa.Array, keys: np.ndarray, times: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(keys), times], ["doc_id", "key", "times"])
+        def batch_of(ids: pa.Array, keys: pa.Array, times: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, keys, times], ["doc_id", "key", "times"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -83,7 +86,7 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
                 nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 some = np.array([len(s) > 0 for s in sets], bool)
                 ids = piece.column("doc_id").filter(pa.array(some))
-                yield batch_of(ids, nodes[some], pa.nulls(int(some.sum()), pa.int64()))
+                yield batch_of(ids, pa.array(nodes[some]), pa.nulls(int(some.sum()), pa.int64()))
                 for s, node in zip(sets, nodes.tolist()):
                     if len(s) and node not in seen:
                         seen.add(node)
@@ -98,11 +101,13 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, key bigint, times bigint")
 
 
-def hot_levels(grams: DataFrame) -> np.ndarray:
+def hot_levels(grams: DataFrame, all_grams: int) -> tuple[np.ndarray, float]:
     """log2 of the estimated frequency by slot (the top bits of a gram's hash); of a fixed size: only the most frequent grams,
-    down to a frequency that leaves at most HOT_GRAMS of them, count as more than 1. Postings are ordered by it; results don't depend on it."""
-    levels = durable(grams.groupBy("key").agg(F.sum("times").alias("times")).select(F.shiftrightunsigned("key", 64 - SLOT_BITS).cast("int").alias("slot"), F.floor(F.log2(F.col("times").cast("double"))).cast("int").alias("level")))
-    by_level = {r["level"]: r["n"] for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    down to a frequency that leaves at most HOT_GRAMS of them, have one. And the mean frequency of all others. Postings are ordered by
+    these estimates, and prefixes lengthened; results don't depend on them."""
+    levels = durable(grams.groupBy("key").agg(F.sum("times").alias("times")).select(F.shiftrightunsigned("key", 64 - SLOT_BITS).cast("int").alias("slot"), "times", F.floor(F.log2(F.col("times").cast("double"))).cast("int").alias("level")))
+    counts = levels.groupBy("level").agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect()
+    by_level = {r["level"]: r["n"] for r in counts}
     lowest, total = 64, 0
     while lowest > 1 and total + by_level.get(lowest - 1, 0) <= HOT_GRAMS:
         lowest -= 1
@@ -110,10 +115,10 @@ def hot_levels(grams: DataFrame) -> np.ndarray:
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in levels.where(F.col("level") >= lowest).groupBy("slot").agg(F.max("level").alias("level")).toLocalIterator():
         table[r["slot"]] = r["level"]
-    return table
+    return table, 1 + sum(r["times"] for r in counts if r["level"] < lowest) / all_grams
 
 
-def postings(docs: DataFrame, levels: np.ndarray, n: int, t: float) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float) -> DataFrame:
     """(gram, node, size, l) of the grams that each node posts."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -128,7 +133,7 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, t: float) -> DataFrame
                     seen.add(node)
                     level = table[(grams >> _U(64 - SLOT_BITS)).astype(np.int64)]
                     order = np.argsort(level, kind="stable")
-                    l, post = choose(np.exp2(level[order].astype(np.float64)), len(grams), t)
+                    l, post = choose(np.where(level[order] > 0, np.exp2(level[order].astype(np.float64)), cold), len(grams), t)
                     out.append((grams[order[:post]], node, len(grams), l))
                 if out:
                     count = [len(g) for g, _, _, _ in out]
@@ -139,8 +144,9 @@ def postings(docs: DataFrame, levels: np.ndarray, n: int, t: float) -> DataFrame
     return docs.select("text").where("text is not null and doc_id is not null").mapInArrow(run, "gram bigint, node bigint, size int, l int")
 
 
-def candidates(posted: DataFrame, t: float) -> DataFrame:
-    """(a, b): nodes, a < b, that share as many of their posted grams as they must."""
+def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
+    """(a, b): nodes, a < b, that share as many of their posted grams as they must. About ``rows`` postings are divided so that many are
+    together: a pair is told once for each part in which it shares grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -152,7 +158,7 @@ def candidates(posted: DataFrame, t: float) -> DataFrame:
             pairs, first, times = np.unique(index[: len(a)].astype(np.int64) * len(nodes) + index[len(a) :], return_index=True, return_counts=True)
             for k in range(0, len(pairs), 200_000):
                 p = pairs[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[p // len(nodes)]), pa.array(nodes[p % len(nodes)]), pa.array(times[k : k + 200_000]), pa.array(need[first[k : k + 200_000]])], ["a", "b", "times", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[p // len(nodes)]), pa.array(nodes[p % len(nodes)]), pa.array(times[k : k + 200_000].astype(np.int32)), pa.array(need[first[k : k + 200_000]])], ["a", "b", "times", "need"])
 
         def matches(gram: np.ndarray, node: np.ndarray, size: np.ndarray, l: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
             edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
@@ -201,85 +207,50 @@ def candidates(posted: DataFrame, t: float) -> DataFrame:
         if held:
             yield from counted()
 
-    found = posted.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, times bigint, need int")
+    parts = max(posted.sparkSession.sparkContext.defaultParallelism, int(np.ceil(rows / POSTINGS_TOGETHER)))
+    found = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, times int, need int")
     return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return both / (len(x) + len(y) - both)
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of at least t, from the sets themselves. Each pair goes to a block of the nodes that share its
-    first node's least partner, so that a set is sent once for many pairs; ``nodes``: (node, rep), a document of each."""
-    both = pairs.union(pairs.select("b", "a"))
-    hubs = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("least")).select("x", F.least("x", "least").alias("hub"))
-    placed = pairs.join(hubs, pairs["a"] == hubs["x"]).select("hub", "a", "b")
-    members = placed.select("hub", F.col("a").alias("x")).union(placed.select("hub", "b")).groupBy("hub").agg(F.approx_count_distinct("x").alias("members"))
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK))
-    cell = durable(placed.join(members, "hub").select("hub", F.pmod("a", blocks).alias("p"), F.pmod("b", blocks).alias("q"), "a", "b"))
-    wanted = cell.select("hub", "p", "q", F.col("a").alias("node")).union(cell.select("hub", "p", "q", "b")).distinct()
-    reps = durable(wanted.select("node").distinct().join(nodes, "node"))
-
-    # A bitmap of fixed size says which documents to look at; what it lets through by chance finds no partner in the join.
-    bits = 23
-    slot = F.shiftrightunsigned(F.xxhash64("rep"), 64 - bits)
-    slots = reps.select(slot.alias("slot"))
-    filled = slots.groupBy(F.expr("cast(shiftright(slot, 6) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("v")).collect()
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    for r in filled:
-        bitmap[r["w"]] = r["v"]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    """(a, b, jaccard) of the pairs of at least t, from the sets themselves; ``nodes``: (node, rep), a document of each."""
+    cell = cells(pairs)
+    reps = durable(wanted(cell).select("node").distinct().join(nodes, "node"))
+
+    # Only documents in the bitmap are looked at; what it lets through by chance finds no partner.
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(reps, "rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.view(_U)
         for batch in batches:
-            s = batch.column("slot").to_numpy()
-            hit = (table[s >> 6] >> (s & 63).astype(_U)) & _U(1)
-            piece = batch.filter(pa.array(hit.astype(bool)))
+            piece = batch.filter(hits(shared.value, batch.column("slot")))
             for at in range(0, piece.num_rows, 1000):
-                part = piece.slice(at, 1000)
-                grams = gram_sets(part.column("text"), n)
+                grams = gram_sets(piece.column("text").slice(at, 1000), n)
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-                values = pa.array(signed(np.concatenate(grams))) if grams else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([node_of(g) for g in grams], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["rep", "node", "grams"])
-
-    texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("rep"), "text").withColumn("slot", slot)
-    known = reps.join(texts.mapInArrow(sets, "rep bigint, node bigint, grams array<bigint>"), ["rep", "node"]).dropDuplicates(["node"]).select("node", "grams")
-    rows = wanted.join(known, "node").select("hub", "p", "q", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), "grams")
-    rows = rows.unionByName(cell.select("hub", "p", "q", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<bigint>").alias("grams")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, group = {}, None
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
-            lists = batch.column("grams")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(_U)
-            out = []
-            for i, (hub, p, q, kind, a, b) in enumerate(keys):
-                if (hub, p, q) != group:
-                    here, group = {}, (hub, p, q)
-                if kind == 0:
-                    here[a] = values[offsets[i] : offsets[i + 1]].copy()
-                    continue
-                x, y = here[a], here[b]
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                j = both / (len(x) + len(y) - both)
-                if j >= t - 1e-9:
-                    out.append((a, b, j))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["a", "b", "jaccard"])
+                values = pa.array(np.concatenate([np.sort(signed(g)) for g in grams]))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in grams], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "payload"])
 
-    return rows.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", "kind").mapInArrow(compare, "a bigint, b bigint, jaccard double")
+    texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("rep"), "text").select(slot("rep").alias("slot"), "text")
+    return compare(cell, texts.mapInArrow(sets, "node bigint, payload array<bigint>"), overlap, t, "jaccard")
 
 
 def similar_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of the documents, and (a, b, jaccard) of the pairs of nodes."""
     summary = durable(summarise(docs, n))
-    ids = summary.where("doc_id is not null").select("doc_id", F.col("key").alias("node")).distinct()
-    levels = hot_levels(summary.where("doc_id is null"))
+    ids = summary.where("doc_id is not null and key is not null").select("doc_id", F.col("key").alias("node")).distinct()
+    grams = summary.where("key is null").agg(F.sum("times")).first()[0] or 1
+    levels, cold = hot_levels(summary.where("doc_id is null"), grams)
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    pairs = durable(candidates(postings(docs, levels, n, t), t))
+    pairs = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t)))
     return ids, durable(verified(docs, nodes, pairs, n, t))
 
 
@@ -293,11 +264,7 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """
     ids, pairs = similar_nodes(docs, n, t)
     lists = durable(ids.groupBy("node").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")))
-    equal = lists.where(F.size("ids") > 1).select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
-    a, b = lists.select(F.col("node").alias("a"), F.col("ids").alias("ia")), lists.select(F.col("node").alias("b"), F.col("ids").alias("ib"))
-    near = pairs.join(a, "a").join(b, "b").where(F.size(F.array_union("ia", "ib")) > 1)
-    swap = (F.col("ia")[0] > F.col("ib")[0]) | ((F.col("ia")[0] == F.col("ib")[0]) & (F.col("ia") > F.col("ib")))
-    return equal.unionByName(near.select(F.when(swap, F.col("ib")).otherwise(F.col("ia")).alias("ids_a"), F.when(swap, F.col("ia")).otherwise(F.col("ib")).alias("ids_b"), F.round("jaccard", 6).alias("jaccard")))
+    return listed(lists, pairs.withColumn("jaccard", F.round("jaccard", 6)), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
