@@ -56,19 +56,27 @@ def hits(table: np.ndarray, slots: pa.Array) -> pa.Array:
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(edges, columns) of rows ordered by their first column, a batch at a time: edges[k] : edges[k + 1] is one whole group of equal keys."""
-    rest: list[np.ndarray] | None = None
+    open_: list[list[np.ndarray]] = []  # pieces of the group that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns)]
         edges = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-        rest = [c[edges[-1] :] for c in columns]
+        if open_ and open_[0][0][0] != columns[0][0]:
+            held = [np.concatenate(x) for x in zip(*open_)]
+            yield np.array([0, len(held[0])]), held
+            open_ = []
         if len(edges) > 1:
+            if open_:
+                columns = [np.concatenate(x) for x in zip(*open_, columns)]
+                edges = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
             yield edges, columns
-    if rest is not None:
-        yield np.array([0, len(rest[0])]), rest
+            open_ = [[c[edges[-1] :] for c in columns]]
+        else:
+            open_.append(columns)
+    if open_:
+        held = [np.concatenate(x) for x in zip(*open_)]
+        yield np.array([0, len(held[0])]), held
 
 
 def compare(cell: DataFrame, payloads: DataFrame, measure: Callable[[np.ndarray, np.ndarray], float], least: float, name: str) -> DataFrame:

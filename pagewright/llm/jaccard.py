@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import bitmap, cells, compare, hits, listed, slot, wanted
+from pagewright.llm.blocks import bitmap, cells, compare, grouped, hits, listed, slot, wanted
 from pagewright.llm.columns import gram_hashes, mix, signed, utf8, word_hashes, words
 from pagewright.session import durable
 
@@ -22,7 +22,7 @@ N, THRESHOLD = 3, 0.7
 LONGEST = 8
 SLOT_BITS = 20
 HOT_GRAMS = 1 << 18
-FLUSH = 6 << 20
+FLUSH = 2 << 20
 POSTINGS_TOGETHER = 4_000_000
 _U = np.uint64
 
@@ -92,7 +92,7 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
                         seen.add(node)
                         held.append(s)
                         total += len(s)
-                if total > FLUSH:
+                if total > 3 * FLUSH:
                     yield counted()
                     held, total = [], 0
         if held:
@@ -149,63 +149,61 @@ def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
     together: a pair is told once for each part in which it shares grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        number: dict[int, int] = {}  # nodes by the order in which they are met
+        ls: list[int] = []
+        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int32)  # pairs of numbers, and the grams they share so far
+        held: list[np.ndarray] = []
         total = 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            a, b, need = (np.concatenate(x) for x in zip(*held))
-            nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-            pairs, first, times = np.unique(index[: len(a)].astype(np.int64) * len(nodes) + index[len(a) :], return_index=True, return_counts=True)
-            for k in range(0, len(pairs), 200_000):
-                p = pairs[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[p // len(nodes)]), pa.array(nodes[p % len(nodes)]), pa.array(times[k : k + 200_000].astype(np.int32)), pa.array(need[first[k : k + 200_000]])], ["a", "b", "times", "need"])
-
-        def matches(gram: np.ndarray, node: np.ndarray, size: np.ndarray, l: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-            edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
-            for s in np.flatnonzero(np.diff(edge) > 1):
-                x, y = edge[s], edge[s + 1]
+        def told() -> Iterator[pa.RecordBatch]:
+            nodes, need = np.fromiter(number, np.int64, len(number)), np.array(ls, np.int32)
+            for k in range(0, len(keys), 200_000):
+                i, j = nodes[x := keys[k : k + 200_000] >> 32], nodes[y := keys[k : k + 200_000] & 0xFFFFFFFF]
+                columns = np.minimum(i, j), np.maximum(i, j), times[k : k + 200_000], np.minimum(need[x], need[y])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "times", "need"])
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            both = np.concatenate([keys, *held])
+            order = np.argsort(both)
+            both = both[order]
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            count = np.concatenate([times, np.ones(len(both) - len(times), np.int32)])
+            return both[first], np.add.reduceat(count[order], first, dtype=np.int32)
+
+        for edges, (gram, node, size, l) in grouped(batches):
+            for s in np.flatnonzero(np.diff(edges) > 1):
+                x, y = edges[s], edges[s + 1]
                 ids, first = np.unique(node[x:y], return_index=True)
                 if len(ids) < 2:
                     continue
-                z, m = size[x:y][first], l[x:y][first]
+                z = size[x:y][first]
+                own = []
+                for i, m in zip(ids.tolist(), l[x:y][first].tolist()):
+                    if (k := number.setdefault(i, len(number))) == len(ls):
+                        ls.append(m)
+                    own.append(k)
                 # By growing size, each with those of at most 1 / t of its size.
                 order = np.argsort(z, kind="stable")
-                ids, z, m = ids[order], z[order], m[order]
-                upto = np.searchsorted(z, z / t + 1e-9, "right")
-                count = upto - np.arange(len(z)) - 1
+                z, own = z[order], np.array(own, np.int64)[order]
+                count = np.searchsorted(z, z / t + 1e-9, "right") - np.arange(len(z)) - 1
                 at = 0
                 while at < len(z):
-                    to = at + max(1, int(np.searchsorted(np.cumsum(count[at:]), FLUSH // 4, "right")))
-                    i = np.repeat(np.arange(at, min(to, len(z))), count[at:to])
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
-                    yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.minimum(m[i], m[j])
+                    to = at + max(1, int(np.searchsorted(np.cumsum(count[at:]), FLUSH, "right")))
+                    c = count[at:to]
+                    i = np.repeat(np.arange(at, at + len(c)), c)
+                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                    held.append((np.minimum(own[i], own[j]) << 32) | np.maximum(own[i], own[j]))
+                    total += len(i)
                     at = to
-
-        rest: list[np.ndarray] | None = None
-        last = False
-        stream = iter(batches)
-        while not last:
-            batch = next(stream, None)
-            last = batch is None
-            if last:
-                if rest is None:
-                    break
-                columns, upto = rest, len(rest[0])
-            else:
-                columns = [batch.column(k).to_numpy() for k in range(4)]
-                if rest is not None:
-                    columns = [np.concatenate(x) for x in zip(rest, columns)]
-                upto = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-                rest = [c[upto:] for c in columns]
-            if upto:
-                for part in matches(*(c[:upto] for c in columns)):
-                    held.append(part)
-                    total += len(part[0])
                     if total > FLUSH:
-                        yield from counted()
+                        keys, times = summed()
                         held, total = [], 0
+                        if len(keys) > 2 * FLUSH:
+                            yield from told()
+                            keys, times = keys[:0], times[:0]
         if held:
-            yield from counted()
+            keys, times = summed()
+        yield from told()
 
     parts = max(posted.sparkSession.sparkContext.defaultParallelism, int(np.ceil(rows / POSTINGS_TOGETHER)))
     found = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, times int, need int")
