@@ -490,7 +490,7 @@ def redact(docs: DataFrame, model: Tagger | None = None, column: str = "text") -
                 columns = [pa.array(new, piece.schema.field(c).type) if c == column else piece.column(c) for c in rest]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(told, arrow_spans)], [*rest, "pii_spans"])
 
-    return docs.mapInArrow(run, docs.schema.add("pii_spans", SPANS))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pii_spans", SPANS)]))
 
 
 def anonymise(docs: DataFrame, model: Tagger | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import jaccard, mixing, packing, pii, quality
-from pagewright.session import table
+from pagewright.llm import jaccard, licenses, lm, media, mixing, packing, pii, quality, suffixes, vectors
+from pagewright.session import shared_folder, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of embeddings of cosine 0.97 or more, as lists of vectors that are equal."""
+    return vectors.join(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the mixture keeps, with the first tier of each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_tokens", "mix_tier")
@@ -31,16 +38,62 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stretches covered by passages of 50 words or more that stand in several documents."""
+    return suffixes.passages(table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as members of archives in the shared folder and read again by the archive source."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    media.write(pages.select(F.concat("page_id", F.lit(".html")).alias("member"), F.col("html").alias("payload")), folder)
+    found = media.columns(media.scan(spark, folder))
+    return found.select(F.regexp_extract("member", "^(.*)[.]html$", 1).cast("bigint").alias("page_id"), "media_type", "n_bytes", "md5", "error")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_mixing, op4_quality, op5_ngram_jaccard, op8_packing)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All licence notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the trigram model of all documents."""
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_mixing, op4_quality, op5_ngram_jaccard, op6_suffix_dedup, op7_media_columns, op8_packing, op9_license_scan, op10_lm_scoring)}
 
 _BLANK = r"' \t\n\r\f\v'".replace("'", "")
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+n AS (SELECT list_sort(list(DISTINCT vec_id)) AS ids, e, sqrt(list_dot_product(e, e)) AS r FROM v GROUP BY e),
+p AS (SELECT a.ids AS ids_a, b.ids AS ids_b, list_dot_product(a.e, b.e) / (a.r * b.r) AS c FROM n a JOIN n b ON a.ids < b.ids)
+SELECT ids_a, ids_b, round(c, 3) AS cosine FROM p WHERE c >= 0.97 - 1e-9
+UNION ALL SELECT ids, ids, CAST(1 AS DOUBLE) FROM n WHERE len(ids) > 1""",
+    "op6_suffix_dedup": r"""
+WITH p AS (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\v]') AS p FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+q AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM p),
+r AS (SELECT doc_id, w, k, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(w) - 1 AS INTEGER) AS a FROM q),
+t AS (SELECT doc_id, w, a, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM r WHERE w <> ''),
+d AS (SELECT doc_id, list(w ORDER BY i) AS w, list(a ORDER BY i) AS a FROM t GROUP BY doc_id),
+e AS (SELECT doc_id, w, a, unnest(generate_series(0, len(w) - 50)) AS i FROM d WHERE len(w) >= 50),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 50], ' ') AS g, a[i + 1] AS s, CAST(a[i + 50] + length(w[i + 50]) AS INTEGER) AS z FROM e),
+h AS (SELECT g, min(doc_id) AS f FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT doc_id, i, s, z, f, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM g JOIN h USING (g)),
+n AS (SELECT *, count_if(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS first_word, CAST(max(i) + 50 - min(i) AS INTEGER) AS n_words, min(s) AS start, max(z) AS "end", arg_min(f, i) AS first_doc
+FROM n GROUP BY doc_id, part""",
+    "op7_media_columns": """
+SELECT page_id, 'text/html' AS media_type, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS md5, CAST(NULL AS VARCHAR) AS error FROM pages
+WHERE page_id IS NOT NULL AND html IS NOT NULL""",
     "op3_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+')) AS BIGINT) AS mix_tokens,

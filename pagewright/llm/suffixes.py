@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagewright.llm.blocks import bitmap, grouped, hits, slot
 from pagewright.llm.columns import characters, long_gram_hashes, signed, utf8, word_hashes, words
@@ -65,17 +66,15 @@ def tied(rows: DataFrame, key: str, extra: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for edges, columns in grouped(batches):
-            ids = columns[1]
-            low, high = np.minimum.reduceat(ids, edges[edges < len(ids)]), np.maximum.reduceat(ids, edges[edges < len(ids)])
-            size = np.diff(np.append(edges[edges < len(ids)], len(ids)))
-            last = len(edges) - 1  # the last group of a batch isn't whole yet, but for the one that ends all
-            whole = np.arange(len(size)) < last
-            keep = np.repeat((low < high) & whole, size)
+            columns = [c[: edges[-1]] for c in columns]
+            size = np.diff(edges)
+            low, high = np.minimum.reduceat(columns[1], edges[:-1]), np.maximum.reduceat(columns[1], edges[:-1])
+            keep = np.repeat(low < high, size)
             if keep.any():
-                columns = [*columns, np.repeat(low, size)]
+                columns.append(np.repeat(low, size))
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], [*names, "first_doc"])
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema.add("first_doc", "bigint"))
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, StructType([*rows.schema.fields, StructField("first_doc", LongType())]))
 
 
 def suffixes(docs: DataFrame, spots: DataFrame, least: int) -> DataFrame:
