@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +34,25 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
+def cuts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of successive rows whose texts have about ``size`` bytes, one row at least: what is worked on at a time."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(upto):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield at, to - at
+        at = to
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
