@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.blocks import bitmap, cells, compare, grouped, hits, listed, slot, wanted
-from pagewright.llm.columns import gram_hashes, mix, signed, utf8, word_hashes, words
+from pagewright.llm.columns import cuts, gram_hashes, mix, release, signed, utf8, word_hashes, words
 from pagewright.session import durable
 
 N, THRESHOLD = 3, 0.7
 LONGEST = 8
 SLOT_BITS = 20
 HOT_GRAMS = 1 << 18
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 POSTINGS_TOGETHER = 4_000_000
 _U = np.uint64
 
@@ -80,8 +80,8 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([ids, keys, times], ["doc_id", "key", "times"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
+            for at, rows in cuts(batch.column("text")):
+                piece = batch.slice(at, rows)
                 sets = gram_sets(piece.column("text"), n)
                 nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 some = np.array([len(s) > 0 for s in sets], bool)
@@ -92,11 +92,12 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
                         seen.add(node)
                         held.append(s)
                         total += len(s)
-                if total > 3 * FLUSH:
+                if total > 2 * FLUSH:
                     yield counted()
                     held, total = [], 0
         if held:
             yield counted()
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, key bigint, times bigint")
 
@@ -125,9 +126,9 @@ def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
+            for at, rows in cuts(batch.column("text")):
                 out = []
-                for grams in gram_sets(batch.column("text").slice(at, 2000), n):
+                for grams in gram_sets(batch.column("text").slice(at, rows), n):
                     if not len(grams) or (node := node_of(grams)) in seen:
                         continue
                     seen.add(node)
@@ -140,6 +141,7 @@ def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float)
                     columns = [signed(np.concatenate([g for g, _, _, _ in out]))] + [np.repeat(np.array([o[k] for o in out], kind), count) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32))]
                     for a in range(0, len(columns[0]), 200_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in columns], ["gram", "node", "size", "l"])
+        release()
 
     return docs.select("text").where("text is not null and doc_id is not null").mapInArrow(run, "gram bigint, node bigint, size int, l int")
 
@@ -204,6 +206,7 @@ def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
         if held:
             keys, times = summed()
         yield from told()
+        release()
 
     parts = max(posted.sparkSession.sparkContext.defaultParallelism, int(np.ceil(rows / POSTINGS_TOGETHER)))
     found = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, times int, need int")
@@ -231,8 +234,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: flo
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             piece = batch.filter(hits(shared.value, batch.column("slot")))
-            for at in range(0, piece.num_rows, 1000):
-                grams = gram_sets(piece.column("text").slice(at, 1000), n)
+            for at, rows in cuts(piece.column("text")):
+                grams = gram_sets(piece.column("text").slice(at, rows), n)
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
                 values = pa.array(np.concatenate([np.sort(signed(g)) for g in grams]))
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in grams], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "payload"])

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.blocks import grouped
-from pagewright.llm.columns import signed, utf8, word_hashes, words
+from pagewright.llm.columns import cuts, signed, utf8, word_hashes, words
 from pagewright.llm.eliasfano import EliasFano
 from pagewright.session import shared_folder
 
 MIN_WORD, MIN_GRAM = 5, 2
 SHARD_BYTES = 16 << 20
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 STEP = 1 / 2000
 _U = np.uint64
 
@@ -233,8 +233,8 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                data, offsets = utf8(batch.column(0).slice(k, 2000))
+            for k, rows in cuts(batch.column(0)):
+                data, offsets = utf8(batch.column(0).slice(k, rows))
                 starts, ends, _ = words(data, offsets)
                 h = word_hashes(data, starts, ends)
                 held.append(((h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32), h))
@@ -268,8 +268,8 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                piece = batch.slice(k, 2000)
+            for k, rows in cuts(batch.column("text")):
+                piece = batch.slice(k, rows)
                 data, offsets = utf8(piece.column("text"))
                 starts, ends, first = words(data, offsets)
                 ids = trie.numbers(word_hashes(data, starts, ends)).astype(np.int32)
@@ -282,8 +282,8 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, total = [], 0
             for batch in batches:
-                for k in range(0, batch.num_rows, 2000):
-                    ids, start = flat(batch.column(batch.num_columns - 1).slice(k, 2000))
+                for k in range(0, batch.num_rows, 500):
+                    ids, start = flat(batch.column(batch.num_columns - 1).slice(k, 500))
                     if len(ids) < level:
                         continue
                     shard = trie.shard_of(ids)
@@ -340,8 +340,8 @@ def score(trie: Trie, numbered: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                piece = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, 500):
+                piece = batch.slice(k, 500)
                 ids, start = flat(piece.column("ids"))
                 total = np.concatenate([[0.0], np.cumsum(np.log(trie.probabilities(ids, start)))])
                 where = piece.column("ids").offsets.to_numpy()

@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pagewright.llm.blocks import bitmap, grouped, hits, slot
-from pagewright.llm.columns import characters, long_gram_hashes, signed, utf8, word_hashes, words
+from pagewright.llm.columns import characters, cuts, long_gram_hashes, signed, utf8, word_hashes, words
 from pagewright.session import durable
 
 LEAST = 50
 #: Difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-PIECE = 1000
 
 
 def period_for(least: int) -> int:
@@ -41,8 +40,8 @@ def samples(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, PIECE):
-                piece = batch.slice(k, PIECE)
+            for k, rows in cuts(batch.column("text")):
+                piece = batch.slice(k, rows)
                 data, offsets = utf8(piece.column("text"))
                 starts, ends, first = words(data, offsets)
                 prints = long_gram_hashes(word_hashes(data, starts, ends), size)
@@ -90,8 +89,8 @@ def suffixes(docs: DataFrame, spots: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, PIECE):
-                piece = batch.slice(k, PIECE)
+            for k, rows in cuts(batch.column("text")):
+                piece = batch.slice(k, rows)
                 data, offsets = utf8(piece.column("text"))
                 starts, ends, first = words(data, offsets)
                 chars = characters(data)
