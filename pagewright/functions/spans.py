@@ -57,12 +57,14 @@ def ordered(spans: Column) -> Column:
     return F.array_sort(spans)
 
 
-def accumulated(spans: Column, text: Column, ignore: str = " ") -> Column:
-    """Spans merged where they overlap or only ignorable characters are between them."""
+def accumulated(spans: Column, text: Column | None, ignore: str = " ") -> Column:
+    """Spans merged where they overlap or touch, or, given their text, only ignorable characters are between them."""
 
     def step(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
-        joins = (s["start"] <= last["end"]) | (F.trim(between(text, last["end"], s["start"]), F.lit(ignore)) == "")
+        joins = s["start"] <= last["end"]
+        if text is not None:
+            joins = joins | (F.trim(between(text, last["end"], s["start"]), F.lit(ignore)) == "")
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last["start"], F.greatest(last["end"], s["end"]))))
         return F.when(F.size(acc) == 0, F.array(s)).when(joins, grown).otherwise(F.concat(acc, F.array(s)))
 
@@ -125,9 +127,9 @@ def word_spans(text: Column) -> Column:
     return F.aggregate(words, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), lambda a, w: F.struct((a["at"] + F.length(w) + 1).alias("at"), F.concat(a["out"], F.array(span(a["at"], a["at"] + F.length(w)))).alias("out")), lambda a: a["out"])
 
 
-def measures(spans: Column, text: Column) -> Column:
+def measures(spans: Column) -> Column:
     """struct<min_start, max_end, span_len, sum_span_len, sum_match_len, sum_gap>: extent, added lengths, covered characters, and gaps between covered stretches."""
-    covered = accumulated(spans, F.lit(""), "")
+    covered = accumulated(spans, None)
     total = lambda xs: F.aggregate(F.transform(xs, lambda s: s["end"] - s["start"]), F.lit(0), lambda a, x: a + x)
     low, high = F.array_min(F.transform(spans, lambda s: s["start"])), F.array_max(F.transform(spans, lambda s: s["end"]))
     return F.struct(low.alias("min_start"), high.alias("max_end"), (high - low).alias("span_len"), total(spans).alias("sum_span_len"), total(covered).alias("sum_match_len"), (high - low - total(covered)).alias("sum_gap"))

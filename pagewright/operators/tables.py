@@ -74,13 +74,15 @@ def cells_by_polygon(words: DataFrame, cells: list[tuple[int, int, list[tuple[fl
     """Each word in the first (row, column) of convex cells that covers more than ``share`` of its box. The cells are a table's grid, known to all tasks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ordered = sorted(cells, key=lambda c: c[:2])
+        ordered = [(*c, min(x for x, _ in c[2]), max(x for x, _ in c[2]), min(y for _, y in c[2]), max(y for _, y in c[2])) for c in sorted(cells, key=lambda c: c[:2])]
         for frame in frames:
             out = []
             for d, p, w, x0, y0, x1, y1 in frame[["doc_id", "page_idx", "word_idx", "xmin", "ymin", "xmax", "ymax"]].itertuples(index=False):
                 box = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
                 whole = (x1 - x0) * (y1 - y0)
-                for r, c, polygon in ordered:
+                for r, c, polygon, left, right, top, bottom in ordered:
+                    if x1 <= left or x0 >= right or y1 <= top or y0 >= bottom:
+                        continue
                     if whole and clipped_area(box, polygon) / whole > share:
                         out.append((d, p, w, r, c))
                         break

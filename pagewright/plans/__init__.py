@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pagewright.plans import layout_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**layout_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**layout_queries.ORACLES, **text_queries.ORACLES}

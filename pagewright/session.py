@@ -23,12 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
+    safe_unions(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Spark 4.1 can take a union of parts that are partitioned alike for partitioned itself, and then lose rows of a group; that is turned off."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    safe_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

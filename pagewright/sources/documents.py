@@ -14,8 +14,9 @@ from pagewright.operators.layout import PAGE
 DOCUMENT = """pdf_name STRING, pdf_path STRING, pipe_names ARRAY<STRING>,
  pages ARRAY<STRUCT<page_idx INT, width INT, height INT, words ARRAY<STRUCT<word_idx INT, text STRING, orig_text STRING, break_type INT, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE>>>>"""
 VERTEX = "ARRAY<STRUCT<x DOUBLE, y DOUBLE>>"
-RESPONSE = f"""responses ARRAY<STRUCT<fullTextAnnotation STRUCT<pages ARRAY<STRUCT<width INT, height INT, blocks ARRAY<STRUCT<paragraphs ARRAY<STRUCT<words ARRAY<STRUCT<
- boundingBox STRUCT<normalizedVertices {VERTEX}>, symbols ARRAY<STRUCT<text STRING, property STRUCT<detectedBreak STRUCT<type STRING>>>>>>>>>>>>>>>>"""
+_WORD = f"STRUCT<boundingBox: STRUCT<normalizedVertices: {VERTEX}>, symbols: ARRAY<STRUCT<text: STRING, property: STRUCT<detectedBreak: STRUCT<type: STRING>>>>>"
+_BLOCK = f"STRUCT<paragraphs: ARRAY<STRUCT<words: ARRAY<{_WORD}>>>>"
+RESPONSE = f"STRUCT<responses: ARRAY<STRUCT<fullTextAnnotation: STRUCT<pages: ARRAY<STRUCT<width: INT, height: INT, blocks: ARRAY<{_BLOCK}>>>>>>>"
 BREAKS = {"SPACE": 1, "SURE_SPACE": 2, "EOL_SURE_SPACE": 3, "HYPHEN": 4, "LINE_BREAK": 5}
 
 
