@@ -89,7 +89,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_wei
     slim = durable(docs.select(F.col("source").alias("_source"), hash60(F.col("doc_id"), seed).alias("_hash"), tokens(F.col("text")).alias("_tokens")))
     found = thresholds(slim, weights, default_weight, share, tiers)
     wide = found.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_tier", "_threshold"))).alias("_bounds"))
-    marked = docs.select(rest).withColumn("_hash", hash60(F.col("doc_id"), seed)).join(wide, F.col("source").eqNullSafe(F.col("_source")))
-    marked = marked.where(F.col("_hash") < F.element_at("_bounds", -1)["_threshold"])
+    # The row travels as one value, so that no name of its columns can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col("source").alias("_own"), hash60(F.col("doc_id"), seed).alias("_hash"))
+    marked = packed.join(wide, F.col("_own").eqNullSafe(F.col("_source"))).where(F.col("_hash") < F.element_at("_bounds", -1)["_threshold"])
     inside = F.filter("_bounds", lambda b: F.col("_hash") < b["_threshold"])
-    return marked.select(*rest, tokens(F.col("text")).alias("mix_tokens"), F.array_min(F.transform(inside, lambda b: b["_tier"])).alias("mix_tier"))
+    tiered = marked.select("_row", F.array_min(F.transform(inside, lambda b: b["_tier"])).alias("_first"))
+    row = F.col("_row")
+    return tiered.select(*[row[c].alias(c) for c in rest], tokens(row["text"]).alias("mix_tokens"), F.col("_first").alias("mix_tier"))
