@@ -83,7 +83,7 @@ class Members(DataSourceReader):
         try:
             with system.open_input_file(path) as file:
                 members = zipfile.ZipFile(file).infolist()
-        except (OSError, zipfile.BadZipFile) as e:
+        except (OSError, ValueError, zipfile.BadZipFile) as e:
             if part.low == 0:
                 yield pa.RecordBatch.from_pylist([row(None, None, None, None, 1, f"{type(e).__name__}: {e}"[:500])], _ARROW)
             return
