@@ -18,7 +18,7 @@ from pagewright.llm.blocks import bitmap, cells, compare, grouped, hits, listed,
 from pagewright.llm.columns import cuts, gram_hashes, mix, release, signed, utf8, word_hashes, words
 from pagewright.session import durable
 
-N, THRESHOLD = 3, 0.7
+N, THRESHOLD = 3, 0.6
 LONGEST = 8
 SLOT_BITS = 20
 HOT_GRAMS = 1 << 18

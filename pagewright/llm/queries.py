@@ -34,7 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents with Jaccard similarity of at least 0.7 of their word trigrams, as lists of documents with equal sets."""
+    """All pairs of documents with Jaccard similarity of at least 0.6 of their word trigrams, as lists of documents with equal sets."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
@@ -111,6 +111,6 @@ s AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, g
 n AS (SELECT list_sort(list(DISTINCT doc_id)) AS ids, s, len(s) AS n FROM s GROUP BY s),
 p AS (SELECT ids, n, unnest(s) AS g FROM n),
 o AS (SELECT a.ids AS ids_a, b.ids AS ids_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.ids < b.ids GROUP BY a.ids, b.ids)
-SELECT ids_a, ids_b, round(c / (na + nb - c), 6) AS jaccard FROM o WHERE c / (na + nb - c) >= 0.7 - 1e-9
+SELECT ids_a, ids_b, round(c / (na + nb - c), 6) AS jaccard FROM o WHERE c / (na + nb - c) >= 0.6 - 1e-9
 UNION ALL SELECT ids, ids, CAST(1 AS DOUBLE) FROM n WHERE len(ids) > 1""",
 }

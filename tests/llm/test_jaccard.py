@@ -92,7 +92,7 @@ def groups(rows, n, t):
 def test_one_of_each(make):
     rows = [r for r in corpus(4) if r != (6, "another text of this id")]
     kept = jaccard.one_of_each(make(rows))
-    root = groups(rows, 3, 0.7)
+    root = groups(rows, 3, jaccard.THRESHOLD)
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert got == sorted({(i, t) for i, t in rows if i is None or root[i] == i}, key=repr)
     assert kept.columns == make(rows).columns
