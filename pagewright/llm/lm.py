@@ -1,7 +1,8 @@
 """Language-model scoring: an n-gram trie of Elias-Fano levels, counted over the whole corpus.
 
-Words are numbered by the order of their hashes. A node is a number relative to its context: level 2 holds context * V + word for the bigrams
-that stay, level 3 the same with the bigram's own number as context; both rise, as do the pointers to a node's first child. Next to
+Words are numbered by the order of their hashes, so that a context's successors lie evenly among the numbers. A node is kept relative to its context: with
+n successors from place p on, the word w is held as p + w n / V, in fixed point; so nodes rise and lie evenly over the level, as Elias-Fano
+sequences like it, and a search looks at one or two of them. The pointers p rise too. Next to
 them lie 16-bit codes of the smoothed probability's own part and of what a context leaves to the shorter one. The trie is split by the first word
 into shards, each a file per level in the shared folder, memory-mapped by the tasks that score.
 
@@ -22,14 +23,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import grouped
-from pagewright.llm.columns import cuts, signed, utf8, word_hashes, words
+from pagewright.llm.columns import cuts, release, signed, utf8, word_hashes, words
 from pagewright.llm.eliasfano import EliasFano
 from pagewright.session import shared_folder
 
 MIN_WORD, MIN_GRAM = 5, 2
-SHARD_BYTES = 16 << 20
-FLUSH = 2 << 20
+SHARD_BYTES = 32 << 20
+PIECE = 200_000
+FLUSH = 3 << 20
+DECODED_POINTERS = 1 << 22
 STEP = 1 / 2000
 _U = np.uint64
 
@@ -89,6 +91,7 @@ class Trie:
     offsets: list[int]  # of the words' numbers by shard, and their total
     tokens: int
     unknown: float
+    nodes: list[int]  # offsets of the bigrams' numbers by shard; empty before they are counted
 
     @property
     def size(self) -> int:
@@ -102,6 +105,10 @@ class Trie:
             try:
                 f = load(path)
                 f["nodes"] = sequence_of(f, "nodes")
+                if level > 1:
+                    f["pointers"] = sequence_of(f, "pointers")
+                    if f["pointers"].n <= DECODED_POINTERS:
+                        f["plain"] = f["pointers"].get(np.arange(f["pointers"].n)).astype(np.int64)
             except FileNotFoundError:
                 f = None
             cache[level, shard] = f
@@ -111,14 +118,29 @@ class Trie:
         return {k: v for k, v in self.__dict__.items() if k != "_files"}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The words' numbers; -1 of unknown ones."""
-        shard = (hashes >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        out = np.full(len(hashes), -1, np.int64)
-        rest = hashes & _U((1 << (64 - self.bits)) - 1)
-        for s, where in self._by_shard(shard):
-            if f := self.file(1, s):
+        """The words' numbers; -1 of unknown ones. Each distinct word is looked up once."""
+        distinct, index = np.unique(hashes, return_inverse=True)
+        out = np.full(len(distinct), -1, np.int64)
+        rest = distinct & _U((1 << (64 - self.bits)) - 1)
+        edges = np.searchsorted(distinct >> _U(64 - self.bits), np.arange((1 << self.bits) + 1).astype(_U)) if self.bits else [0, len(distinct)]
+        for s in range(1 << self.bits):
+            where = slice(int(edges[s]), int(edges[s + 1]))
+            if where.start < where.stop and (f := self.file(1, s)):
                 i = f["nodes"].find(rest[where])
                 out[where] = np.where(i >= 0, i + self.offsets[s], -1)
+        return out[index]
+
+    def children(self, level: int, shard: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of words below local contexts in a level of a shard; -1 where they aren't."""
+        f = self.file(level, shard)
+        if not f or not f["nodes"].n:
+            return np.full(len(context), -1, np.int64)
+        get = f["plain"].__getitem__ if "plain" in f else lambda i: f["pointers"].get(i).astype(np.int64)
+        low = get(context)
+        n = get(context + 1) - low
+        out = np.full(len(context), -1, np.int64)
+        some = np.flatnonzero(n)
+        out[some] = f["nodes"].find(relative(low[some], n[some], word[some], self.size))
         return out
 
     @staticmethod
@@ -134,21 +156,21 @@ class Trie:
         return np.where(number >= 0, np.searchsorted(np.array(self.offsets), number, "right") - 1, -1)
 
     def bigrams(self, shard: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Each bigram's number in its shard; -1 where it isn't in the trie."""
+        """Each bigram's number; -1 where it isn't in the trie."""
         out = np.full(len(first), -1, np.int64)
-        shard = np.where(second >= 0, shard, -1)
-        for s, where in self._by_shard(shard):
-            if f := self.file(2, s):
-                out[where] = f["nodes"].find((first[where] - self.offsets[s]).astype(_U) * _U(self.size) + second[where].astype(_U))
+        for s, where in self._by_shard(np.where(second >= 0, shard, -1)):
+            i = self.children(2, s, first[where] - self.offsets[s], second[where])
+            out[where] = np.where(i >= 0, i + self.nodes[s], -1)
         return out
 
-    def successors(self, first: int) -> np.ndarray:
+    def successors(self, first: int) -> list[int]:
         """The words after a word in the trie, by the pointers."""
         s = int(self.shard_of(np.array([first]))[0])
         if not (f := self.file(2, s)):
-            return np.zeros(0, np.int64)
-        low, high = sequence_of(f, "pointers").get(np.array([first - self.offsets[s], first - self.offsets[s] + 1])).astype(np.int64)
-        return (f["nodes"].get(np.arange(low, high)) % _U(self.size)).astype(np.int64)
+            return []
+        low, high = f["pointers"].get(np.array([first - self.offsets[s], first - self.offsets[s] + 1])).astype(np.int64).tolist()
+        scale = 1 << fraction_bits(self.size)
+        return [-(-((int(x) - low * scale) * self.size) // ((high - low) * scale)) for x in f["nodes"].get(np.arange(low, high))]
 
     def probabilities(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         """P of each word given the up to two before it; ``start``: whether a text begins with it."""
@@ -168,30 +190,42 @@ class Trie:
         node = self.bigrams(shard2, before, ids)  # of (i - 1, i)
         for s, where in self._by_shard(np.where(node >= 0, shard2, -1)):
             f2, f3 = self.file(2, s), self.file(3, s)
-            own2[where] = _DECODED[f2["own"][node[where]]]
+            local = node[where] - self.nodes[s]
+            own2[where] = _DECODED[f2["own"][local]]
             if f3:
-                left2[where] = _DECODED[f3["left"][node[where]]]
+                left2[where] = _DECODED[f3["left"][local]]
         p = np.where(before >= 0, own2 + np.where(before >= 0, np.r_[1.0, left1[:-1]], 1.0) * p, p)
         context = np.full(n, -1, np.int64)
         context[1:] = np.where(start[1:], -1, node[:-1])
         shard3 = np.r_[-1, shard2[:-1]] if n else shard2
         for s, where in self._by_shard(np.where((context >= 0) & (ids >= 0), shard3, -1)):
             if f := self.file(3, s):
-                i = f["nodes"].find(context[where].astype(_U) * _U(self.size) + ids[where].astype(_U))
-                own3[where] = np.where(i >= 0, _DECODED[f["own"][np.maximum(i, 0)]], 0.0)
+                i = self.children(3, s, context[where] - self.nodes[s], ids[where])
+                own3[where[i >= 0]] = _DECODED[f["own"][i[i >= 0]]]
         return np.where(context >= 0, own3 + (np.r_[1.0, left2[:-1]] if n else left2) * p, p)
 
 
-def counted(rows: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(shard, key, n) of pieces of (shard, key), each pair once."""
-    shard, key = (np.concatenate(x) for x in zip(*rows))
-    order = np.lexsort((key, shard))
-    shard, key = shard[order], key[order]
-    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]) if len(key) else np.zeros(0, np.int64)
+def fraction_bits(size: int) -> int:
+    return max(size - 1, 1).bit_length()
+
+
+def relative(low: np.ndarray, n: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """A word among the n successors from place low on: low + word * n / size in fixed point, distinct for distinct words."""
+    bits = _U(fraction_bits(size))
+    share = word.astype(_U) * n.astype(_U)
+    whole = share // _U(size)
+    return ((low.astype(_U) + whole) << bits) + ((share - whole * _U(size)) << bits) // _U(size)
+
+
+def counted(held: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(shard, key, n) of pieces of keys, each key once; a shard's keys are those from its bound on."""
+    key = np.sort(np.concatenate(held))
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.append(edges, len(key)))
     for a in range(0, len(edges), 200_000):
-        e = edges[a : a + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[e].astype(np.int32)), pa.array(signed(key[e].astype(_U))), pa.array(n[a : a + 200_000].astype(np.int32))], names)
+        k = key[edges[a : a + 200_000]]
+        shard = np.searchsorted(bounds, k, "right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(signed(k)), pa.array(n[a : a + 200_000].astype(np.int32))], _NAMES)
 
 
 ROWS = "shard int, key bigint, n int"
@@ -199,12 +233,30 @@ _NAMES = ["shard", "key", "n"]
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, sums), one shard at a time, of rows ordered by shard and key (as unsigned numbers)."""
-    for edges, (shard, key, n) in grouped(batches):
+    """(shard, keys, sums), one shard at a time, of rows ordered by shard and key (as unsigned numbers); rows are added up as they come."""
+
+    def total(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*parts))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], np.add.reduceat(n, first, dtype=np.int64).astype(np.int64)
+
+    open_: list[tuple[np.ndarray, np.ndarray]] = []
+    shard = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shards, key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            k, v = key[a:b].view(_U), n[a:b]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            yield int(shard[a]), k[first], np.add.reduceat(v, first, dtype=np.int64)
+            if open_ and shards[a] != shard:
+                yield int(shard), *total(open_)
+                open_ = []
+            shard = shards[a]
+            k, m = total([(key[a:b].view(_U), n[a:b])])
+            open_.append((k, m.astype(np.int32)))
+    if open_:
+        yield int(shard), *total(open_)
+    release()
 
 
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -229,6 +281,7 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (int(size) // shard_bytes).bit_length())
     shards = 1 << bits
+    bounds = np.arange(shards).astype(_U) << _U(64 - bits) if bits else np.zeros(1, _U)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -236,14 +289,14 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
             for k, rows in cuts(batch.column(0)):
                 data, offsets = utf8(batch.column(0).slice(k, rows))
                 starts, ends, _ = words(data, offsets)
-                h = word_hashes(data, starts, ends)
-                held.append(((h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32), h))
-                total += len(h)
+                held.append(word_hashes(data, starts, ends))
+                total += len(held[-1])
                 if total > FLUSH:
-                    yield from counted(held, _NAMES)
+                    yield from counted(held, bounds)
                     held, total = [], 0
         if held:
-            yield from counted(held, _NAMES)
+            yield from counted(held, bounds)
+        release()
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, key, n in summed(batches):
@@ -255,7 +308,7 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
     kept = {r["shard"]: r["kept"] for r in told}
     offsets = np.concatenate([[0], np.cumsum([kept.get(s, 0) for s in range(shards)])]).astype(np.int64).tolist()
     tokens, known = sum(r["tokens"] for r in told), sum(r["known"] for r in told)
-    trie = Trie(folder, bits, offsets, tokens, (tokens - known + 1) / (tokens + offsets[-1] + 1))
+    trie = Trie(folder, bits, offsets, tokens, (tokens - known + 1) / (tokens + offsets[-1] + 1), [])
 
     def write_level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,53 +332,67 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
     numbered = spark.read.parquet(f"{folder}/ids.parquet")
 
     def count_grams(level: int):
+        bounds = np.array(trie.offsets[:-1] if level == 2 else trie.nodes[:-1]).astype(_U) << _U(32)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, total = [], 0
             for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    ids, start = flat(batch.column(batch.num_columns - 1).slice(k, 500))
+                for k, rows in pieces(batch.column(0)):
+                    ids, start = flat(batch.column(0).slice(k, rows))
                     if len(ids) < level:
                         continue
-                    shard = trie.shard_of(ids)
-                    ok = (ids[:-1] >= 0) & (ids[1:] >= 0) & ~start[1:]
-                    if level == 2:
-                        part = shard[:-1][ok], (ids[:-1][ok].astype(_U) << _U(32)) | ids[1:][ok].astype(_U)
-                    else:
-                        node = trie.bigrams(np.where(ok, shard[:-1], -1), ids[:-1], ids[1:])
-                        ok = (node[:-1] >= 0) & (ids[2:] >= 0) & ~start[2:]
-                        part = shard[:-2][ok], (node[:-1][ok].astype(_U) << _U(32)) | ids[2:][ok].astype(_U)
-                    held.append(part)
-                    total += len(part[0])
+                    context, last = ids[:-1], ids[1:]
+                    ok = (context >= 0) & (last >= 0) & ~start[1:]
+                    if level == 3:
+                        node = trie.bigrams(trie.shard_of(np.where(ok, context, -1)), context, last)
+                        context, last = node[:-1], ids[2:]
+                        ok = (context >= 0) & (last >= 0) & ~start[2:]
+                    held.append((context[ok].astype(_U) << _U(32)) | last[ok].astype(_U))
+                    total += len(held[-1])
                     if total > FLUSH:
-                        yield from counted(held, _NAMES)
+                        yield from counted(held, bounds)
                         held, total = [], 0
             if held:
-                yield from counted(held, _NAMES)
+                yield from counted(held, bounds)
+            release()
 
         return run
 
     def write_level(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, key, n in summed(batches):
-                context, word = (key >> _U(32)).astype(np.int64), key & _U(0xFFFFFFFF)
-                if level == 2:
-                    context -= trie.offsets[shard]
-                    contexts = trie.offsets[shard + 1] - trie.offsets[shard]
-                else:
-                    contexts = trie.file(2, shard)["nodes"].n
+                first = trie.offsets if level == 2 else trie.nodes
+                contexts = first[shard + 1] - first[shard]
+                context, word = (key >> _U(32)).astype(np.int64) - first[shard], key & _U(0xFFFFFFFF)
                 keep, own, left = smoothed(context, n, contexts, min_gram)
-                nodes = context[keep].astype(_U) * _U(trie.size) + word[keep]
-                children = np.concatenate([[0], np.cumsum(np.bincount(context[keep], minlength=contexts))])
-                save(f"{folder}/level{level}-{shard:05}", own=own, left=left, **sequence(nodes, max(contexts, 1) * trie.size, "nodes"), **sequence(children, int(children[-1]) + 1, "pointers"))
+                context, word = context[keep], word[keep]
+                each = np.bincount(context, minlength=contexts)
+                children = np.concatenate([[0], np.cumsum(each)])
+                nodes = relative(children[context], each[context], word, trie.size)
+                save(f"{folder}/level{level}-{shard:05}", own=own, left=left, **sequence(nodes, len(nodes) << fraction_bits(trie.size), "nodes"), **sequence(children, int(children[-1]) + 1, "pointers"))
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(keep.sum())])], ["shard", "kept"])
+                release()
 
         return run
 
     for level in (2, 3):
-        by_shard(numbered.select("ids").mapInArrow(count_grams(level), ROWS), shards).mapInArrow(write_level(level), "shard int, kept bigint").count()
+        rows = by_shard(numbered.select("ids").mapInArrow(count_grams(level), ROWS), shards)
+        kept = {r["shard"]: r["kept"] for r in rows.mapInArrow(write_level(level), "shard int, kept bigint").collect()}
+        if level == 2:
+            trie.nodes = np.concatenate([[0], np.cumsum([kept.get(s, 0) for s in range(shards)])]).astype(np.int64).tolist()
     return trie, numbered
 
 
+def pieces(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of successive texts with about PIECE words: enough for each shard's share of a search to be worth its calls."""
+    offsets = lists.offsets.to_numpy()
+    at = 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        yield at, to - at
+        at = to
+
+
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, whether a text begins there)."""
     offsets = lists.offsets.to_numpy()
@@ -340,8 +407,8 @@ def score(trie: Trie, numbered: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                piece = batch.slice(k, 500)
+            for k, rows in pieces(batch.column("ids")):
+                piece = batch.slice(k, rows)
                 ids, start = flat(piece.column("ids"))
                 total = np.concatenate([[0.0], np.cumsum(np.log(trie.probabilities(ids, start)))])
                 where = piece.column("ids").offsets.to_numpy()
