@@ -52,9 +52,7 @@ def words(glyphs: DataFrame, line_gap: float = 3.0) -> DataFrame:
     """(doc_id, page_idx, word_idx, text, font) of glyphs (doc_id, page_idx, ch, font, x0, y0, x1): lines by steps of y0 of more than a gap, in them by middle, cut at blanks; a word's font is its most frequent."""
     page = ("doc_id", "page_idx")
     down = Window.partitionBy(*page).orderBy(F.desc("y0"), "x0")
-    line = F.sum(F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(down)) > line_gap).cast("int"), F.lit(0))).over(down)
     lined = glyphs.withColumn("step", F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(down)) > line_gap).cast("int"), F.lit(0)))
-    del line
     lined = lined.withColumn("line", F.sum("step").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("mid", (F.col("x0") + F.col("x1")) / 2)
     across = Window.partitionBy(*page).orderBy("line", "mid", "x0")
     blank = F.trim("ch") == ""

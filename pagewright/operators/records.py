@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.layout import PAGE
+from pagewright.session import durable
 
 COMMANDS = {
     "clearWord": 1, "clearWords": None, "clearChar": 2, "newWord": 3, "newAdjWord": 3, "mergeWords": None, "splitWord": 2, "replaceStr": 3, "moveEdge": None, "moveEdges": None, "addWords": None,
@@ -168,12 +169,11 @@ def with_metadata(docs: DataFrame, meta: DataFrame, key: str = "pdf_name") -> tu
 
 def folds(rows: DataFrame, order: Column, k: int) -> DataFrame:
     """Rows with fold: k parts of successive rows, cut at int(i * n / k). Ranks come from a range partitioning, so no task sorts all rows."""
-    spark = rows.sparkSession
     sorted_ = rows.withColumn("_o", order).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
+    sorted_ = durable(sorted_)  # the partitions have to be the same both times they are read
     sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each partition
     total = sizes.agg(F.sum("_n").alias("_total"))
-    del spark
     at = F.col("_base") + F.col("_i")
     fold = F.floor(((at + 1) * k - 1) / F.col("_total")).cast("int")
     return sorted_.join(base.select("_p", "_base"), "_p").crossJoin(total).withColumn("fold", F.greatest(F.lit(0), F.least(F.lit(k - 1), fold))).select(*rows.columns, "fold")

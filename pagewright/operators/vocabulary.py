@@ -101,6 +101,17 @@ def closure(nodes: DataFrame, depth: int = 16) -> DataFrame:
     return out
 
 
+MOST_NAMES = 2_000_000
+
+
+def checked(rows: DataFrame) -> list:
+    """The rows of a dictionary that all workers hold; an error above MOST_NAMES."""
+    found = rows.limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names: split the tree, or join by the names' first words")
+    return found
+
+
 def named_spans(texts: DataFrame, names: DataFrame, key: str, boundary: bool = True, fold: bool = True) -> DataFrame:
     """(key, node_id, name, start, end) of all occurrences of names (node_id, name) in texts, those inside a longer one of the same node left out.
 
@@ -108,10 +119,7 @@ def named_spans(texts: DataFrame, names: DataFrame, key: str, boundary: bool = T
     """
     import ahocorasick
 
-    limit = 2_000_000
-    rows = names.select("node_id", "name").distinct().orderBy("node_id", "name").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} names: split the tree, or join by its first words")
+    rows = checked(names.select("node_id", "name").distinct().orderBy("node_id", "name"))
     by_name: dict[str, list[int]] = {}
     for r in rows:
         if r["name"]:
@@ -148,7 +156,7 @@ def named_spans(texts: DataFrame, names: DataFrame, key: str, boundary: bool = T
 def grouped_spans(spans: DataFrame, texts: DataFrame, tree: DataFrame, key: str, ignore: str = " (),.;") -> DataFrame:
     """(key, group_id, node_ids, starts, ends): matches joined upwards. From the leaves on, a parent's span is added to each child group whose extent it adjoins through ignorable
     characters and does not overlap; one that adjoins none begins a group."""
-    tree_rows = {r["node_id"]: r["parent_id"] for r in tree.select("node_id", "parent_id").limit(2_000_000).collect()}
+    tree_rows = {r["node_id"]: r["parent_id"] for r in checked(tree.select("node_id", "parent_id"))}
     shared = spans.sparkSession.sparkContext.broadcast(tree_rows)
     kind = spans.schema[key].dataType.simpleString()
 

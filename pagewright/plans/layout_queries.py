@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
@@ -114,8 +114,6 @@ def region_stats(spark, sf_dir):
 @query(f"""WITH {WORDS} SELECT doc_id, page_idx, string_agg(text || CASE WHEN last THEN chr(10) ELSE ' ' END, '' ORDER BY word_idx) AS text FROM
  (SELECT *, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY start) <> line_no, false) AS last FROM words) GROUP BY doc_id, page_idx""")
 def text_with_breaks(spark, sf_dir):
-    from pyspark.sql import Window
-
     after = F.lead("line_no").over(Window.partitionBy("doc_id").orderBy("start"))
     w = words_of(spark, sf_dir).withColumn("break_type", F.when(F.coalesce(after != F.col("line_no"), F.lit(False)), 5).otherwise(1))
     w = w.withColumn("text", X.with_break(F.col("text"), F.col("break_type")))
@@ -300,10 +298,9 @@ def layout_boxes(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT doc_id, page_idx, word_idx, text, CAST(xmin AS DOUBLE) AS xmin, CAST(ymax AS DOUBLE) AS ymax FROM words")
 def json_round_trip(spark, sf_dir):
     """Documents as JSON and read again."""
-    text = sinks_json = documents.to_json(words_of(spark, sf_dir))
-    del text
+    written = documents.to_json(words_of(spark, sf_dir))
     kind = "doc_id bigint, pages array<struct<page_idx: int, words: array<struct<word_idx: int, text: string, xmin: double, ymin: double, xmax: double, ymax: double>>>>"
-    parsed = sinks_json.select(F.from_json("json", kind).alias("d")).select("d.*")
+    parsed = written.select(F.from_json("json", kind).alias("d")).select("d.*")
     w = documents.document_words(parsed, "doc_id")
     return w.select("doc_id", "page_idx", "word_idx", "text", "xmin", "ymax")
 

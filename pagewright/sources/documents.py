@@ -64,8 +64,8 @@ def recognised_words(responses: DataFrame, key: str = "doc_id", json: str = "jso
 
 
 def filtered_rows(words: DataFrame, widest: float = 0.2) -> DataFrame:
-    """Words of a recogniser's table (doc_id, page_idx, seq, text, xmin …) without empty ones and blanks, and without wide blanks, numbered anew."""
-    kept = words.where((F.trim("text") != "") | ((F.length("text") > 0) & (F.col("xmax") - F.col("xmin") <= widest) & F.lit(False)))
+    """Words of a recogniser's table (doc_id, page_idx, seq, text, xmin …) without empty ones and without blanks wider than ``widest``, numbered anew."""
+    kept = words.where((F.length("text") > 0) & ((F.trim("text") != "") | (F.col("xmax") - F.col("xmin") <= widest)))
     return kept.withColumn("word_idx", F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq")) - 1).drop("seq")
 
 
