@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BREAKS = {0: "", 1: " ", 2: " ", 3: " ", 4: "-", 5: "\n", 6: ""}
-ROMAN = {v: k for k, v in enumerate("0 i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx xxi xxii xxiii xxiv xxv xxvi xxvii xxviii xxix xxx xxxi xxxii xxxiii xxxiv xxxv xxxvi xxxvii xxxviii xxxix xxxx xxxxi xxxxii xxxxiii xxxxiv xxxxv xxxxvi".split())}
+_ONES = ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
+#: Small roman numerals up to 46, tens written out, and a plain zero.
+ROMAN = {"0": 0} | {"x" * (n // 10) + _ONES[n % 10]: n for n in range(1, 47)}
 #: Script blocks by first and last code point.
 BLOCKS = (
     (0x0000, 0x007F, "Basic Latin"), (0x0080, 0x00FF, "Latin-1 Supplement"), (0x0100, 0x017F, "Latin Extended-A"), (0x0180, 0x024F, "Latin Extended-B"), (0x0250, 0x02AF, "IPA Extensions"),
@@ -114,7 +116,7 @@ def normal_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "\\( +", "("), " {2,}", " ")
 
 
-DNT = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}|https?://[^ \\t\\n]+|[#@][A-Za-z0-9_]+|[0-9]+(?:[.,:/-][0-9]+)*"
+DNT = "[%+._0-9A-Za-z-]+@[.0-9A-Za-z-]+[.][A-Za-z]{2,}|https?://[^ \\t\\n]+|[#@][A-Za-z0-9_]+|[0-9]+(?:[.,:/-][0-9]+)*"
 
 
 def protected(text: Column) -> Column:

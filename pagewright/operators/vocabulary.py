@@ -44,7 +44,7 @@ def nearest(found: DataFrame) -> DataFrame:
     return found.groupBy("text").agg(F.min_by("entry", F.struct("dist", "pos")).alias("entry"), F.min("dist").alias("dist"))
 
 
-OF_FORMS = ("uf", "cf", "qf", "nf", "af", "bf")
+OF_FORMS = tuple(f"{c}f" for c in "abcnqu")
 
 
 def corrected(words: DataFrame, vocab: DataFrame, distance: int = 1) -> DataFrame:

@@ -19,7 +19,7 @@ def spans(*pairs):
 
 
 def pairs(rows):
-    return [(r["start"], r["end"]) for r in rows]
+    return [tuple(row) for row in rows]
 
 
 def test_span_algebra(spark):
