@@ -67,7 +67,7 @@ def words_touching_range(spark, sf_dir):
 
 @query(f"""WITH {WORDS} SELECT doc_id, page_idx, word_idx, xmax - xmin AS width, ymax - ymin AS height, (xmax - xmin) * (ymax - ymin) AS area, (xmin + xmax) / 2.0 AS xmid, (ymin + ymax) / 2.0 AS ymid,
   xmax - xmin > ymax - ymin AS is_horizontal, 500 BETWEEN xmin AND xmax AND 200 BETWEEN ymin AND ymax AS holds_point,
-  greatest(0, xmin - 20.0) AS grown_left, least(1000, xmax + 20.0) AS grown_right, least(1000, xmin + 20.0) AS shrunk_left, greatest(0, xmax - 20.0) AS shrunk_right FROM words""")
+  CAST(greatest(0, xmin - 20) AS DOUBLE) AS grown_left, CAST(least(1000, xmax + 20) AS DOUBLE) AS grown_right, CAST(least(1000, xmin + 20) AS DOUBLE) AS shrunk_left, CAST(greatest(0, xmax - 20) AS DOUBLE) AS shrunk_right FROM words""")
 def box_measures(spark, sf_dir):
     b = G.box()
     grown, shrunk = G.expanded(b, 2.0, 1000), G.shrunk(b, 2.0, 1000)
@@ -218,7 +218,7 @@ def line_first_words(spark, sf_dir):
 
 @query(f"""WITH {LINES}, m AS (SELECT *, regexp_full_match(text, '[A-Z][a-z]+[.]') AS mk FROM lined),
 i AS (SELECT *, count_if(mk) OVER (PARTITION BY doc_id, page_idx ORDER BY line_idx, xmin, word_idx) AS item_idx FROM m)
-SELECT doc_id, page_idx, item_idx, list(word_idx ORDER BY line_idx, xmin, word_idx) AS word_idxs, string_agg(text, ' ' ORDER BY line_idx, xmin, word_idx) AS text FROM i WHERE item_idx > 0 AND NOT mk GROUP BY ALL""")
+SELECT doc_id, page_idx, CAST(item_idx AS BIGINT) AS item_idx, list(word_idx ORDER BY line_idx, xmin, word_idx) AS word_idxs, string_agg(text, ' ' ORDER BY line_idx, xmin, word_idx) AS text FROM i WHERE item_idx > 0 AND NOT mk GROUP BY ALL""")
 def list_items(spark, sf_dir):
     return layout.list_items(lines_of(spark, sf_dir), F.col("text").rlike("^[A-Z][a-z]+[.]$"))
 

@@ -449,7 +449,7 @@ def scene_text(spark, sf_dir):
     return timeline.scene_text(table(spark, sf_dir, "conversations"), "conv_id")
 
 
-@query("""SELECT user_id, sum(event_id % 100) AS duration FROM events GROUP BY user_id""")
+@query("""SELECT user_id, CAST(sum(event_id % 100) AS BIGINT) AS duration FROM events GROUP BY user_id""")
 def trimmed_duration(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("a", F.col("event_id")).withColumn("b", F.col("event_id") + F.col("event_id") % 100)
     return timeline.trimmed_duration(e, "user_id", "a", "b")
@@ -487,7 +487,7 @@ def kfold_split(spark, sf_dir):
     return records.folds(table(spark, sf_dir, "labels").select("doc_id"), F.col("doc_id"), 3)
 
 
-@query("""WITH g AS (SELECT doc_id, quality AS label FROM labels), f AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 - quality ELSE quality END AS label FROM labels WHERE doc_id % 7 <> 0), n AS (SELECT label, count(g.doc_id) AS n_gold, count(f.doc_id) AS n_found, count_if(g.doc_id IS NOT NULL AND f.doc_id IS NOT NULL) AS n_right
+@query("""WITH g AS (SELECT doc_id, quality AS label FROM labels), f AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 - quality ELSE quality END AS label FROM labels WHERE doc_id % 7 <> 0), n AS (SELECT label, count(g.doc_id) AS n_gold, count(f.doc_id) AS n_found, CAST(count_if(g.doc_id IS NOT NULL AND f.doc_id IS NOT NULL) AS BIGINT) AS n_right
  FROM g FULL JOIN f USING (doc_id, label) GROUP BY label), p AS (SELECT *, CASE WHEN n_found = 0 THEN 0 ELSE n_right / n_found END AS precision, CASE WHEN n_gold = 0 THEN 0 ELSE n_right / n_gold END AS recall FROM n)
 SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM p""")
 def prf_metrics(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Each registered query of the engine against its SQL, on the smallest tables."""
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -12,6 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
+    if isinstance(value, Decimal):
+        value = float(value)
     if isinstance(value, float):
         return round(value, 6) + 0.0
     if isinstance(value, (list, tuple)):
