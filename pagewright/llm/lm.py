@@ -29,7 +29,7 @@ from pagewright.session import shared_folder
 
 MIN_WORD, MIN_GRAM = 5, 2
 SHARD_BYTES = 32 << 20
-PIECE = 200_000
+PIECE = 300_000
 FLUSH = 3 << 20
 DECODED_POINTERS = 1 << 22
 STEP = 1 / 2000
@@ -198,7 +198,8 @@ class Trie:
         context = np.full(n, -1, np.int64)
         context[1:] = np.where(start[1:], -1, node[:-1])
         shard3 = np.r_[-1, shard2[:-1]] if n else shard2
-        for s, where in self._by_shard(np.where((context >= 0) & (ids >= 0), shard3, -1)):
+        # A trigram in the trie has both its bigrams there.
+        for s, where in self._by_shard(np.where((context >= 0) & (node >= 0), shard3, -1)):
             if f := self.file(3, s):
                 i = self.children(3, s, context[where] - self.nodes[s], ids[where])
                 own3[where[i >= 0]] = _DECODED[f["own"][i[i >= 0]]]
@@ -264,10 +265,15 @@ def by_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("key") < 0, "key")
 
 
-def smoothed(context: np.ndarray, n: np.ndarray, contexts: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Stands for all words that follow a context once and whose own bigram stands once: each of them is a kind of its own.
+ONCE = 0xFFFFFFFF
+
+
+def smoothed(context: np.ndarray, word: np.ndarray, n: np.ndarray, contexts: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which n-grams stay, code of each one's own part, code of what each context leaves), n-grams ordered by context."""
-    total, kinds = np.bincount(context, n, contexts), np.bincount(context, minlength=contexts)
-    keep = n >= least
+    once = word == _U(ONCE)
+    total, kinds = np.bincount(context, n, contexts), np.bincount(context, np.where(once, n, 1), contexts)
+    keep = (n >= least) & ~once
     own = n / (total + kinds)[context]
     left = 1 - np.bincount(context[keep], own[keep], contexts)
     return keep, code(own[keep]), code(np.clip(left, 0, 1))
@@ -347,6 +353,8 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
                         node = trie.bigrams(trie.shard_of(np.where(ok, context, -1)), context, last)
                         context, last = node[:-1], ids[2:]
                         ok = (context >= 0) & (last >= 0) & ~start[2:]
+                        if min_gram == 2:  # the second bigram was pruned, so it stands once, and the trigram too
+                            last = np.where(node[1:] < 0, ONCE, last)
                     held.append((context[ok].astype(_U) << _U(32)) | last[ok].astype(_U))
                     total += len(held[-1])
                     if total > FLUSH:
@@ -364,7 +372,7 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
                 first = trie.offsets if level == 2 else trie.nodes
                 contexts = first[shard + 1] - first[shard]
                 context, word = (key >> _U(32)).astype(np.int64) - first[shard], key & _U(0xFFFFFFFF)
-                keep, own, left = smoothed(context, n, contexts, min_gram)
+                keep, own, left = smoothed(context, word, n, contexts, min_gram)
                 context, word = context[keep], word[keep]
                 each = np.bincount(context, minlength=contexts)
                 children = np.concatenate([[0], np.cumsum(each)])
