@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +66,19 @@ def words(glyphs: DataFrame, line_gap: float = 3.0) -> DataFrame:
 def font_statistics(words_: DataFrame) -> DataFrame:
     """(page_idx, font, n_words) over words (page_idx, word_idx, font)."""
     return words_.groupBy("page_idx", "font").agg(F.countDistinct("word_idx").alias("n_words"))
+
+
+def merged(words_: DataFrame, gap: float = 2.0, rise: float = 1.0) -> DataFrame:
+    """(doc_id, page_idx, word_idx, text, x0, y0, x1): words (doc_id, page_idx, seq, text, x0, y0, x1) that follow the word before by less than a gap, at its height, joined to it; the box grows with each."""
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for doc, number, text, x0, y0, x1 in page.sort_values("seq", kind="stable")[["doc_id", "page_idx", "text", "x0", "y0", "x1"]].itertuples(index=False):
+            last = out[-1] if out else None
+            if last and abs(x0 - last[6]) < gap and abs(y0 - last[5]) < rise:
+                last[3], last[6] = last[3] + text, max(last[6], x1)
+            else:
+                out.append([doc, number, len(out), text, x0, y0, x1])
+        return pd.DataFrame(out, columns=["doc_id", "page_idx", "word_idx", "text", "x0", "y0", "x1"])
+
+    return words_.groupBy("doc_id", "page_idx").applyInPandas(fold, "doc_id bigint, page_idx int, word_idx int, text string, x0 double, y0 double, x1 double")

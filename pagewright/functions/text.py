@@ -226,3 +226,9 @@ def brackets_blanked(text: Column, least: int = 7, exempt: tuple[str, ...] = ())
     inner = "|".join(["(?!.*" + e + ")" for e in exempt])
     whole = F.regexp_extract_all(text, F.lit(f"(\\({''.join(inner.split('|'))}[^()]{{{least},}}\\))"), F.lit(1))
     return F.aggregate(F.array_distinct(whole), text, lambda t, p: F.replace(t, p, F.repeat(F.lit(" "), F.length(p))))
+
+
+def ruler(text: Column) -> Column:
+    """The numbers of the words of a text, each above the beginning of its word, from 0."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return F.rtrim(F.array_join(F.transform(words, lambda w, i: F.rpad(i.cast("string"), F.greatest(F.length(w), F.length(i.cast("string"))), F.lit(" "))), " "))

@@ -99,10 +99,14 @@ def depth_histogram(words: DataFrame, group: tuple[str, ...] = PAGE) -> DataFram
 
 def widest_gap(words: DataFrame, group: tuple[str, ...] = PAGE, x_range: tuple[int, int] = (0, 1000), widen: int = 5) -> DataFrame:
     """(group, gap_start, gap_end): the longest run of slots without a word within a range (the first of equals), ``widen`` slots wider on both sides. Groups without one are left out."""
-    covered = depth_histogram(words, group).where(F.col("slot").between(x_range[0], x_range[1] - 1)).groupBy(*group).agg(F.array_sort(F.collect_set("slot")).alias("slots"))
-    edges = F.concat(F.array(F.lit(x_range[0] - 1)), F.col("slots"), F.array(F.lit(x_range[1])))
-    gaps = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct((b - a - 1).alias("size"), (-a).alias("before")))
-    found = covered.withColumn("gap", F.array_max(gaps)).where("gap.size > 0")
+    low, high = x_range
+    kept = words.where((F.col("xmin") < min(1000, high)) & (F.least(F.col("xmax"), F.lit(999)) >= low))
+    covered = kept.select(*group, F.greatest(F.col("xmin").cast("int"), F.lit(low)).alias("a"), F.least(F.col("xmax").cast("int"), F.lit(min(999, high - 1))).alias("b"))
+    # A gap lies before each word that begins behind all words before it, and behind the last; no slot is looked at by itself.
+    order = Window.partitionBy(*group).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = covered.withColumn("reach", F.coalesce(F.max("b").over(order), F.lit(low - 1)))
+    gap = lambda to, before: F.struct((to - before - 1).alias("size"), (-before).alias("before"))
+    found = reach.groupBy(*group).agg(F.greatest(F.max(gap(F.col("a"), F.col("reach"))), gap(F.lit(high), F.max("b"))).alias("gap")).where("gap.size > 0")
     start = 1 - F.col("gap.before")
     return found.select(*group, (start - widen).alias("gap_start"), (start + F.col("gap.size") + widen).alias("gap_end"))
 

@@ -238,3 +238,15 @@ def alias_record(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, aliases): the names by which each node was found, in order; none of nodes that weren't."""
     used = spans.groupBy("node_id").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
     return nodes.select("node_id").join(used, "node_id", "left").select("node_id", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def matching(groups: DataFrame, tree: DataFrame, level: int | None = None, below: int | None = None) -> DataFrame:
+    """Groups whose deepest node is at a level of the tree (the root is 0), or below a node."""
+    ancestors = closure(tree)
+    leaf = groups.withColumn("node_id", F.element_at("node_ids", 1))
+    if level is not None:
+        depth = ancestors.groupBy("node_id").agg(F.max("distance").alias("depth"))
+        leaf = leaf.join(depth.where(F.col("depth") == level), "node_id", "left_semi")
+    if below is not None:
+        leaf = leaf.join(ancestors.where(F.col("ancestor_id") == below), "node_id", "left_semi")
+    return leaf.select(groups.columns)

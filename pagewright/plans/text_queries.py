@@ -643,3 +643,24 @@ def kept_intervals(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 40 + 30).cast("int").alias("duration"), F.array(S.span(F.lit(5), F.lit(20)), S.span(F.lit(15), F.lit(25))).alias("removed"))
     kept = timeline.kept_intervals(e)
     return kept.select("event_id", F.aggregate("kept", F.lit(0), lambda a, s: a + s["end"] - s["start"]).alias("kept_seconds"))
+
+
+@query(f"WITH {_PLACES} SELECT c_custkey, min(node_id) FILTER (node_id >= 100) AS leaf FROM spans GROUP BY c_custkey")
+def hierarchy_level_match(spark, sf_dir):
+    """The groups whose deepest node is a nation."""
+    found = vocabulary.matching(hierarchy_groups(spark, sf_dir), _tree(spark, sf_dir), level=1)
+    return found.select("c_custkey", F.element_at("node_ids", 1).alias("leaf"))
+
+
+@query("SELECT item_id AS doc_id, replace(replace(text, chr(10), ''), ' ', '') AS text FROM benchmark")
+def glyph_merge(spark, sf_dir):
+    """Glyphs that touch, joined into one word."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.posexplode(F.split(F.translate("text", "\n ", ""), "")).alias("seq", "text")).where("text <> ''")
+    g = b.withColumn("x0", F.col("seq").cast("double")).withColumn("y0", F.lit(0.0)).withColumn("x1", (F.col("seq") + 1).cast("double"))
+    return glyphs.merged(g).select("doc_id", "text")
+
+
+@query("SELECT item_id, '0' || repeat(' ', greatest(length(string_split(t, ' ')[1]), 1)) || '1' AS ruler FROM (SELECT item_id, replace(text, chr(10), ' ') AS t FROM benchmark)")
+def word_ruler(spark, sf_dir):
+    first = F.array_join(F.slice(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""), 1, 2), " ")
+    return table(spark, sf_dir, "benchmark").select("item_id", X.ruler(first).alias("ruler"))
