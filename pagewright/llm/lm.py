@@ -68,7 +68,7 @@ def save(path: str, **arrays: np.ndarray | int) -> None:
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file: memory-mapped on a file system that is mounted, else read."""
     system, own = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    raw = np.memmap(own, np.uint8, "r") if isinstance(system, fs.LocalFileSystem) else np.frombuffer(system.open_input_file(own).read(), np.uint8)
+    raw = np.asarray(np.memmap(own, np.uint8, "r")) if isinstance(system, fs.LocalFileSystem) else np.frombuffer(system.open_input_file(own).read(), np.uint8)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     return {k: raw[8 + size + at :][: n * np.dtype(kind).itemsize].view(kind) for k, (kind, at, n) in json.loads(raw[8 : 8 + size].tobytes()).items()}
 
@@ -145,6 +145,8 @@ class Trie:
 
     @staticmethod
     def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if len(shard) and shard.max() < 1 << 15:
+            shard = shard.astype(np.int16)  # sorted by radix
         order = np.argsort(shard, kind="stable")
         ordered = shard[order]
         edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else []
