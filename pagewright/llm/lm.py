@@ -27,7 +27,7 @@ from pagewright.llm.columns import cuts, release, signed, utf8, word_hashes, wor
 from pagewright.llm.eliasfano import EliasFano
 from pagewright.session import shared_folder
 
-MIN_WORD, MIN_GRAM = 5, 2
+MIN_WORD, MIN_GRAM = 1, 2
 SHARD_BYTES = 32 << 20
 PIECE = 300_000
 FLUSH = 3 << 20
@@ -117,8 +117,8 @@ class Trie:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_files"}
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The words' numbers; -1 of unknown ones. Each distinct word is looked up once."""
+    def numbers(self, hashes: np.ndarray, mark: bool = False) -> np.ndarray:
+        """The words' numbers; -1 of unknown ones. Each distinct word is looked up once. ``mark``: -2 - number of words that stand once in the corpus."""
         distinct, index = np.unique(hashes, return_inverse=True)
         out = np.full(len(distinct), -1, np.int64)
         rest = distinct & _U((1 << (64 - self.bits)) - 1)
@@ -128,6 +128,8 @@ class Trie:
             if where.start < where.stop and (f := self.file(1, s)):
                 i = f["nodes"].find(rest[where])
                 out[where] = np.where(i >= 0, i + self.offsets[s], -1)
+                if mark and len(f["once"]):
+                    out[where] = np.where((i >= 0) & (f["once"][np.maximum(i, 0)] > 0), -2 - out[where], out[where])
         return out[index]
 
     def children(self, level: int, shard: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -175,8 +177,9 @@ class Trie:
         return [-(-((int(x) - low * scale) * self.size) // ((high - low) * scale)) for x in f["nodes"].get(np.arange(low, high))]
 
     def probabilities(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """P of each word given the up to two before it; ``start``: whether a text begins with it."""
+        """P of each word given the up to two before it; ``start``: whether a text begins with it. Words may be marked: no bigram ends in such a one."""
         n = len(ids)
+        marked, ids = ids < -1, unmarked(ids)
         shard = self.shard_of(ids)
         p = np.full(n, self.unknown)
         left1, own2, left2, own3 = np.ones(n), np.zeros(n), np.ones(n), np.zeros(n)
@@ -189,7 +192,7 @@ class Trie:
         before[1:] = np.where(start[1:], -1, ids[:-1])
         shard2 = np.full(n, -1, np.int64)
         shard2[1:] = np.where(start[1:], -1, shard[:-1])
-        node = self.bigrams(shard2, before, ids)  # of (i - 1, i)
+        node = self.bigrams(shard2, before, np.where(marked, -1, ids))  # of (i - 1, i)
         for s, where in self._by_shard(np.where(node >= 0, shard2, -1)):
             f2, f3 = self.file(2, s), self.file(3, s)
             local = node[where] - self.nodes[s]
@@ -208,6 +211,10 @@ class Trie:
         return np.where(context >= 0, own3 + (np.r_[1.0, left2[:-1]] if n else left2) * p, p)
 
 
+def unmarked(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < -1, -2 - ids, ids)
+
+
 def fraction_bits(size: int) -> int:
     return max(size - 1, 1).bit_length()
 
@@ -267,7 +274,7 @@ def by_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("key") < 0, "key")
 
 
-#: Stands for all words that follow a context once and whose own bigram stands once: each of them is a kind of its own.
+#: Stands for all words that follow a context once and that stand once themselves, or whose own bigram does: each of them is a kind of its own.
 ONCE = 0xFFFFFFFF
 
 
@@ -322,7 +329,7 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 f = load(f"{folder}/words-{shard:05}")
-                save(f"{folder}/level1-{shard:05}", own=code((f["n"] + 1) / (tokens + offsets[-1] + 1)), **sequence(f["key"], 1 << (64 - bits), "nodes"))
+                save(f"{folder}/level1-{shard:05}", own=code((f["n"] + 1) / (tokens + offsets[-1] + 1)), once=(f["n"] == 1).astype(np.uint8), **sequence(f["key"], 1 << (64 - bits), "nodes"))
             yield batch
 
     spark.createDataFrame([(r["shard"],) for r in told] or [(0,)], "shard int").where("true" if told else "false").mapInArrow(write_level1, "shard int").count()
@@ -333,7 +340,7 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
                 piece = batch.slice(k, rows)
                 data, offsets = utf8(piece.column("text"))
                 starts, ends, first = words(data, offsets)
-                ids = trie.numbers(word_hashes(data, starts, ends)).astype(np.int32)
+                ids = trie.numbers(word_hashes(data, starts, ends), mark=min_gram > 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(number, "doc_id bigint, ids array<int>").write.parquet(f"{folder}/ids.parquet")
@@ -350,13 +357,15 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
                     if len(ids) < level:
                         continue
                     context, last = ids[:-1], ids[1:]
-                    ok = (context >= 0) & (last >= 0) & ~start[1:]
+                    # A word that stands once begins no n-gram that stays: as a context it leaves all to the shorter one. It follows its context once.
+                    ok = (context >= 0) & (last != -1) & ~start[1:]
                     if level == 3:
                         node = trie.bigrams(trie.shard_of(np.where(ok, context, -1)), context, last)
                         context, last = node[:-1], ids[2:]
-                        ok = (context >= 0) & (last >= 0) & ~start[2:]
+                        ok = (context >= 0) & (last != -1) & ~start[2:]
                         if min_gram == 2:  # the second bigram was pruned, so it stands once, and the trigram too
                             last = np.where(node[1:] < 0, ONCE, last)
+                    last = np.where(last < -1, ONCE, last)
                     held.append((context[ok].astype(_U) << _U(32)) | last[ok].astype(_U))
                     total += len(held[-1])
                     if total > FLUSH:

@@ -68,3 +68,20 @@ def test_against_brute_force(make, min_word, min_gram, shard_bytes):
 def test_empty(make):
     assert lm.scored(make([])).count() == 0
     assert [(r.n_tokens, r.log_prob, r.perplexity) for r in lm.scored(make([(1, None)])).collect()] == [(0, 0.0, None)]
+
+
+@pytest.mark.parametrize("min_gram, shard_bytes", [(2, 1 << 30), (2, 500), (3, 2000)])
+def test_words_that_stand_once_are_counted_whole(make, min_gram, shard_bytes):
+    rows = corpus(1) + [(1000 + k, f"only{k} here{k} stands {rng} once{k}") for k, rng in enumerate("abcdabcd" * 4)]
+    trie, numbered = lm.train(make(rows), 1, min_gram, shard_bytes)
+    expected, known, _ = brute(rows, 1, min_gram)
+    assert trie.size == len(known)
+    got = sorted((repr(r.doc_id), r.n_tokens, r.log_prob) for r in lm.score(trie, numbered).collect())
+    for g, w in zip(got, sorted((repr(i), len((t or "").split()), e) for (i, t), e in zip(rows, expected))):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-3 * max(1, w[1]))
+
+
+def test_junk_of_rare_words_scores_worse_than_running_text(make):
+    rows = corpus(5)[:300] + [(2000 + k, " ".join(f"os{k}q{j}***" for j in range(30))) for k in range(20)]
+    perplexity = {r.doc_id: r.perplexity for r in lm.scored(make(rows)).collect()}
+    assert min(p for i, p in perplexity.items() if i >= 2000) > max(p for i, p in perplexity.items() if i < 300)
