@@ -549,6 +549,8 @@ pipeline:
   - name: num_marker
   - name: list_finder
 """
+#: The same without the limit on length.
+WHOLE_PIPELINE = PIPELINE.replace("  - name: quarantine\n    most_chars: 10000\n", "")
 
 
 @query("SELECT doc_id, 'quarantine' AS pipe, 'TextTooLong' AS error FROM documents WHERE length(text) > 10000")
@@ -558,7 +560,7 @@ def quarantine_smoke(spark, sf_dir):
 
 @query()
 def pipeline_yaml_smoke(spark, sf_dir):
-    return Pipeline.load(PIPELINE)({"docs": table(spark, sf_dir, "documents")})["items"]
+    return Pipeline.load(WHOLE_PIPELINE)({"docs": table(spark, sf_dir, "documents")})["items"]
 
 
 @query("SELECT item_id, 'T: ' || text AS translated FROM benchmark")

@@ -49,3 +49,10 @@ def test_runs(spark, name):
     if not Path(SF).exists():
         pytest.skip("no test tables")
     plans.QUERIES[name](spark, SF).count()
+
+
+def test_yaml_pipeline_takes_long_texts(spark, tmp_path):
+    listed = "1. first thing\n2. second thing\n3. third thing\n"
+    rows = [(1, listed), (2, listed + "some more words here\n" * 600), (3, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in plans.QUERIES["pipeline_yaml_smoke"](spark, str(tmp_path)).collect()} == {1, 2}
