@@ -1,8 +1,8 @@
 """License scans: a positional index of the rarest words of licence notices.
 
-Of each notice's words, the ones of highest inverse document frequency over all files are its anchors. A file's anchor words
-are looked up with their positions; a notice is a candidate where all its anchors stand at the same offset (up to a slack), and it
-is found there if its mandatory phrases do.
+Of the words of one of each notice's mandatory phrases, the ones of highest inverse document frequency over all files are its anchors. A file's
+anchor words are looked up with their positions; a notice is a candidate where all its anchors stand at the same offset (up to a slack), and it
+is found there if its mandatory phrases do. As anchors must be there anyway, no other word that is missing hides a notice.
 """
 
 from __future__ import annotations
@@ -62,10 +62,11 @@ class Index:
 
     @staticmethod
     def build(notices: Mapping[str, tuple[str, tuple[str, ...]]], idf: Mapping[str, float], anchors: int) -> Index:
-        """Each notice's anchors: its ``anchors`` words of highest idf (ties: in the order of the words)."""
+        """Each notice's anchors: the ``anchors`` words of highest idf (ties: in the order of the words) of its rarest mandatory phrase; of all its words if it has none."""
         index = Index(list(notices), [tokens(t) for t, _ in notices.values()], [[tokens(p) for p in ps] for _, ps in notices.values()], [], defaultdict(list))
         for k, own in enumerate(index.words):
-            index.anchors.append(sorted(set(own), key=lambda w: (-idf.get(w, 0.0), w))[:anchors])
+            rarest = max(index.phrases[k] or [own], key=lambda p: sum(sorted((idf.get(w, 0.0) for w in set(p)), reverse=True)[:anchors]))
+            index.anchors.append(sorted(set(rarest), key=lambda w: (-idf.get(w, 0.0), w))[:anchors])
             for at, w in enumerate(own):
                 if w in index.anchors[-1]:
                     index.postings[w].append((k, at))

@@ -38,3 +38,10 @@ def test_positions_and_repeats(make):
 def test_idf_is_of_all_files(make):
     total, files = licenses.frequencies(make([(k, "mit" if k % 2 else None) for k in range(10)]), frozenset({"mit", "gnu"}))
     assert total == 10 and files == {"mit": 5}
+
+
+def test_words_outside_the_phrases_may_be_missing(make):
+    rows = [(k, FILLER) for k in range(5)] + [(10, f"{FILLER} under the MIT License {FILLER}"), (11, "the MIT License."), (12, "are licensed under the GNU General Public License, version 3")]
+    text = licenses.NOTICES["MIT-grant"][0].replace("to any person obtaining a ", "")
+    found = {(r.doc_id, r.license) for r in licenses.scan(make([*rows, (13, text)])).collect()}
+    assert found == {(10, "MIT"), (12, "GPL-3.0"), (13, "MIT-grant")}
