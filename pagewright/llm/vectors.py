@@ -8,6 +8,7 @@ is range-joined on a grid of some of its axes; the union of the candidates is ve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,15 +151,22 @@ def join(vectors: DataFrame, cosine: float = COSINE, axes: int | None = None) ->
     """(ids_a, ids_b, cosine): each vector of ids_a and each other one of ids_b have that cosine, at least ``cosine``.
 
     The lists hold all vectors that are equal; a row of 1.0 with equal lists tells of two or more of them. Exact up to rounding, without caps.
-    Null, empty or zero vectors, those with a null or not finite element, those of another length than ``axes`` (by default the most frequent length; of
-    equally frequent ones the largest), and rows with a null vec_id: in no pair. Repeated rows count once. Other columns play no part.
+    Vectors are compared with those of the same length, one join for each length that two or more rows have; with ``axes`` only those of that length.
+    Null, empty or zero vectors, those with a null or not finite element, and rows with a null vec_id: in no pair. Repeated rows count once. Other columns play no part.
     An empty table gives an empty result.
     """
     sized = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     good = sized.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0))
     if axes is None:
-        most = good.groupBy(F.size("embedding").alias("axes")).count().orderBy(F.desc("count"), F.desc("axes")).first()
-        axes = most["axes"] if most else 1
+        found = good.groupBy(F.size("embedding").alias("axes")).count().where("count > 1").orderBy("axes").collect()  # as many as there are lengths
+        lengths = [r["axes"] for r in found] or [1]
+    else:
+        lengths = [axes]
+    return reduce(DataFrame.unionByName, [of_length(good, k, cosine) for k in lengths])
+
+
+def of_length(good: DataFrame, axes: int, cosine: float) -> DataFrame:
+    """As join, of the vectors of one length."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     nodes = durable(good.where(F.size("embedding") == axes).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("norm", norm)
         .select(F.monotonically_increasing_id().alias("node"), "ids", F.transform("embedding", lambda x: x / F.col("norm")).alias("unit")))

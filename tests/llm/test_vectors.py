@@ -43,3 +43,13 @@ def test_few_axes_and_empty(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
     assert [(r.ids_a, r.ids_b, r.cosine) for r in vectors.join(frame(spark, rows)).collect()] == [([1], [2], 1.0)]
     assert vectors.join(frame(spark, [])).count() == 0
+
+
+def test_each_length_is_joined(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for axes, n in ((32, 40), (3, 20), (2, 10), (1, 3)):
+        x = rng.normal(size=(n, axes))
+        rows += [(100 * axes + k, v) for k, v in enumerate(np.concatenate([x, x[:4] + rng.normal(scale=0.01, size=(min(n, 4), axes))]).astype(np.float32).tolist())]
+    expected = set().union(*(brute(rows, 0.97, axes) for axes in (32, 3, 2, 1)))
+    assert {(tuple(r.ids_a), tuple(r.ids_b)) for r in vectors.join(frame(spark, rows)).collect()} == expected
