@@ -24,6 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(columns: list[str], new: tuple[str, ...]) -> list[str]:
+    """The columns other than the new ones; names that differ in case only are one, as they are to Spark."""
+    lower = {n.lower() for n in new}
+    return [c for c in columns if c.lower() not in lower]
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """base**0 … base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), base, _U)

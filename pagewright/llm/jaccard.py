@@ -11,17 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.blocks import bitmap, cells, compare, grouped, hits, listed, slot, wanted
-from pagewright.llm.columns import cuts, gram_hashes, mix, release, signed, utf8, word_hashes, words
+from pagewright.llm.blocks import bitmap, cells, compare, grouped, hits, slot, wanted
+from pagewright.llm.columns import cuts, gram_hashes, mix, quoted, release, signed, utf8, word_hashes, words
 from pagewright.session import durable
 
 N, THRESHOLD = 3, 0.6
 LONGEST = 8
 SLOT_BITS = 20
 HOT_GRAMS = 1 << 18
+BLOCK_BITS = 13
 FLUSH = 1 << 20
 POSTINGS_TOGETHER = 4_000_000
 _U = np.uint64
@@ -119,8 +120,24 @@ def hot_levels(grams: DataFrame, all_grams: int) -> tuple[np.ndarray, float]:
     return table, 1 + sum(r["times"] for r in counts if r["level"] < lowest) / all_grams
 
 
+def blocks(grams: np.ndarray, level: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sides) under which a node posts its grams. Nodes of a gram that is estimated to be in more than 2**BLOCK_BITS of them are dealt to blocks, and each two
+    blocks meet under a key of their own; there the sides are 1 and 2, and only nodes of different sides are paired (0: all are)."""
+    hot = level >= BLOCK_BITS
+    if not hot.any():
+        return grams, np.zeros(len(grams), np.int32)
+    keys, sides = [grams[~hot]], [np.zeros(int((~hot).sum()), np.int32)]
+    for g, bits in zip(grams[hot], level[hot].tolist()):
+        count = 1 << (int(bits) - BLOCK_BITS + 1)
+        own, other = int(mix(np.array([node], np.int64).view(_U))[0]) % count, np.arange(count)
+        low, high = np.minimum(own, other).astype(_U), np.maximum(own, other).astype(_U)
+        keys.append(mix(g ^ mix((low << _U(32)) + high + _U(1))))
+        sides.append(np.where(other == own, 0, np.where(other > own, 1, 2)).astype(np.int32))
+    return np.concatenate(keys), np.concatenate(sides)
+
+
 def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float) -> DataFrame:
-    """(gram, node, size, l) of the grams that each node posts."""
+    """(gram, node, size, l) of the grams that each node posts; l has the side (see blocks) from its ninth bit on."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +152,11 @@ def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float)
                     level = table[(grams >> _U(64 - SLOT_BITS)).astype(np.int64)]
                     order = np.argsort(level, kind="stable")
                     l, post = choose(np.where(level[order] > 0, np.exp2(level[order].astype(np.float64)), cold), len(grams), t)
-                    out.append((grams[order[:post]], node, len(grams), l))
+                    out.append((*blocks(grams[order[:post]], level[order[:post]], node), node, len(grams), l))
                 if out:
-                    count = [len(g) for g, _, _, _ in out]
-                    columns = [signed(np.concatenate([g for g, _, _, _ in out]))] + [np.repeat(np.array([o[k] for o in out], kind), count) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32))]
+                    count = [len(o[0]) for o in out]
+                    columns = [signed(np.concatenate([o[0] for o in out]))] + [np.repeat(np.array([o[k] for o in out], kind), count) for k, kind in ((2, np.int64), (3, np.int32), (4, np.int32))]
+                    columns[3] |= np.concatenate([o[1] for o in out]) << 8
                     for a in range(0, len(columns[0]), 200_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in columns], ["gram", "node", "size", "l"])
         release()
@@ -178,15 +196,16 @@ def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
                 ids, first = np.unique(node[x:y], return_index=True)
                 if len(ids) < 2:
                     continue
-                z = size[x:y][first]
+                z, side = size[x:y][first], l[x:y][first] >> 8
                 own = []
-                for i, m in zip(ids.tolist(), l[x:y][first].tolist()):
+                for i, m in zip(ids.tolist(), (l[x:y][first] & 255).tolist()):
                     if (k := number.setdefault(i, len(number))) == len(ls):
                         ls.append(m)
                     own.append(k)
                 # By growing size, each with those of at most 1 / t of its size.
                 order = np.argsort(z, kind="stable")
-                z, own = z[order], np.array(own, np.int64)[order]
+                z, own, side = z[order], np.array(own, np.int64)[order], side[order]
+                sided = side[0] > 0
                 count = np.searchsorted(z, z / t + 1e-9, "right") - np.arange(len(z)) - 1
                 at = 0
                 while at < len(z):
@@ -194,6 +213,9 @@ def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
                     c = count[at:to]
                     i = np.repeat(np.arange(at, at + len(c)), c)
                     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                    if sided:
+                        apart = side[i] != side[j]
+                        i, j = i[apart], j[apart]
                     held.append((np.minimum(own[i], own[j]) << 32) | np.maximum(own[i], own[j]))
                     total += len(i)
                     at = to
@@ -255,30 +277,48 @@ def similar_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Da
     return ids, durable(verified(docs, nodes, pairs, n, t))
 
 
+def linked(ids: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(name, class_id, n_links) of the ids that have a link, from (name, node) and pairs (a, b) of nodes; an id may be of several nodes.
+
+    Ids of one node are linked, and those of two nodes of a pair. n_links counts an id's links to other ids (once for each two nodes that link them); class_id is the
+    least id that is reached over links. Nothing is expanded into pairs of ids."""
+    sizes = ids.groupBy("node").agg(F.count("*").alias("size"))
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    near = both.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("near"))
+    several = durable(ids.groupBy(name).agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select(name, "first"))
+    again = ids.join(several, name).select(name, "node", "first")
+    own = again.select(name, "node").join(both, "node").select(name, F.col("other").alias("node")).join(again, [name, "node"]).groupBy(name).agg(F.count("*").alias("own"))
+    roots = components(pairs.select("a", "b").union(again.select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    told = ids.join(sizes.join(near, "node", "left").join(roots, "node", "left"), "node")
+    told = durable(told.select(name, F.coalesce("root", "node").alias("root"), (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0"))
+    least = told.groupBy("root").agg(F.min(name).alias("class_id"))
+    found = told.join(least, "root").groupBy(name).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")).join(own, name, "left")
+    return found.select(name, "class_id", (F.col("links") - F.coalesce("own", F.lit(0))).cast("bigint").alias("n_links")).where("n_links > 0")
+
+
 def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(ids_a, ids_b, jaccard): each document of ids_a has that Jaccard similarity, at least t, to each other one of ids_b.
+    """(doc_id, class_id, n_links) of each document that has a Jaccard similarity of at least t to another one: n_links is the number of those others, and class_id the least
+    doc_id that is reached over links. A document that is like no other is a class of its own, and has no row. Exact, without caps: all links between different sets are found and counted,
+    and documents with equal sets, which are all linked, are counted without being paired.
 
-    The lists hold, in order, all documents whose sets of n-grams are equal; a row of 1.0 with equal lists tells of two or more
-    such documents, and every pair of similar documents is in exactly one row (the list with the least id is ids_a). Exact, without caps.
     Words are runs of characters other than ASCII white space. A text of fewer than n words has one gram. Null doc_id, null text, or a text without a
-    word: in no pair. Repeated rows count once; two texts of one doc_id are two nodes, and are not a pair with themselves. Other columns play no part.
+    word: no row. Repeated rows count once; two texts of one doc_id are compared apart, are not a link with themselves, and are in one class. Other columns play no part. An empty table gives an empty result.
     """
-    ids, pairs = similar_nodes(docs, n, t)
-    lists = durable(ids.groupBy("node").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")))
-    return listed(lists, pairs.withColumn("jaccard", F.round("jaccard", 6)), "jaccard")
+    return linked(*similar_nodes(docs, n, t), "doc_id")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected component, for edges (a, b); by alternating large and small stars."""
+    """(node, root): the least node of each connected component, for edges (a, b); by alternating large and small stars. A star's centre is aggregated and
+    joined, so that one of very many edges is divided among tasks."""
     current = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = current.union(current.select("v", "u"))
-        near = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(near), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(near))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = durable(small)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = durable(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower)
+        current = durable(small.distinct())
         found = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -289,11 +329,8 @@ def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """The documents without those that are, directly or through others, similar to one of a smaller doc_id; rows with a null doc_id or
     without a word stay. Of repeated rows (doc_id and text) one stays."""
     ids, pairs = similar_nodes(docs, n, t)
-    roots = components(pairs)
-    grouped = ids.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = F.min("doc_id").over(Window.partitionBy("root"))
-    gone = grouped.withColumn("least", least).groupBy("doc_id").agg(F.min((F.col("doc_id") != F.col("least")).cast("int")).alias("out")).where("out = 1").select("doc_id")
+    gone = linked(ids, pairs, "doc_id").where("doc_id <> class_id").select("doc_id")
     kept = docs.join(durable(gone), "doc_id", "left_anti")
     again = durable(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     single = kept.join(again, "doc_id", "left_anti")
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -34,7 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents with Jaccard similarity of at least 0.6 of their word trigrams, as lists of documents with equal sets."""
+    """Each document that has a Jaccard similarity of at least 0.6, of word trigrams, to another: its class, and how many others."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
@@ -106,11 +106,15 @@ SELECT doc_id, source, mix_tokens, CAST(min(tier) AS INTEGER) AS mix_tier
 FROM c JOIN t ON run <= floor(part * CAST(0.5 AS DOUBLE) * corpus * CAST(1 AS DOUBLE) / weights)
 GROUP BY doc_id, source, mix_tokens, h""",
     "op5_ngram_jaccard": rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM w WHERE len(w) > 0),
 n AS (SELECT list_sort(list(DISTINCT doc_id)) AS ids, s, len(s) AS n FROM s GROUP BY s),
 p AS (SELECT ids, n, unnest(s) AS g FROM n),
-o AS (SELECT a.ids AS ids_a, b.ids AS ids_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.ids < b.ids GROUP BY a.ids, b.ids)
-SELECT ids_a, ids_b, round(c / (na + nb - c), 6) AS jaccard FROM o WHERE c / (na + nb - c) >= 0.6 - 1e-9
-UNION ALL SELECT ids, ids, CAST(1 AS DOUBLE) FROM n WHERE len(ids) > 1""",
+o AS (SELECT a.ids AS ids_a, b.ids AS ids_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.ids < b.ids GROUP BY a.ids, b.ids),
+e AS (SELECT ids_a, ids_b FROM o WHERE c / (na + nb - c) >= 0.6 - 1e-9),
+f AS (SELECT ids_a AS x, ids_b AS y FROM e UNION ALL SELECT ids_b, ids_a FROM e),
+r(x, root) AS (SELECT ids, ids[1] FROM n UNION SELECT f.y, r.root FROM r JOIN f ON f.x = r.x),
+k AS (SELECT x, min(root) AS class_id FROM r GROUP BY x),
+l AS (SELECT n.ids, len(n.ids) - 1 + coalesce(sum(len(f.y)), 0) AS links FROM n LEFT JOIN f ON f.x = n.ids GROUP BY n.ids)
+SELECT unnest(l.ids) AS doc_id, k.class_id, CAST(l.links AS BIGINT) AS n_links FROM l JOIN k ON k.x = l.ids WHERE l.links > 0""",
 }

@@ -45,11 +45,28 @@ def corpus(seed, copies=40):
     return rows + [(2000, rows[3][1]), (2001, rows[3][1] + "\n"), (5, rows[5][1]), (6, "another text of this id"), (None, rows[3][1]), (3000, None), (3001, ""), (3002, " \n"), (3003, "a"), (3004, "a"), (3005, "long " * 30000)]
 
 
+def linked(rows, n, t):
+    links, root = {}, groups(rows, n, t)
+    for a, b, _ in brute(rows, n, t):
+        for x in a:
+            for y in b:
+                if x != y and (a != b or x < y):
+                    links[x], links[y] = links.get(x, 0) + 1, links.get(y, 0) + 1
+    return {(i, root[i], k) for i, k in links.items()}
+
+
 @pytest.mark.parametrize("n, t", [(3, 0.7), (1, 0.5), (2, 0.9)])
 def test_against_brute_force(make, n, t):
     rows = corpus(n)
-    found = {(tuple(r.ids_a), tuple(r.ids_b), r.jaccard) for r in jaccard.join(make(rows, extra=True), n, t).collect()}
-    assert found == brute(rows, n, t)
+    found = {tuple(r) for r in jaccard.join(make(rows, extra=True), n, t).select("doc_id", "class_id", "n_links").collect()}
+    assert found == linked(rows, n, t)
+
+
+def test_hot_grams_are_met_in_blocks(make, monkeypatch):
+    rows = corpus(5, copies=70)
+    monkeypatch.setattr(jaccard, "BLOCK_BITS", 3)
+    found = {tuple(r) for r in jaccard.join(make(rows), 3, 0.6).select("doc_id", "class_id", "n_links").collect()}
+    assert found == linked(rows, 3, 0.6)
 
 
 def test_longer_prefixes_are_chosen_for_hot_grams():
@@ -69,8 +86,8 @@ def test_multi_match_prefixes_lose_nothing(make, monkeypatch):
         return l, size - need + l
 
     monkeypatch.setattr(jaccard, "choose", any_l)
-    found = {(tuple(r.ids_a), tuple(r.ids_b), r.jaccard) for r in jaccard.join(make(rows), 3, 0.7).collect()}
-    assert found == brute(rows, 3, 0.7)
+    found = {tuple(r) for r in jaccard.join(make(rows), 3, 0.7).select("doc_id", "class_id", "n_links").collect()}
+    assert found == linked(rows, 3, 0.7)
 
 
 def groups(rows, n, t):
