@@ -18,10 +18,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of embeddings of cosine 0.97 or more, as lists of vectors that are equal."""
+    """Each embedding that has a cosine of 0.97 or more to another: its class, and how many others."""
     return vectors.join(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_links_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_embedding_dedup at a cosine of 0.45, at which the smaller given tables have links, too."""
+    return vectors.join(table(spark, sf_dir, "embeddings"), 0.45)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the mixture keeps, with the first tier of each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_tokens", "mix_tier")
@@ -67,17 +72,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_mixing, op4_quality, op5_ngram_jaccard, op6_suffix_dedup, op7_media_columns, op8_packing, op9_license_scan, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_mixing, op4_quality, op5_ngram_jaccard, op6_suffix_dedup, op7_media_columns, op8_packing, op9_license_scan, op10_lm_scoring, embedding_links_loose)}
 
 _BLANK = r"' \t\n\r\f\v'".replace("'", "")
 
-ORACLES: dict[str, str] = {
-    "op2_embedding_dedup": """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+
+def _links(cosine: float) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
 n AS (SELECT list_sort(list(DISTINCT vec_id)) AS ids, e, sqrt(list_dot_product(e, e)) AS r FROM v GROUP BY e),
-p AS (SELECT a.ids AS ids_a, b.ids AS ids_b, list_dot_product(a.e, b.e) / (a.r * b.r) AS c FROM n a JOIN n b ON a.ids < b.ids)
-SELECT ids_a, ids_b, round(c, 3) AS cosine FROM p WHERE c >= 0.97 - 1e-9
-UNION ALL SELECT ids, ids, CAST(1 AS DOUBLE) FROM n WHERE len(ids) > 1""",
+p AS (SELECT a.ids AS ids_a, b.ids AS ids_b FROM n a JOIN n b ON a.ids < b.ids WHERE list_dot_product(a.e, b.e) / (a.r * b.r) >= {cosine} - 1e-9),
+f AS (SELECT ids_a AS x, ids_b AS y FROM p UNION ALL SELECT ids_b, ids_a FROM p),
+r(x, root) AS (SELECT ids, ids[1] FROM n UNION SELECT f.y, r.root FROM r JOIN f ON f.x = r.x),
+k AS (SELECT x, min(root) AS class_id FROM r GROUP BY x),
+l AS (SELECT n.ids, len(n.ids) - 1 + coalesce(sum(len(f.y)), 0) AS links FROM n LEFT JOIN f ON f.x = n.ids GROUP BY n.ids)
+SELECT unnest(l.ids) AS vec_id, k.class_id, CAST(l.links AS BIGINT) AS n_links FROM l JOIN k ON k.x = l.ids WHERE l.links > 0"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": _links(0.97),
+    "embedding_links_loose": _links(0.45),
     "op6_suffix_dedup": r"""
 WITH p AS (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\v]') AS p FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 q AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM p),

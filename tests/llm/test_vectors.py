@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from pagewright.llm import vectors
 
@@ -16,11 +19,24 @@ def brute(rows, cosine, axes):
     x = np.array(keys)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     ids = [tuple(sorted(nodes[k])) for k in keys]
-    out = {(i, i) for i in ids if len(i) > 1}
+    links = {(i, j) for own in ids for i in own for j in own if i != j}
     for a, b in zip(*np.nonzero(np.triu(x @ x.T >= cosine, 1))):
-        if len(set(ids[a]) | set(ids[b])) > 1:
-            out.add(tuple(sorted((ids[a], ids[b]))))
-    return out
+        links |= {(i, j) for i in ids[a] for j in ids[b] if i != j} | {(j, i) for i in ids[a] for j in ids[b] if i != j}
+    parent = {i: i for own in ids for i in own}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    count = Counter(i for i, _ in links)
+    return {(i, root(i), k) for i, k in count.items()}
+
+
+def links(frame, *args):
+    return {tuple(r) for r in vectors.join(frame, *args).select("vec_id", "class_id", "n_links").collect()}
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -32,16 +48,37 @@ def test_against_brute_force(spark, monkeypatch):
     x = np.concatenate([base, near, cluster, skewed]).astype(np.float32)
     rows = list(enumerate(x.tolist())) + [(9000, x[3].tolist()), (9000, x[3].tolist()), (9001, (x[3] * 2).tolist()), (None, x[4].tolist()), (9002, None), (9003, []), (9004, [0.0] * 32), (9005, [1.0, 2.0]), (9006, [float("nan")] * 32), (9007, [None] * 32), (9008, [float("inf")] + [0.0] * 31)]
     expected = brute(rows, 0.97, 32)
-    assert len(expected) > 500
-    for together in (4000, 5):  # few grid axes, and many
+    assert len(expected) > 150
+    for together in (8192, 50):  # whole cells, and cells in parts
         monkeypatch.setattr(vectors, "CELL_VECTORS", together)
-        found = {(tuple(r.ids_a), tuple(r.ids_b)) for r in vectors.join(frame(spark, rows).withColumnRenamed("label", "node")).collect()}
-        assert found == expected
+        assert links(frame(spark, rows).withColumnRenamed("label", "node")) == expected
+
+
+@pytest.mark.parametrize("m, g", [(2, 0), (2, 3), (4, 2), (8, 4), (32, 1)])
+def test_any_plan_gives_the_same_links(spark, monkeypatch, m, g):
+    rng = np.random.default_rng(m)
+    x = np.concatenate([rng.normal(size=(200, 32)), rng.normal(size=32) + rng.normal(scale=0.12, size=(60, 32)), np.tile(rng.normal(size=32), (30, 1))]).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+
+    def fixed(variance, squared, count):
+        dealt = vectors.deal(32, m)
+        return dealt, [squared * variance[d].sum() / variance.sum() * (1 + 1e-6) + 1e-9 for d in dealt], [min(g, len(d)) for d in dealt]
+
+    monkeypatch.setattr(vectors, "plan", fixed)
+    monkeypatch.setattr(vectors, "CELL_VECTORS", 40)
+    assert links(frame(spark, rows)) == brute(rows, 0.97, 32)
+
+
+def test_the_plan_takes_more_of_the_grid_for_more_vectors():
+    variance = np.geomspace(0.1, 0.001, 64)
+    few, many = (sum(vectors.plan(variance, 0.06, n)[2]) for n in (1_000, 10**8))
+    assert few < many
+    assert len(vectors.plan(np.ones(1), 0.06, 10)[0]) == 1
 
 
 def test_few_axes_and_empty(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
-    assert [(r.ids_a, r.ids_b, r.cosine) for r in vectors.join(frame(spark, rows)).collect()] == [([1], [2], 1.0)]
+    assert links(frame(spark, rows)) == {(1, 1, 1), (2, 1, 1)}
     assert vectors.join(frame(spark, [])).count() == 0
 
 
@@ -52,4 +89,4 @@ def test_each_length_is_joined(spark):
         x = rng.normal(size=(n, axes))
         rows += [(100 * axes + k, v) for k, v in enumerate(np.concatenate([x, x[:4] + rng.normal(scale=0.01, size=(min(n, 4), axes))]).astype(np.float32).tolist())]
     expected = set().union(*(brute(rows, 0.97, axes) for axes in (32, 3, 2, 1)))
-    assert {(tuple(r.ids_a), tuple(r.ids_b)) for r in vectors.join(frame(spark, rows)).collect()} == expected
+    assert links(frame(spark, rows)) == expected
