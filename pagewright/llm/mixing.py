@@ -1,6 +1,7 @@
 """Mixing sources to target weights: nested token budgets met by hash thresholds, without a sort.
 
-Each row has a hash of its id. Tokens are summed by source and hash bucket; a prefix sum over the buckets finds where each
+Sources that hold enough are brought to exactly their weights, relative to one another, at the largest total that allows it: so only a real surplus goes, and a
+corpus that is at its target stays whole. Each row has a hash of its id. Tokens are summed by source and hash bucket; a prefix sum over the buckets finds where each
 budget is crossed, only that boundary bucket is histogrammed again on the next bits of the hash, and so on until a
 threshold separates single hashes. Rows below their source's threshold stay.
 """
@@ -12,9 +13,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.columns import others, quoted
 from pagewright.session import durable
 
 BITS = 60
+SHORT = 0.5
+#: Sources whose thresholds are broadcast; those of more are joined.
+BROADCAST_SOURCES = 20_000
 LEVEL_BITS = (20, 20, 20)
 
 
@@ -28,25 +33,30 @@ def hash60(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("bigint")
 
 
-def budgets(totals: DataFrame, weights: Mapping[str, float] | None, default_weight: float, share: float, tiers: Sequence[float]) -> DataFrame:
-    """(source, tier, budget): the tokens that each source may have in each tier. A source's weight is its own or
-    ``default_weight``; its share of ``share`` * all tokens is its weight over the sum of the weights of all sources there."""
+def targets(totals: DataFrame, weights: Mapping[str, float] | None, default_weight: float, share: float, short: float) -> DataFrame:
+    """(_source, _all, _weight, _target, _short) from (_source, _all): each source's weight is its own or ``default_weight``. Its target in the corpus is its weight over the sum
+    of all sources' weights. A source that holds less than ``short`` of that is short: it stays whole, and below its weight. All others are given the same
+    number of tokens for each unit of weight, as many as the one of them that has the least can give; ``share`` of that is their target."""
     given = F.create_map(*[F.lit(x) for kv in (weights or {}).items() for x in kv])[F.col("_source")] if weights else F.lit(None)
     weighed = totals.withColumn("_weight", F.coalesce(given.cast("double"), F.lit(float(default_weight))))
     whole = weighed.agg(F.sum("_weight").alias("_weights"), F.sum("_all").alias("_corpus"))
+    sized = weighed.crossJoin(whole).withColumn("_short", (F.col("_weight") > 0) & (F.col("_all") < F.lit(float(short)) * F.col("_corpus") * F.col("_weight") / F.col("_weights")))
+    rate = sized.agg(F.coalesce(F.min(F.when((F.col("_weight") > 0) & ~F.col("_short"), F.col("_all") / F.col("_weight"))), F.lit(0.0)).alias("_rate"))
+    return sized.crossJoin(rate).select("_source", "_all", "_weight", F.floor(F.lit(float(share)) * F.col("_rate") * F.col("_weight") + F.lit(1e-6)).cast("bigint").alias("_target"), "_short")
+
+
+def budgets(totals: DataFrame, weights: Mapping[str, float] | None, default_weight: float, share: float, short: float, tiers: Sequence[float]) -> DataFrame:
+    """(_source, _tier, _budget): the tokens that each source may have in each tier, the tier's part of its target."""
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(float(f)).alias("part")) for k, f in enumerate(tiers)]))
-    return (
-        weighed.crossJoin(whole).withColumn("_step", steps)
-        .select("_source", F.col("_step.tier").alias("_tier"), F.floor(F.col("_step.part") * F.lit(float(share)) * F.col("_corpus") * F.col("_weight") / F.col("_weights")).cast("bigint").alias("_budget"))
-    )
+    return targets(totals, weights, default_weight, share, short).withColumn("_step", steps).select("_source", F.col("_step.tier").alias("_tier"), F.floor(F.col("_step.part") * F.col("_target")).cast("bigint").alias("_budget"))
 
 
-def thresholds(slim: DataFrame, weights: Mapping[str, float] | None, default_weight: float, share: float, tiers: Sequence[float]) -> DataFrame:
+def thresholds(slim: DataFrame, weights: Mapping[str, float] | None, default_weight: float, share: float, short: float, tiers: Sequence[float]) -> DataFrame:
     """(_source, _tier, _threshold) from rows (_source, _hash, _tokens): the largest threshold below which the tokens of the
     source stay within the tier's budget. Rows with the same hash are on the same side of it. Sources are compared with null equal to null."""
     totals = slim.groupBy("_source").agg(F.sum("_tokens").alias("_all"))
     # What is still open: the tier's boundary lies in the bucket [_low, _low + 2**_left), before which _used tokens lie.
-    open_ = budgets(totals, weights, default_weight, share, tiers).withColumn("_low", F.lit(0).cast("bigint")).withColumn("_used", F.lit(0).cast("bigint"))
+    open_ = budgets(totals, weights, default_weight, share, short, tiers).withColumn("_low", F.lit(0).cast("bigint")).withColumn("_used", F.lit(0).cast("bigint"))
     left = BITS
     for bits in LEVEL_BITS:
         width = 1 << (left - bits)
@@ -76,23 +86,33 @@ def thresholds(slim: DataFrame, weights: Mapping[str, float] | None, default_wei
     return open_.select("_source", "_tier", F.col("_low").alias("_threshold"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_weight: float = 1.0, share: float = 0.5, tiers: Sequence[float] = (0.25, 0.5, 1.0), seed: int = 17) -> DataFrame:
+def slimmed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(F.col("source").alias("_source"), hash60(F.col("doc_id"), seed).alias("_hash"), tokens(F.col("text")).alias("_tokens"))
+
+
+def report(docs: DataFrame, weights: Mapping[str, float] | None = None, default_weight: float = 1.0, share: float = 1.0, short: float = SHORT) -> DataFrame:
+    """(source, tokens, weight, target, short) of each source: what it has, what mix aims at, and whether it is short of its weight and so stays whole."""
+    totals = docs.select(F.col("source").alias("_source"), tokens(F.col("text")).alias("_tokens")).groupBy("_source").agg(F.sum("_tokens").alias("_all"))
+    found = targets(totals, weights, default_weight, share, short)
+    return found.select(F.col("_source").alias("source"), F.col("_all").alias("tokens"), F.col("_weight").alias("weight"), F.col("_target").alias("target"), F.col("_short").alias("short"))
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_weight: float = 1.0, share: float = 1.0, tiers: Sequence[float] = (0.25, 0.5, 1.0), seed: int = 17, short: float = SHORT) -> DataFrame:
     """The rows that the last tier holds, with ``mix_tokens`` BIGINT and ``mix_tier`` INT, the first tier that holds them;
     each tier's rows are among those of the next.
 
-    Null source: a source of its own. Null doc_id: all such rows share one hash, so they stay or go together, as rows of the
-    same doc_id do. Null or empty text: 0 tokens; such a row stays if its hash is below the threshold. A source with fewer tokens than its budget
-    stays whole; its rest isn't passed on. An empty table gives an empty result. Columns of the new names are replaced; others are kept.
+    Targets are told in ``targets``; ``report`` gives them. Null source: a source of its own. Null doc_id: all such rows share one hash, so they stay or go together, as rows of the
+    same doc_id do. Null or empty text: 0 tokens; such a row stays if its hash is below the threshold. An empty table gives an empty result. Columns of the new names, in whatever case, are replaced; others are kept,
+    whatever their names. Texts aren't shuffled: thresholds are broadcast, which are a few numbers a source; only beyond BROADCAST_SOURCES sources are they joined.
     """
-    own = ("mix_tokens", "mix_tier")
-    rest = [c for c in docs.columns if c not in own]
-    slim = durable(docs.select(F.col("source").alias("_source"), hash60(F.col("doc_id"), seed).alias("_hash"), tokens(F.col("text")).alias("_tokens")))
-    found = thresholds(slim, weights, default_weight, share, tiers)
-    wide = found.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_tier", "_threshold"))).alias("_bounds"))
-    # The row travels as one value, so that no name of its columns can clash.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col("source").alias("_own"), hash60(F.col("doc_id"), seed).alias("_hash"))
+    rest = others(docs.columns, ("mix_tokens", "mix_tier"))
+    found = thresholds(durable(slimmed(docs, seed)), weights, default_weight, share, short, tiers)
+    wide = durable(found.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_tier", "_threshold"))).alias("_bounds")))
+    if wide.count() <= BROADCAST_SOURCES:
+        wide = F.broadcast(wide)
+    # The row travels as one value, so that no name of its columns can clash; its fields are numbered.
+    packed = docs.select(F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)]).alias("_row"), F.col("source").alias("_own"), hash60(F.col("doc_id"), seed).alias("_hash"), F.col("text").alias("_text"))
     marked = packed.join(wide, F.col("_own").eqNullSafe(F.col("_source"))).where(F.col("_hash") < F.element_at("_bounds", -1)["_threshold"])
     inside = F.filter("_bounds", lambda b: F.col("_hash") < b["_threshold"])
-    tiered = marked.select("_row", F.array_min(F.transform(inside, lambda b: b["_tier"])).alias("_first"))
-    row = F.col("_row")
-    return tiered.select(*[row[c].alias(c) for c in rest], tokens(row["text"]).alias("mix_tokens"), F.col("_first").alias("mix_tier"))
+    tiered = marked.select("_row", tokens(F.col("_text")).alias("_own"), F.array_min(F.transform(inside, lambda b: b["_tier"])).alias("_first"))
+    return tiered.select(*[F.col("_row")[f"c{k}"].alias(c) for k, c in enumerate(rest)], F.col("_own").alias("mix_tokens"), F.col("_first").alias("mix_tier"))

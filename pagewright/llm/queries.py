@@ -113,11 +113,12 @@ WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+')) AS BIGINT) AS mix_tokens,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':17'), 1, 15) AS BIGINT) AS h
   FROM documents),
-c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS run,
-             (SELECT sum(mix_tokens) FROM d) AS corpus, (SELECT count(*) FROM (SELECT DISTINCT source FROM d)) AS weights FROM d),
+c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS run FROM d),
+n AS (SELECT source, sum(mix_tokens) AS n FROM d GROUP BY source),
+g AS (SELECT coalesce(floor(min(n) + 1e-6), 0) AS target FROM n WHERE NOT n < CAST(0.5 AS DOUBLE) * (SELECT sum(n) FROM n) / (SELECT count(*) FROM n)),
 t AS (SELECT * FROM (VALUES (0, CAST(0.25 AS DOUBLE)), (1, CAST(0.5 AS DOUBLE)), (2, CAST(1 AS DOUBLE))) v(tier, part))
 SELECT doc_id, source, mix_tokens, CAST(min(tier) AS INTEGER) AS mix_tier
-FROM c JOIN t ON run <= floor(part * CAST(0.5 AS DOUBLE) * corpus * CAST(1 AS DOUBLE) / weights)
+FROM c JOIN t ON run <= floor(part * (SELECT target FROM g))
 GROUP BY doc_id, source, mix_tokens, h""",
     "op5_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS w FROM documents),

@@ -49,7 +49,7 @@ def brute(spark, rows, folder):
     rows = sorted({r for r in rows if r[0] is None or root[r[0]] == r[0]}, key=repr)
     tagger = pii.default_model()
     rows = [(i, pii.redacted(t, pii.spans(tagger, [t])[0]), s) for i, t, s in rows]
-    rows = [r[:3] for r in mixed(rows, {}, 1.0, 0.5, (0.25, 0.5, 1.0))]
+    rows = [r[:3] for r in mixed(rows, {}, 1.0, 1.0, (0.25, 0.5, 1.0))]
     out = []
     shards = {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
