@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -35,6 +37,16 @@ def others(columns: list[str], new: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower() not in lower]
 
 
+def numbered(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns as c0, c1, …, so that no name can be in the way."""
+    return df.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(names)])
+
+
+def named(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """Numbered columns under their names again, and more columns behind them."""
+    return df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *more)
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """base**0 … base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), base, _U)

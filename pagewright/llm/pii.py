@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.columns import named, numbered, others
+
 KINDS = ("NONE", "EMAIL", "PHONE", "IP", "CARD", "ID", "SECRET")
 HIDDEN = 12
 WINDOW, OVERLAP, BATCH = 512, 64, 3072
@@ -83,20 +85,21 @@ def word(r: random.Random) -> str:
 
 def entity(r: random.Random) -> tuple[str, str, str, str]:
     """(kind, text before, private text, text after)."""
-    kind = r.choice(("EMAIL", "EMAIL", "PHONE", "PHONE", "IP", "IP", "CARD", "CARD", "ID", "SECRET", "SECRET", "SECRET"))
+    kind = r.choice(("EMAIL", "EMAIL", "PHONE", "PHONE", "PHONE", "IP", "IP", "CARD", "CARD", "ID", "ID", "ID", "SECRET", "SECRET", "SECRET"))
     if kind == "EMAIL":
         local = r.choice((word(r), word(r) + r.choice("._-+") + word(r), word(r) + "." + _digits(r, 2), _of(r, _LOW, r.randint(1, 9)) + r.choice(("", _digits(r, r.randint(1, 4))))))
         host = r.choice((f"mail{r.randint(0, 99)}.example.com", f"{_of(r, _LOW, r.randint(3, 10))}.{r.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io', 'edu'))}", f"{word(r)}-{word(r)}.example.{r.choice(('org', 'net', 'com'))}"))
         return kind, "", f"{local}@{host}", ""
     if kind == "PHONE":
         a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-        return kind, "", r.choice((f"+1 ({a}) 555-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(20, 99)} {_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}", f"+{r.randint(20, 99)} {_digits(r, 3)} {_digits(r, 7)}", f"+{r.randint(20, 99)}{_digits(r, 10)}")), ""
+        return kind, "", r.choice((f"+1 ({a}) 555-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(20, 99)} {_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}", f"+{r.randint(20, 99)} {_digits(r, 3)} {_digits(r, 7)}", f"+{r.randint(20, 99)}{_digits(r, 10)}", f"00{r.randint(20, 99)} {_digits(r, 2)} {_digits(r, 7)}")), ""
     if kind == "IP":
-        return kind, "", ".".join(str(r.randint(0, 255)) for _ in range(4)), ""
+        most, first = r.choice((255, 255, 255, 20)), r.choice(([], [], [], ["10", "0"], ["192", "168"]))
+        return kind, "", ".".join([*first, *(str(r.randint(0, most)) for _ in range(4 - len(first)))]), ""
     if kind == "CARD":
         return kind, "", _card(r), ""
     if kind == "ID":
-        return kind, "", r.choice((f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", f"{_of(r, _UP, 2)}{_digits(r, 2)}{_digits(r, r.randint(14, 20))}", f"{_of(r, _UP, 2)}{_digits(r, 2)} " + " ".join(_digits(r, 4) for _ in range(4)) + r.choice(("", " " + _digits(r, 2))))), ""
+        return kind, "", r.choice((f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", f"{_of(r, _UP, 2)}{_digits(r, 2)}{_digits(r, r.randint(14, 20))}", f"{_of(r, _UP, 2)}{_digits(r, 2)} " + " ".join(_digits(r, 4) for _ in range(4)) + r.choice(("", " " + _digits(r, 2))))), ""
     name = r.choice(("token", "password", "secret", "api_key", "key", "pwd", "passwd", "auth", "access_token"))
     if r.random() < 0.5:
         name = name.upper() if r.random() < 0.3 else name
@@ -288,10 +291,11 @@ class Tagger:
         # What a run of a kind can gain over NONE at most: all its positive steps, and entering and leaving once.
         gain = e[:, 1:] - e[:, :1]
         gain += stay - none
-        whole = gain.sum(axis=0)
+        whole = gain.sum(axis=0) + none - stay  # a run of the whole window: entered and left nowhere
+        top = gain.max(axis=0)
         positive = np.maximum(gain, 0, out=gain).sum(axis=0)
-        ends = np.maximum.reduce([into + out - stay - none, out - stay, into - none])
-        hot = np.flatnonzero(((positive + ends > 0) & (positive > 0) | (whole > 0)).any(axis=0))
+        ends = np.maximum.reduce([into + out - stay - none, out - stay, into - stay])
+        hot = np.flatnonzero(((np.where(positive > 0, positive, top) + ends > 0) | (whole > 0)).any(axis=0))
         best = np.zeros(ids.shape, np.uint8)
         if not len(hot):
             return best
@@ -381,7 +385,7 @@ def accepted(kind: str, text: str) -> bool:
 
 
 def reconcile(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """One ordered list of disjoint spans from those of all windows: each is widened to the whole run of signs of its kind,
+    """One ordered list of disjoint spans from those that the windows own: each is widened to the whole run of signs of its kind,
     those of a kind that touch are joined, and where kinds disagree the longest span stays (the first of equals)."""
     wide = []
     for start, end, k in found:
@@ -417,6 +421,13 @@ def reconcile(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(kept)
 
 
+def owned(a: int, b: int, nth: int, count: int) -> bool:
+    """Whether a window's span counts: where two windows overlap, the one decides in which the span's middle is farther from the edge, as it sees more around it.
+    Of a span that one of them sees only a part of, the middles of both parts can't be the other's."""
+    half = OVERLAP // 2
+    return (nth == 0 or a + b >= 2 * half) and (nth == count - 1 or a + b < 2 * (WINDOW - half))
+
+
 def spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of what is private in each text, in characters."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -444,7 +455,8 @@ def spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
             for a, b in zip(np.r_[0, cut], np.r_[cut, longest]):
                 if line[a]:
                     w = part[row]
-                    found.setdefault(int(owner[w]), []).append((int(start[w] + a), int(start[w] + b), int(line[a])))
+                    if owned(int(a), int(b), int(nth[w]), int(count[owner[w]])):
+                        found.setdefault(int(owner[w]), []).append((int(start[w] + a), int(start[w] + b), int(line[a])))
     return [reconcile(t, found[i]) if i in found else [] for i, t in enumerate(texts)]
 
 
@@ -464,35 +476,41 @@ def redact(docs: DataFrame, model: Tagger | None = None, column: str = "text") -
     """Every row, with what is private in ``column`` replaced by its kind in brackets, and ``pii_spans`` (start, end, kind;
     characters of the original text, in order). One pass without a shuffle over whole texts, in windows that overlap.
 
-    Null text: stays null, spans null. Empty text: no spans. Repeated rows are treated alike. Other columns are kept;
-    a column named ``pii_spans`` is replaced. An empty table gives an empty result.
+    Null text: stays null, spans null. Empty text: no spans. Repeated rows are treated alike. Other columns are kept, whatever their names;
+    a column named ``pii_spans``, in whatever case, is replaced. An empty table gives an empty result.
     """
-    rest = [c for c in docs.columns if c != "pii_spans"]
-    docs = docs.select(rest)
+    rest = others(docs.columns, ("pii_spans",))
+    return named(_redacted(numbered(docs, rest), rest.index(column), model), rest, "pii_spans")
+
+
+def _redacted(docs: DataFrame, at: int, model: Tagger | None) -> DataFrame:
+    """Numbered columns, with the one at ``at`` redacted, and pii_spans."""
     model = model or default_model()
     shared = docs.sparkSession.sparkContext.broadcast({k: getattr(model, k) for k in Tagger.NAMES})
+    names = docs.columns
     arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tagger(**shared.value)
         for batch in batches:
-            at = 0
-            sizes = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()])
-            while at < batch.num_rows:
-                done = sizes[at - 1] if at else 0
-                upto = max(at + 1, int(np.searchsorted(sizes, done + CHUNK, "right")))
-                piece = batch.slice(at, upto - at)
-                at = upto
-                texts = piece.column(column).to_pylist()
+            done = 0
+            sizes = np.cumsum([len(x) if x else 0 for x in batch.column(at).to_pylist()])
+            while done < batch.num_rows:
+                upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + CHUNK, "right")))
+                piece = batch.slice(done, upto - done)
+                done = upto
+                texts = piece.column(at).to_pylist()
                 found = spans(own, [t or "" for t in texts])
                 new = [redacted(t, f) if f else t for t, f in zip(texts, found)]
                 told = [None if t is None else [{"start": a, "end": b, "kind": k} for a, b, k in f] for t, f in zip(texts, found)]
-                columns = [pa.array(new, piece.schema.field(c).type) if c == column else piece.column(c) for c in rest]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(told, arrow_spans)], [*rest, "pii_spans"])
+                columns = [pa.array(new, c.type) if k == at else c for k, c in enumerate(piece.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(told, arrow_spans)], [*names, "pii_spans"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pii_spans", SPANS)]))
 
 
 def anonymise(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """Documents with redacted texts and their new n_chars."""
-    return redact(docs, model).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    """Documents with redacted texts and their new n_chars; all their columns are kept, whatever their names."""
+    at = docs.columns.index("text")
+    found = _redacted(numbered(docs, docs.columns), at, model)
+    return found.select(*[F.length(f"c{at}").cast("bigint").alias(c) if c == "n_chars" else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

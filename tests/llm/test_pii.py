@@ -94,3 +94,70 @@ def test_verification():
     assert pii.accepted("CARD", "4111 1111 1111 1111") and not pii.accepted("CARD", "4111111111111112") and not pii.accepted("CARD", "0000000000000000")
     assert pii.accepted("IP", "10.0.0.255") and not pii.accepted("IP", "10.0.0.256") and not pii.accepted("IP", "1.2.3")
     assert pii.reconcile("a x@y.org b", [(2, 5, 1), (4, 9, 1)]) == [(2, 9, "EMAIL")]
+
+
+def slow_best(m, ids):
+    """Viterbi over one window, state by state, without the search's bounds."""
+    e = m.emissions(np.array(ids)[:, None])[:, :, 0].astype(np.float64)
+    move = (m.transitions + pii._ALLOWED).astype(np.float64)
+    score, back = e[0], []
+    for row in e[1:]:
+        all_ = score[:, None] + move
+        back.append(all_.argmax(axis=0))
+        score = all_.max(axis=0) + row
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def slow_spans(m, text):
+    """Each window on its own; of its spans those whose middle is nearer to its middle than to that of any other window that holds it."""
+    stride = pii.WINDOW - pii.OVERLAP
+    windows = [(s, min(s + pii.WINDOW, len(text))) for s in range(0, max(1, len(text) - pii.OVERLAP), stride)]
+    found = []
+    for k, (s, z) in enumerate(windows):
+        path = slow_best(m, pii.encode(text[s:z]).astype(int)) + [0]
+        a = 0
+        for i in range(1, len(path)):
+            if path[i] != path[a]:
+                middle = s + (a + i) / 2
+                low = s if k == 0 else s + pii.OVERLAP / 2
+                high = z if k == len(windows) - 1 else s + pii.WINDOW - pii.OVERLAP / 2
+                if path[a] and low <= middle < high + (k == len(windows) - 1):
+                    found.append((s + a, s + i, path[a]))
+                a = i
+    return pii.reconcile(text, found)
+
+
+def test_windows_against_brute_force(model):
+    r = random.Random(21)
+    texts = [pii.labelled_text(r, n)[0] for n in (1, 40, 511, 512, 513, 575, 576, 900, 961, 2500)] + ["123-45-6789", "+1 (312) 555-0199", ""]
+    assert pii.spans(model, texts) == [slow_spans(model, t) if t else [] for t in texts]
+
+
+def test_the_bound_leaves_out_no_window():
+    rng = np.random.default_rng(5)
+    for seed in range(60):
+        m = pii.Tagger.start(seed)
+        m.transitions = rng.normal(0, 1, (pii.K, pii.K)).astype(np.float32)
+        e = rng.normal(-1, 1, (5, pii.K, 40)).astype(np.float32)
+        m.emissions = lambda ids, e=e: e[:, :, : ids.shape[1]].copy()
+        best = m.decode(np.zeros((5, 40), np.int64))
+        for b in range(40):
+            m.emissions = lambda ids, e=e, b=b: e[:, :, b : b + 1].copy()
+            assert best[:, b].tolist() == slow_best(m, [0] * 5)
+
+
+def test_forms_that_must_be_found(model):
+    for text, span in (("my ssn is 123-45-6789", (10, 21, "ID")), ("call 0049 30 1234567", (5, 20, "PHONE")), ("from 10.0.0.1 to here", (5, 13, "IP"))):
+        assert pii.spans(model, [text]) == [[span]]
+
+
+def test_odd_column_names(make, model):
+    rows = [(1, "write to ann.lee@mail.example.org please")]
+    df = make(rows).selectExpr("*", "1 as `a.b`", "2 as `c``d`", "'x' as `PII_Spans`", "'y' as c0")
+    out = pii.redact(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c`d", "c0", "pii_spans"] and out.first().text == "write to [EMAIL] please"
+    plain = pii.anonymise(df, model)
+    assert plain.columns == df.columns and tuple(plain.first()) == (1, "write to [EMAIL] please", "en", "s", 23, 1, 2, "x", "y")
