@@ -136,3 +136,9 @@ def test_empty(make):
     assert jaccard.join(make([])).count() == 0
     assert jaccard.one_of_each(make([])).count() == 0
     assert jaccard.join(make([(1, None), (2, "")])).count() == 0
+
+
+def test_odd_column_names(make):
+    df = make([(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "e f g"), (4, "e f h"), (4, "other words")]).selectExpr("*", "1 as `a.b`", "2 as `c``d`", "3 as `Class_ID`")
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 4]
