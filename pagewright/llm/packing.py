@@ -19,7 +19,11 @@ from pagewright.llm.columns import characters, utf8, words
 
 LENGTH = 2048
 SENTENCE_CUT, HARD_CUT = 32, 256
-SHARD_DOCS = 512
+SHARD_DOCS = 4096
+#: A window ends at the first document behind so many characters of a shard, so that a shard of any size passes through a bounded memory.
+STRETCH_CHARS = 8 << 20
+#: Shards of the rows without an id.
+NULL_SHARDS = 1024
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -118,33 +122,36 @@ _ARROW = pa.schema(
 )
 
 
-def pack(docs: DataFrame, length: int = LENGTH, sentence_cut: float = SENTENCE_CUT, hard_cut: float = HARD_CUT, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, sentence_cut: float = SENTENCE_CUT, hard_cut: float = HARD_CUT, shard_docs: int = SHARD_DOCS, stretch_chars: int = STRETCH_CHARS) -> DataFrame:
     """Windows (shard, window, doc_ids, segments, text, n_tokens, padding) of whole documents in the order of doc_id.
 
     Tokens are runs of characters other than ASCII white space, and one end-of-text mark for each document. A shard
-    holds the documents of ``shard_docs`` successive ids; windows don't span shards. One shuffle, by shard.
-    Null doc_id: a shard of their own, with null ids. Rows of the same id follow one another in the order of their texts. Null or empty
+    holds the documents of ``shard_docs`` successive ids; windows don't span shards, nor stretches of a shard of STRETCH_CHARS characters, which costs at most a window's padding for each. One shuffle, by shard.
+    Null doc_id: shards below 0 (one of NULL_SHARDS by the text's hash), with null ids. Rows of the same id follow one another in the order of their texts. Null or empty
     texts, or of white space alone: in no window. A sentence longer than a window is cut every length - 1 tokens. An empty table
     gives an empty result. Other columns play no part.
     """
-    slim = docs.select(F.floor(F.col("doc_id") / F.lit(shard_docs)).cast("bigint").alias("shard"), "doc_id", "text")
+    slim = docs.select(F.coalesce(F.expr(f"floor(doc_id / {int(shard_docs)})").cast("bigint"), -F.lit(1) - F.pmod(F.xxhash64("text"), F.lit(NULL_SHARDS))).alias("shard"), F.col("doc_id").cast("bigint"), "text")
     ordered = slim.repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
 
-    def emit(shard: int | None, ids: list, texts: list) -> pa.RecordBatch:
-        rows = [(shard, k, list(dict.fromkeys(i for i, _, _ in seg)), [{"doc_id": i, "start": a, "end": b} for i, a, b in seg], body, n, length - n) for k, (seg, body, n) in enumerate(windows(ids, texts, length, sentence_cut, hard_cut))]
+    def emit(shard: int, first: int, ids: list, texts: list) -> pa.RecordBatch:
+        rows = [(shard, k, list(dict.fromkeys(i for i, _, _ in seg)), [{"doc_id": i, "start": a, "end": b} for i, a, b in seg], body, n, length - n) for k, (seg, body, n) in enumerate(windows(ids, texts, length, sentence_cut, hard_cut), first)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_ARROW), _ARROW)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, texts, some = None, [], [], False
+        shard, ids, texts, size, done = None, [], [], 0, 0
         for batch in batches:
             for s, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if some and s != shard:
-                    yield emit(shard, ids, texts)
-                    ids, texts = [], []
-                shard, some = s, True
+                if ids and (s != shard or size >= stretch_chars):
+                    out = emit(shard, done, ids, texts)
+                    yield out
+                    ids, texts, size, done = [], [], 0, done + out.num_rows
+                if s != shard:
+                    shard, done = s, 0
                 ids.append(i)
                 texts.append(t)
-        if some:
-            yield emit(shard, ids, texts)
+                size += len(t or "")
+        if ids:
+            yield emit(shard, done, ids, texts)
 
     return ordered.mapInArrow(run, SCHEMA)

@@ -67,3 +67,25 @@ def test_pieces_end_at_sentences():
     sizes, penalty, text, start, end = packing.pieces(pa.array(["One two. Three four five\nsix", None, "x"], pa.large_string()), 10, 2.0, 9.0)
     assert sizes.tolist() == [2, 3, 2, 2] and penalty.tolist() == [2.0, 2.0, 0.0, 0.0] and text.tolist() == [0, 0, 0, 2]
     assert re.sub(r"\s", "", "One two.") == "Onetwo."
+
+
+def test_shards_pass_in_stretches_and_null_ids_are_divided(make):
+    rows = [(k, f"document {k} has some words. " * (1 + k % 4)) for k in range(60)] + [(None, f"no id {k}. " * 3) for k in range(200)]
+    whole, parts = ([tuple(r) for r in packing.pack(make(rows), length=32, stretch_chars=c).select("shard", "window", "text", "n_tokens").collect()] for c in (1 << 30, 500))
+    assert sorted(" ".join(t.split()) for *_, t, _ in whole) != sorted(" ".join(t.split()) for *_, t, _ in parts)
+    words = lambda found: sorted(w for _, _, t, _ in found for w in t.split())
+    assert words(whole) == words(parts) == sorted(w for _, t in rows for w in t.split())
+    for found in (whole, parts):
+        assert len({r[:2] for r in found}) == len(found)
+        assert len({r[0] for r in found if r[0] < 0}) > 100 and {r[0] for r in found if r[0] >= 0} == {0}
+    # Each stretch has the least cost of its own: documents of 500 characters or more, one after the other.
+    ids, texts, size, expected = [], [], 0, []
+    for i, t in rows[:60]:
+        if size >= 500:
+            expected += [b for _, b, _ in packing.windows(ids, texts, 32, packing.SENTENCE_CUT, packing.HARD_CUT)]
+            ids, texts, size = [], [], 0
+        ids.append(i)
+        texts.append(t)
+        size += len(t)
+    expected += [b for _, b, _ in packing.windows(ids, texts, 32, packing.SENTENCE_CUT, packing.HARD_CUT)]
+    assert [t for _, _, t, _ in sorted(r for r in parts if r[0] == 0)] == expected

@@ -40,6 +40,10 @@ def tables(spark, make, tmp_path_factory):
     return rows, folder
 
 
+def null_shard(spark, text):
+    return spark.createDataFrame([(text,)], "text string").select(-1 - F.pmod(F.xxhash64("text"), F.lit(packing.NULL_SHARDS))).first()[0]
+
+
 def brute(spark, rows, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
@@ -53,7 +57,7 @@ def brute(spark, rows, folder):
     out = []
     shards = {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
-        shards.setdefault(None if i is None else i // packing.SHARD_DOCS, []).append((i, t))
+        shards.setdefault(null_shard(spark, t) if i is None else i // packing.SHARD_DOCS, []).append((i, t))
     for s, own in shards.items():
         found = packing.windows([i for i, _ in own], [t for _, t in own], packing.LENGTH, packing.SENTENCE_CUT, packing.HARD_CUT)
         out += [(s, k, tuple(seg), body, n) for k, (seg, body, n) in enumerate(found)]
