@@ -8,11 +8,13 @@ own, with the file opened anew; at last it gives a row that tells the error.
 from __future__ import annotations
 
 import struct
+import time
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -25,7 +27,9 @@ SCHEMA = "archive string, member string, offset bigint, stored_bytes bigint, pay
 _ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("stored_bytes", pa.int64()), ("payload", pa.binary()), ("attempts", pa.int32()), ("error", pa.string())])
 RANGE_BYTES = 128 << 20
 BATCH_BYTES, BATCH_MEMBERS = 4 << 20, 500
-RETRIES = 3
+RETRIES, PAUSE_S = 3, 0.2
+#: A member that says it is larger than this isn't inflated; its row tells so.
+MEMBER_BYTES = 1 << 30
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,8 +44,18 @@ class Range(InputPartition):
     high: int
 
 
-def read_member(file: pa.NativeFile, info: zipfile.ZipInfo) -> bytes:
-    """The payload at a member's offset, checked against its CRC."""
+class Unreadable(ValueError):
+    """What no second try mends."""
+
+
+def read_member(file: pa.NativeFile, info: zipfile.ZipInfo, most: int = MEMBER_BYTES) -> bytes:
+    """The payload at a member's offset, checked against its size and CRC; no more than its size is inflated."""
+    if max(info.file_size, info.compress_size) > most:
+        raise Unreadable(f"member of {max(info.file_size, info.compress_size)} bytes; at most {most} are read")
+    if info.flag_bits & 1:
+        raise Unreadable("member is encrypted")
+    if info.compress_type not in (zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED):
+        raise Unreadable(f"compression {info.compress_type} isn't supported")
     file.seek(info.header_offset)
     header = file.read(30)
     if len(header) < 30 or header[:4] != b"PK\x03\x04":
@@ -50,9 +64,10 @@ def read_member(file: pa.NativeFile, info: zipfile.ZipInfo) -> bytes:
     file.seek(info.header_offset + 30 + name + extra)
     data = file.read(info.compress_size)
     if info.compress_type == zipfile.ZIP_DEFLATED:
-        data = zlib.decompress(data, -15)
-    elif info.compress_type != zipfile.ZIP_STORED:
-        raise ValueError(f"compression {info.compress_type} isn't supported")
+        inflate = zlib.decompressobj(-15)
+        data = inflate.decompress(data, info.file_size + 1)
+    if len(data) != info.file_size:
+        raise ValueError("payload isn't as long as its member says")
     if zlib.crc32(data) != info.CRC:
         raise ValueError("payload doesn't match its CRC")
     return data
@@ -63,6 +78,7 @@ class Members(DataSourceReader):
         self.path = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.retries = int(options.get("retries", RETRIES))
+        self.most = int(options.get("memberbytes", MEMBER_BYTES))
 
     def partitions(self) -> list[Range]:
         system, path = located(self.path)
@@ -83,7 +99,7 @@ class Members(DataSourceReader):
         try:
             with system.open_input_file(path) as file:
                 members = zipfile.ZipFile(file).infolist()
-        except (OSError, ValueError, zipfile.BadZipFile) as e:
+        except (OSError, ValueError, NotImplementedError, struct.error, zipfile.BadZipFile) as e:
             if part.low == 0:
                 yield pa.RecordBatch.from_pylist([row(None, None, None, None, 1, f"{type(e).__name__}: {e}"[:500])], _ARROW)
             return
@@ -96,9 +112,14 @@ class Members(DataSourceReader):
                     attempts += 1
                     try:
                         file = file or system.open_input_file(path)
-                        data, error = read_member(file, info), None
-                    except (OSError, ValueError, zlib.error) as e:
+                        data, error = read_member(file, info, self.most), None
+                    except Unreadable as e:
                         error = f"{type(e).__name__}: {e}"[:500]
+                        break
+                    except (OSError, ValueError, struct.error, zlib.error) as e:
+                        error = f"{type(e).__name__}: {e}"[:500]
+                        if isinstance(e, OSError) and attempts < self.retries:
+                            time.sleep(PAUSE_S * attempts)
                         if file:
                             file.close()
                         file = None
@@ -115,7 +136,7 @@ class Members(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("archive_members").load(directory)``; options rangeBytes, retries."""
+    """``spark.read.format("archive_members").load(directory)``; options rangeBytes, retries, memberBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,12 +149,12 @@ class ArchiveSource(DataSource):
         return Members({k.lower(): v for k, v in self.options.items()})
 
 
-def scan(spark: SparkSession, directory: str, range_bytes: int = RANGE_BYTES, retries: int = RETRIES) -> DataFrame:
+def scan(spark: SparkSession, directory: str, range_bytes: int = RANGE_BYTES, retries: int = RETRIES, member_bytes: int = MEMBER_BYTES) -> DataFrame:
     """One row of SCHEMA for each member of the archives below a directory (or of one archive), in no order. Empty members: empty payloads.
-    Broken members: null payload and the error; broken archives: one row with a null member. Members of the same name stay apart, by
+    Broken members, encrypted ones, those of an unknown compression and those that say they have more than ``member_bytes``: null payload and the error; broken archives: one row with a null member. Members of the same name stay apart, by
     their offset. A directory that is empty or missing: no rows."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive_members").option("rangeBytes", range_bytes).option("retries", retries).load(directory)
+    return spark.read.format("archive_members").option("rangeBytes", range_bytes).option("retries", retries).option("memberBytes", member_bytes).load(directory)
 
 
 def write(rows: DataFrame, directory: str, archive_bytes: int = 256 << 20, level: int = 6) -> int:
@@ -188,19 +209,40 @@ def media_type(payload: Column, member: Column) -> Column:
     return F.when(payload.isNotNull(), magic.otherwise("application/octet-stream"))
 
 
+def jpeg_sizes(payload: pd.Series) -> pd.DataFrame:
+    """Width and height from JPEGs' frame headers; null where there is none."""
+
+    def size(data: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while data and at + 9 <= len(data) and data[at] == 0xFF:
+            kind = data[at + 1]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+                return width, height
+            at += 2 if kind == 0xFF or 0xD0 <= kind <= 0xD9 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        return None, None
+
+    return pd.DataFrame([size(d) for d in payload], columns=["width", "height"], dtype="Int32")
+
+
 def columns(members: DataFrame) -> DataFrame:
-    """Members with media_type, n_bytes, md5, and width and height of PNG and GIF images; columns of these names are replaced."""
+    """Members with media_type, n_bytes, md5; width and height of PNG, GIF and JPEG images; channels, sample_rate and seconds of WAV audio; columns of these names are replaced.
+    Null where the payload isn't of such a kind, or too short for its header."""
     p = F.col("payload")
 
     def number(at: int, size: int, little: bool = False) -> Column:
         parts = [F.hex(F.substring(p, at + k, 1)) for k in range(size)]
-        return F.conv(F.concat(*(parts[::-1] if little else parts)), 16, 10).cast("int")
+        return F.conv(F.concat(*(parts[::-1] if little else parts)), 16, 10).cast("bigint")
 
     kind = media_type(p, F.col("member"))
-    return members.withColumns(
+    frame = F.pandas_udf(jpeg_sizes, "struct<width:int,height:int>")(F.when(kind == "image/jpeg", p))
+    wav, rate = kind == "audio/wav", number(29, 4, True)
+    told = members.withColumns({"media_type": kind, "n_bytes": F.octet_length(p).cast("bigint"), "md5": F.md5(p), "_frame": frame})
+    return told.withColumns(
         {
-            "media_type": kind, "n_bytes": F.octet_length(p).cast("bigint"), "md5": F.md5(p),
-            "width": F.when(kind == "image/png", number(17, 4)).when(kind == "image/gif", number(7, 2, True)),
-            "height": F.when(kind == "image/png", number(21, 4)).when(kind == "image/gif", number(9, 2, True)),
+            "width": F.when(kind == "image/png", number(17, 4)).when(kind == "image/gif", number(7, 2, True)).otherwise(F.col("_frame.width")).cast("int"),
+            "height": F.when(kind == "image/png", number(21, 4)).when(kind == "image/gif", number(9, 2, True)).otherwise(F.col("_frame.height")).cast("int"),
+            "channels": F.when(wav, number(23, 2, True)).cast("int"), "sample_rate": F.when(wav, number(25, 4, True)).cast("int"),
+            "seconds": F.when(wav & (rate > 0), F.round((F.octet_length(p) - 44) / rate, 3)),
         }
-    )
+    ).drop("_frame")

@@ -54,7 +54,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     media.write(pages.select(F.concat("page_id", F.lit(".html")).alias("member"), F.col("html").alias("payload")), folder)
     found = media.columns(media.scan(spark, folder))
-    return found.select(F.regexp_extract("member", "^(.*)[.]html$", 1).cast("bigint").alias("page_id"), "media_type", "n_bytes", "md5", "error")
+    return found.select(F.regexp_extract("member", "^(.*)[.]html$", 1).cast("bigint").alias("page_id"), "media_type", "n_bytes", "md5", "width", "height", "error")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ n AS (SELECT *, count_if(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM
 SELECT doc_id, CAST(min(i) AS INTEGER) AS first_word, CAST(max(i) + 50 - min(i) AS INTEGER) AS n_words, min(s) AS start, max(z) AS "end", arg_min(f, i) AS first_doc
 FROM n GROUP BY doc_id, part""",
     "op7_media_columns": """
-SELECT page_id, 'text/html' AS media_type, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS md5, CAST(NULL AS VARCHAR) AS error FROM pages
+SELECT page_id, 'text/html' AS media_type, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS md5, CAST(NULL AS INTEGER) AS width, CAST(NULL AS INTEGER) AS height, CAST(NULL AS VARCHAR) AS error FROM pages
 WHERE page_id IS NOT NULL AND html IS NOT NULL""",
     "op3_mixing": rf"""
 WITH d AS (
