@@ -323,6 +323,8 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
     kept = {r["shard"]: r["kept"] for r in told}
     offsets = np.concatenate([[0], np.cumsum([kept.get(s, 0) for s in range(shards)])]).astype(np.int64).tolist()
     tokens, known = sum(r["tokens"] for r in told), sum(r["known"] for r in told)
+    if offsets[-1] >= 1 << 31:
+        raise OverflowError(f"{offsets[-1]} words; words are numbered by 31 bits")
     trie = Trie(folder, bits, offsets, tokens, (tokens - known + 1) / (tokens + offsets[-1] + 1), [])
 
     def write_level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +401,8 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
         kept = {r["shard"]: r["kept"] for r in rows.mapInArrow(write_level(level), "shard int, kept bigint").collect()}
         if level == 2:
             trie.nodes = np.concatenate([[0], np.cumsum([kept.get(s, 0) for s in range(shards)])]).astype(np.int64).tolist()
+            if trie.nodes[-1] >= 1 << 32:
+                raise OverflowError(f"{trie.nodes[-1]} bigrams; contexts are numbered by 32 bits")
     return trie, numbered
 
 
@@ -422,7 +426,7 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(trie: Trie, numbered: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, perplexity) of the numbered texts, one pass without a shuffle."""
+    """(doc_id, n_tokens, mean_log_prob, perplexity) of the numbered texts, one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,16 +437,17 @@ def score(trie: Trie, numbered: DataFrame) -> DataFrame:
                 where = piece.column("ids").offsets.to_numpy()
                 where = where - where[0]
                 n, log_prob = np.diff(where), total[where[1:]] - total[where[:-1]]
-                perplexity = np.exp(np.minimum(-log_prob / np.maximum(n, 1), 700))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(log_prob), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+                mean = log_prob / np.maximum(n, 1)
+                perplexity = np.exp(np.minimum(-mean, 700))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(mean, mask=n == 0), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_tokens", "mean_log_prob", "perplexity"])
 
-    return numbered.mapInArrow(run, "doc_id bigint, n_tokens int, log_prob double, perplexity double")
+    return numbered.mapInArrow(run, "doc_id bigint, n_tokens int, mean_log_prob double, perplexity double")
 
 
 def scored(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Each row's doc_id, n_tokens, log_prob (natural) and perplexity under the trigram model of all rows' texts.
+    """Each row's doc_id, n_tokens, mean_log_prob (the natural logarithm of its probability, for each token) and perplexity under the trigram model of all rows' texts.
 
-    Words are runs of characters other than ASCII white space. Null or empty texts: 0 tokens, log_prob 0, perplexity null. Null doc_id: scored, with
+    Words are runs of characters other than ASCII white space. Null or empty texts: 0 tokens, the others null. Null doc_id: scored, with
     a null id. Repeated rows count in the model as often as they stand, and have the same score. Other columns play no part. An empty table gives an empty result.
     """
     return score(*train(docs, min_word, min_gram, shard_bytes))

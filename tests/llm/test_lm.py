@@ -57,17 +57,17 @@ def test_against_brute_force(make, min_word, min_gram, shard_bytes):
     trie, numbered = lm.train(make(rows, extra=True), min_word, min_gram, shard_bytes)
     expected, known, kept2 = brute(rows, min_word, min_gram)
     assert trie.size == len(known) and trie.tokens == sum(len((t or "").split()) for _, t in rows)
-    got = sorted(((r.doc_id, r.n_tokens, r.log_prob, r.perplexity) for r in lm.score(trie, numbered).collect()), key=lambda r: (repr(r[0]), r[1]))
+    got = sorted(((r.doc_id, r.n_tokens, r.mean_log_prob, r.perplexity) for r in lm.score(trie, numbered).collect()), key=lambda r: (repr(r[0]), r[1]))
     want = sorted(((i, len((t or "").split()), e) for (i, t), e in zip(rows, expected)), key=lambda r: (repr(r[0]), r[1]))
     for g, w in zip(got, want):
-        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-3 * max(1, w[1]))
+        assert g[:2] == w[:2] and (g[2] == pytest.approx(w[2] / w[1], abs=1e-3) if w[1] else g[2] is None)
         assert g[3] is None if not w[1] else g[3] == pytest.approx(math.exp(min(-w[2] / w[1], 700)), rel=2e-3)
     assert sum(len(trie.successors(k)) for k in range(trie.size)) == len(kept2)
 
 
 def test_empty(make):
     assert lm.scored(make([])).count() == 0
-    assert [(r.n_tokens, r.log_prob, r.perplexity) for r in lm.scored(make([(1, None)])).collect()] == [(0, 0.0, None)]
+    assert [(r.n_tokens, r.mean_log_prob, r.perplexity) for r in lm.scored(make([(1, None)])).collect()] == [(0, None, None)]
 
 
 @pytest.mark.parametrize("min_gram, shard_bytes", [(2, 1 << 30), (2, 500), (3, 2000)])
@@ -76,9 +76,9 @@ def test_words_that_stand_once_are_counted_whole(make, min_gram, shard_bytes):
     trie, numbered = lm.train(make(rows), 1, min_gram, shard_bytes)
     expected, known, _ = brute(rows, 1, min_gram)
     assert trie.size == len(known)
-    got = sorted((repr(r.doc_id), r.n_tokens, r.log_prob) for r in lm.score(trie, numbered).collect())
+    got = sorted((repr(r.doc_id), r.n_tokens, r.mean_log_prob) for r in lm.score(trie, numbered).collect())
     for g, w in zip(got, sorted((repr(i), len((t or "").split()), e) for (i, t), e in zip(rows, expected))):
-        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-3 * max(1, w[1]))
+        assert g[:2] == w[:2] and (g[2] == pytest.approx(w[2] / w[1], abs=1e-3) if w[1] else g[2] is None)
 
 
 def test_junk_of_rare_words_scores_worse_than_running_text(make):
