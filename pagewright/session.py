@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,30 @@ def ship_package() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fallback only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local folder serves a local master, as in tests; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir isn't set: the executors of {master} need a folder that they share")
     return folder or _FALLBACK_CHECKPOINTS
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, which is deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     safe_unions(df.sparkSession)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +22,8 @@ def lines_to(stream: DataFrame, path: str, checkpoint: str | None = None) -> Str
     def write(batch: DataFrame, number: int) -> None:
         layout.line_texts(layout.quick_lines(layout.words(batch))).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    checkpoint = checkpoint or f"{shared_folder(stream.sparkSession)}/lines-stream"
+    # Each output has a checkpoint of its own, found again by its path.
+    checkpoint = checkpoint or f"{shared_folder(stream.sparkSession)}/lines-stream-{hashlib.md5(path.encode()).hexdigest()}"
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
