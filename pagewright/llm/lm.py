@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.columns import cuts, release, signed, utf8, word_hashes, words
 from pagewright.llm.eliasfano import EliasFano
-from pagewright.session import shared_folder
+from pagewright.session import scratch
 
 MIN_WORD, MIN_GRAM = 1, 2
 SHARD_BYTES = 32 << 20
@@ -292,7 +292,7 @@ def train(docs: DataFrame, min_word: int = MIN_WORD, min_gram: int = MIN_GRAM, s
     """(the trie, (doc_id, ids) of all texts): three counts over the whole corpus, each with one shuffle of what tasks have counted.
     Words of fewer than ``min_word`` occurrences are unknown; bigrams and trigrams of fewer than ``min_gram`` are pruned."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    folder = scratch(spark, "lm")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (int(size) // shard_bytes).bit_length())
     shards = 1 << bits

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import jaccard, licenses, lm, media, mixing, packing, pii, quality, suffixes, vectors
-from pagewright.session import shared_folder, table
+from pagewright.session import scratch, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as members of archives in the shared folder and read again by the archive source."""
-    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    folder = scratch(spark, "archives")
     pages = table(spark, sf_dir, "pages")
     media.write(pages.select(F.concat("page_id", F.lit(".html")).alias("member"), F.col("html").alias("payload")), folder)
     found = media.columns(media.scan(spark, folder))

@@ -116,3 +116,11 @@ def test_queries_cover_whole_tables(spark):
     assert queries.op1_pii(spark, SF).count() == n
     ids = queries.op8_packing(spark, SF).select(F.explode("doc_ids").alias("doc_id")).distinct().count()
     assert ids == spark.read.parquet(f"{SF}/documents.parquet").where("trim(text) <> ''").count()
+
+
+def test_stages_take_any_column_names(spark, tables):
+    _, folder = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 as `a.b`", "2 as `c``d`", "3 as `MIX_Tier`", "4 as `Quality_Keep`", "5 as class_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns[:7] == docs.columns[:7] and set(out.columns) <= set(docs.columns) and out.count() > 0
