@@ -64,8 +64,10 @@ def words(glyphs: DataFrame, line_gap: float = 3.0) -> DataFrame:
 
 
 def font_statistics(words_: DataFrame) -> DataFrame:
-    """(page_idx, font, n_words) over words (page_idx, word_idx, font)."""
-    return words_.groupBy("page_idx", "font").agg(F.countDistinct("word_idx").alias("n_words"))
+    """(doc_id, page_idx, font, n_words, n_mixed) over words (doc_id, page_idx, word_idx, font), a row for each font of a word: words that have the font, and those of them that have others, too."""
+    each = words_.select("doc_id", "page_idx", "word_idx", "font").distinct()
+    fonts = each.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "page_idx", "word_idx")))
+    return fonts.groupBy("doc_id", "page_idx", "font").agg(F.count("*").alias("n_words"), F.count_if(F.col("_n") > 1).alias("n_mixed"))
 
 
 def merged(words_: DataFrame, gap: float = 2.0, rise: float = 1.0) -> DataFrame:

@@ -130,8 +130,10 @@ def sentences(text: Column) -> Column:
 
 
 def tagged_for_translation(sentence: Column, source: str, target: str, limit: int = 256) -> Column:
-    """Language tags before the first ``limit`` tokens."""
-    return F.concat_ws(" ", F.lit(source), F.lit(target), F.array_join(F.slice(F.split(sentence, " "), 1, limit), " "))
+    """Array: the sentence in parts of ``limit`` tokens, as many as a translator takes at once, each with language tags before it. No token is dropped."""
+    tokens = F.split(sentence, " ")
+    nth = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / limit).cast("int"))
+    return F.transform(nth, lambda i: F.concat_ws(" ", F.lit(source), F.lit(target), F.array_join(F.slice(tokens, i * limit + 1, limit), " ")))
 
 
 def detokenised(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 
 import pandas as pd
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from pagewright.operators.layout import PAGE
 from pagewright.session import durable
 
-COMMANDS = {
-    "clearWord": 1, "clearWords": None, "clearChar": 2, "newWord": 3, "newAdjWord": 3, "mergeWords": None, "splitWord": 2, "replaceStr": 3, "moveEdge": None, "moveEdges": None, "addWords": None,
-    "addWordIdxs": None, "deletePage": 1,
-}
+#: command: least and most arguments.
+WORD_COMMANDS = {"clearWord": (1, 1), "clearWords": (1, None), "clearChar": (2, 2), "newWord": (3, 3), "newAdjWord": (3, 3), "mergeWords": (1, None), "splitWord": (2, 2), "replaceStr": (3, 3), "deletePage": (1, 1)}
+EDGE_COMMANDS = {"moveEdge": (3, 4), "moveEdges": (3, 4)}
+REGION_COMMANDS = {"addWords": (1, None), "addWordIdxs": (1, None)}
+COMMANDS = WORD_COMMANDS | EDGE_COMMANDS | REGION_COMMANDS
 
 
 class UnknownCommand(ValueError):
@@ -28,32 +30,47 @@ def parsed(lines: list[str], source: str = "edits") -> list[tuple[int, str, list
         parts = shlex.split(line, comments=True)
         if not parts:
             continue
-        if parts[0] not in COMMANDS or (COMMANDS[parts[0]] is not None and len(parts) - 1 != COMMANDS[parts[0]]):
+        low, high = COMMANDS.get(parts[0], (1 << 30, None))
+        if len(parts) - 1 < low or (high is not None and len(parts) - 1 > high):
             raise UnknownCommand(f"{source}:{k}: {line!r} isn't a known command")
         out.append((len(out), parts[0], parts[1:]))
     return out
 
 
+def known_edits(edits: DataFrame, commands: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """The edits (doc_id, seq, cmd, args) of some commands; a command that is none at all is an error."""
+    named = F.col("cmd").isin(*COMMANDS)
+    checked = F.when(named, F.col("cmd")).otherwise(F.raise_error(F.concat(F.lit("unknown edit command "), F.coalesce("cmd", F.lit("null")))))
+    return edits.withColumn("cmd", checked).where(F.col("cmd").isin(*commands))
+
+
 def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
-    """Words after edits (doc_id, seq, cmd, args), in order within a document. Pages without an edit pass by untouched; the others are folded one document at a time.
+    """Words after edits (doc_id, seq, cmd, args), in order within a document. Only pages that an edit names are folded, and all of a document of which a page is deleted; all others pass by untouched.
+    Edits of edges and regions don't concern words (see edited_edges, edited_regions); unknown commands and paths without a word are errors.
 
     Columns doc_id, page_idx, word_idx, text, orig_text, xmin, ymin, xmax, ymax. A cleared word keeps its row; new words come last; deletePage makes later pages one less.
     """
     columns = [*PAGE, "word_idx", "text", "orig_text", "xmin", "ymin", "xmax", "ymax"]
     slim = page_words.select(*PAGE, "word_idx", "text", F.lit(None).cast("string").alias("orig_text"), *[F.col(c).cast("double") for c in columns[5:]])
-    touched = edits.select("doc_id").distinct()
-    per_doc = edits.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "cmd", "args")))).alias("todo"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
+    own = known_edits(edits, WORD_COMMANDS).select("doc_id", "seq", "cmd", "args")
+    named = own.select("doc_id", "cmd", F.explode("args").alias("arg")).select("doc_id", "cmd", F.regexp_extract("arg", "^pa([0-9]+)([.]|$)", 1).alias("page")).where("page <> ''")
+    per_doc = named.groupBy("doc_id").agg(F.collect_set(F.col("page").cast("int")).alias("_pages"), F.bool_or(F.col("cmd") == "deletePage").alias("_whole"))
+    marked = slim.join(per_doc, "doc_id", "left").withColumn("_edited", F.coalesce(F.col("_whole") | F.array_contains("_pages", F.col("page_idx")), F.lit(False))).drop("_pages", "_whole")
+
+    def fold(pdf: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            if len(todo):
+                raise UnknownCommand(f"edits of document {todo['edit_doc'].iloc[0]}: none of its pages has a word")
+            return pd.DataFrame([], columns=columns)
         rows = {(r.page_idx, r.word_idx): r._asdict() for r in pdf[columns].itertuples(index=False)}
         doc = pdf["doc_id"].iloc[0]
 
         def at(path: str) -> list[tuple[int, int]]:
-            page, _, word = path.partition(".")
-            low, _, high = word[2:].partition(":")
-            return [(int(page[2:]), k) for k in range(int(low), int(high or low) + 1)]
+            found = re.fullmatch(r"pa(\d+)[.]wo(\d+)(?::(\d+))?", path)
+            keys = [(int(found[1]), k) for k in range(int(found[2]), int(found[3] or found[2]) + 1)] if found else []
+            if not keys or not all(k in rows for k in keys):
+                raise UnknownCommand(f"document {doc}: {path!r} isn't a word")
+            return keys
 
         def put(key: tuple[int, int], text: str) -> None:
             r = rows[key]
@@ -65,8 +82,7 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
             k = max(w for p, w in rows if p == page) + 1
             rows[page, k] = {"doc_id": doc, "page_idx": page, "word_idx": k, "text": text, "orig_text": None, "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
 
-        for e in json.loads(pdf["todo"].iloc[0]):
-            cmd, args = e["cmd"], e["args"]
+        for cmd, args in todo.sort_values("seq", kind="stable")[["cmd", "args"]].itertuples(index=False):
             if cmd in ("clearWord", "clearWords"):
                 for p in args:
                     for key in at(p):
@@ -107,10 +123,37 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
             elif cmd == "deletePage":
                 gone = int(args[0][2:])
                 rows = {(p - (p > gone), w): r | {"page_idx": p - (p > gone)} for (p, w), r in rows.items() if p != gone}
+            else:
+                raise UnknownCommand(f"document {doc}: {cmd!r} isn't a command of words")
         return pd.DataFrame([rows[k] for k in sorted(rows)], columns=columns)
 
-    changed = slim.join(per_doc, "doc_id").groupBy("doc_id").applyInPandas(fold, slim.schema)
-    return slim.join(touched, "doc_id", "left_anti").unionByName(changed)
+    changed = marked.where("_edited").drop("_edited").groupBy("doc_id").cogroup(own.withColumnRenamed("doc_id", "edit_doc").groupBy("edit_doc")).applyInPandas(fold, slim.schema)
+    return marked.where("not _edited").drop("_edited").unionByName(changed)
+
+
+def edited_edges(edges: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edges (doc_id, page_idx, edge_idx, x1, y1, x2, y2, in parts of a page) after moveEdge and moveEdges (path, coord1 or coord2, direction, thousandths: 5 if not told); a path is pa0.ed3, or pa0.ed3:5 for a range.
+    Moves add up, so their order doesn't count; a path of another form is an error."""
+    own = known_edits(edits, EDGE_COMMANDS)
+    path, form = F.get("args", F.lit(0)), "^pa([0-9]+)[.]ed([0-9]+)(:([0-9]+))?$"
+    part = lambda k: F.regexp_extract(path, form, k)
+    good = path.rlike(form) & F.get("args", F.lit(1)).isin("coord1", "coord2")
+    first = F.when(good, part(2)).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), F.array_join("args", " ")))).cast("int")
+    moves = own.select(
+        "doc_id", part(1).cast("int").alias("page_idx"), F.explode(F.sequence(first, F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), first))).alias("edge_idx"),
+        F.get("args", F.lit(1)).alias("which"), F.get("args", F.lit(2)).alias("direction"), F.coalesce(F.get("args", F.lit(3)).cast("int"), F.lit(5)).alias("thou"),
+    )
+    return move_edges(edges, moves, (*PAGE, "edge_idx"))
+
+
+def edited_regions(regions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Regions (doc_id, page_idx, region, word_idxs) with the words that addWords (region, paths of words of its page) and addWordIdxs (region, indices) put behind their own, in the edits' order."""
+    own = known_edits(edits, REGION_COMMANDS).select("doc_id", F.get("args", F.lit(0)).alias("region"), "seq", "cmd", F.expr("slice(args, 2, size(args))").alias("what"))
+    added = own.select("doc_id", "region", "seq", "cmd", F.posexplode("what").alias("pos", "word"))
+    index = F.when(F.col("cmd") == "addWords", F.regexp_extract("word", "^pa[0-9]+[.]wo([0-9]+)$", 1)).otherwise(F.col("word")).cast("int")
+    each = added.withColumn("_i", index).groupBy("doc_id", "region").agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "_i"))).alias("_new"))
+    out = regions.join(each, ["doc_id", "region"], "left")
+    return out.select(*[c for c in regions.columns if c != "word_idxs"], F.concat("word_idxs", F.coalesce(F.transform("_new", lambda n: n["_i"]), F.array().cast("array<int>"))).alias("word_idxs"))
 
 
 def replace_strings(page_words: DataFrame, edits: DataFrame) -> DataFrame:
@@ -120,14 +163,14 @@ def replace_strings(page_words: DataFrame, edits: DataFrame) -> DataFrame:
     return both.withColumn("orig_text", F.when(F.col("old").isNotNull(), F.col("text"))).withColumn("text", new).select(*page_words.columns, "orig_text")
 
 
-def move_edges(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """Edges (edge_idx, x1, y1, x2, y2) after moves (edge_idx, which, direction, thou): an end shifted by thousandths of the page."""
+def move_edges(edges: DataFrame, moves: DataFrame, key: tuple[str, ...] = ("edge_idx",)) -> DataFrame:
+    """Edges (key, x1, y1, x2, y2) after moves (key, which, direction, thou): an end shifted by thousandths of the page."""
     step = lambda axis, plus, minus: F.sum(F.when(F.col("direction") == plus, F.col("thou")).when(F.col("direction") == minus, -F.col("thou")).otherwise(0))
-    each = moves.groupBy("edge_idx", "which").agg((step("x", "right", "left") / 1000).alias("dx"), (step("y", "down", "up") / 1000).alias("dy"))
-    first = each.where("which = 'coord1'").select("edge_idx", F.col("dx").alias("dx1"), F.col("dy").alias("dy1"))
-    second = each.where("which = 'coord2'").select("edge_idx", F.col("dx").alias("dx2"), F.col("dy").alias("dy2"))
-    out = edges.join(first, "edge_idx", "left").join(second, "edge_idx", "left")
-    return out.select("edge_idx", *[(F.col(c) + F.coalesce(F.col(f"d{c}"), F.lit(0.0))).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    each = moves.groupBy(*key, "which").agg((step("x", "right", "left") / 1000).alias("dx"), (step("y", "down", "up") / 1000).alias("dy"))
+    first = each.where("which = 'coord1'").select(*key, F.col("dx").alias("dx1"), F.col("dy").alias("dy1"))
+    second = each.where("which = 'coord2'").select(*key, F.col("dx").alias("dx2"), F.col("dy").alias("dy2"))
+    out = edges.join(first, list(key), "left").join(second, list(key), "left")
+    return out.select(*key, *[(F.col(c) + F.coalesce(F.col(f"d{c}"), F.lit(0.0))).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def delete_page(words: DataFrame, page_idx: int) -> DataFrame:

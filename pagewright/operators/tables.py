@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.operators.layout import PAGE, joined
+from pagewright.operators.regions import names_a_serial
+
+
+TABLE = (*PAGE, "table_idx")
+
+
+def _bands(bands: DataFrame, index: str, low: str, high: str, name: str) -> DataFrame:
+    """A table's bands as one array, in the order of their index; as long as a table has rows or columns."""
+    return bands.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(low).alias("low"), F.col(high).alias("high")))).alias(name))
 
 
 def cells_first_match(words: DataFrame, rows: DataFrame, columns: DataFrame, percent: int = 50) -> DataFrame:
-    """Each word of a page in its first cell: the least (row_idx, col_idx) of which the row's and the column's band both cover ``percent`` of the word. rows: (row_idx, y0, y1); columns: (col_idx, x0, x1)."""
+    """(doc_id, page_idx, table_idx, word_idx, row_idx, col_idx): each word of a page in its first cell of each table there: the least (row_idx, col_idx) of which the row's and the column's band both cover ``percent`` of the word.
+    rows: (doc_id, page_idx, table_idx, row_idx, y0, y1); columns: (…, col_idx, x0, x1). A word that no row takes is offered to the next, so the least row that takes it is the one; see leftovers for the others."""
+    grid = _bands(rows, "row_idx", "y0", "y1", "_rows").join(_bands(columns, "col_idx", "x0", "x1", "_columns"), list(TABLE))
     own = G.box()
     across = {"xmin": F.lit(-1), "xmax": F.lit(1001)}
-    in_row = G.overlap_percent(own, across | {"ymin": F.col("y0"), "ymax": F.col("y1")}) >= percent
-    in_column = G.overlap_percent(own, {"ymin": F.lit(-1), "ymax": F.lit(1001), "xmin": F.col("x0"), "xmax": F.col("x1")}) >= percent
-    key = (*PAGE, "word_idx")
-    placed = words.join(rows, in_row).groupBy(*key).agg(F.min("row_idx").alias("row_idx")).join(words.join(columns, in_column).groupBy(*key).agg(F.min("col_idx").alias("col_idx")), list(key))
-    return placed
+    down = {"ymin": F.lit(-1), "ymax": F.lit(1001)}
+    in_row = F.filter("_rows", lambda r: G.overlap_percent(own, across | {"ymin": r["low"], "ymax": r["high"]}) >= percent)
+    in_column = F.filter("_columns", lambda c: G.overlap_percent(own, down | {"xmin": c["low"], "xmax": c["high"]}) >= percent)
+    placed = words.join(grid, list(PAGE)).withColumn("row_idx", F.get(in_row, F.lit(0))["i"]).withColumn("col_idx", F.get(in_column, F.lit(0))["i"])
+    return placed.where("row_idx is not null and col_idx is not null").select(*TABLE, "word_idx", "row_idx", "col_idx")
+
+
+def leftovers(words: DataFrame, tables: DataFrame, placed: DataFrame) -> DataFrame:
+    """Words (with table_idx) of the pages of tables (doc_id, page_idx, table_idx) that are in no cell of theirs."""
+    key = [*TABLE, "word_idx"]
+    return words.join(tables.select(*TABLE).distinct(), list(PAGE)).join(placed.select(*key).distinct(), key, "left_anti")
 
 
 def cells_all_matches(words: DataFrame, cells: DataFrame, percent: int = 70) -> DataFrame:
-    """Each word with every cell (row_idx, col_idx, x0, y0, x1, y1) that covers more than ``percent`` of it."""
-    cell = {"xmin": F.col("x0"), "ymin": F.col("y0"), "xmax": F.col("x1"), "ymax": F.col("y1")}
-    touching = (F.col("xmin") <= F.col("x1")) & (F.col("xmax") >= F.col("x0")) & (F.col("ymin") <= F.col("y1")) & (F.col("ymax") >= F.col("y0"))
-    return words.join(cells, touching & (G.overlap_percent(G.box(), cell) > percent)).select(*PAGE, "word_idx", "row_idx", "col_idx")
+    """(doc_id, page_idx, table_idx, word_idx, row_idx, col_idx): each word with every cell of its page (doc_id, page_idx, table_idx, row_idx, col_idx, x0, y0, x1, y1) that covers more than ``percent`` of it."""
+    fields = ("row_idx", "col_idx", "x0", "y0", "x1", "y1")
+    grid = cells.groupBy(*TABLE).agg(F.collect_list(F.struct(*fields)).alias("_cells"))
+    cell = lambda c: {"xmin": c["x0"], "ymin": c["y0"], "xmax": c["x1"], "ymax": c["y1"]}
+    held = words.join(grid, list(PAGE)).select(*TABLE, "word_idx", F.explode(F.filter("_cells", lambda c: G.overlap_percent(G.box(), cell(c)) > percent)).alias("c"))
+    return held.select(*TABLE, "word_idx", "c.row_idx", "c.col_idx")
+
+
+def kept_rows(placed: DataFrame, words: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, page_idx, table_idx, row_idx, n_words, is_header) of rows of placed words that have ``least`` words with a text; a header's first cell names a serial number."""
+    both = placed.join(words.select(*PAGE, "word_idx", "text", "xmin"), [*PAGE, "word_idx"])
+    first = joined(F.struct("xmin", "word_idx"), F.when(F.col("col_idx") == 0, F.col("text")).otherwise(""))
+    rows = both.groupBy(*TABLE, "row_idx").agg(F.count_if(F.col("text") != "").alias("n_words"), first.alias("_head"))
+    return rows.where(F.col("n_words") >= least).withColumn("is_header", names_a_serial(F.col("_head"))).drop("_head")
 
 
 def clipped_area(polygon: list[tuple[float, float]], window: list[tuple[float, float]]) -> float:
@@ -70,25 +95,32 @@ def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return low[:-1] + high[:-1]
 
 
-def cells_by_polygon(words: DataFrame, cells: list[tuple[int, int, list[tuple[float, float]]]], share: float = 0.5) -> DataFrame:
-    """Each word in the first (row, column) of convex cells that covers more than ``share`` of its box. The cells are a table's grid, known to all tasks."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ordered = [(*c, min(x for x, _ in c[2]), max(x for x, _ in c[2]), min(y for _, y in c[2]), max(y for _, y in c[2])) for c in sorted(cells, key=lambda c: c[:2])]
-        for frame in frames:
-            out = []
-            for d, p, w, x0, y0, x1, y1 in frame[["doc_id", "page_idx", "word_idx", "xmin", "ymin", "xmax", "ymax"]].itertuples(index=False):
-                box = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-                whole = (x1 - x0) * (y1 - y0)
-                for r, c, polygon, left, right, top, bottom in ordered:
-                    if x1 <= left or x0 >= right or y1 <= top or y0 >= bottom:
-                        continue
-                    if whole and clipped_area(box, polygon) / whole > share:
-                        out.append((d, p, w, r, c))
-                        break
-            yield pd.DataFrame(out, columns=["doc_id", "page_idx", "word_idx", "row_idx", "col_idx"])
-
-    return words.select(*PAGE, "word_idx", "xmin", "ymin", "xmax", "ymax").mapInPandas(run, "doc_id bigint, page_idx int, word_idx int, row_idx int, col_idx int")
+def cells_by_polygon(words: DataFrame, cells: DataFrame, share: float = 0.5) -> DataFrame:
+    """(doc_id, page_idx, table_idx, word_idx, row_idx, col_idx): each word in the first (row, column) of its page's convex cells (doc_id, page_idx, table_idx, row_idx, col_idx, polygon: array of x, y, turning either way)
+    that covers more than ``share`` of its box. Boxes that lie whole in a cell are told by their corners; only those across a side are clipped."""
+    xs, ys = F.transform("polygon", lambda p: p["x"].cast("double")), F.transform("polygon", lambda p: p["y"].cast("double"))
+    one = F.struct("row_idx", "col_idx", xs.alias("px"), ys.alias("py"), F.array_min(xs).alias("left"), F.array_max(xs).alias("right"), F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"))
+    grid = cells.groupBy(*TABLE).agg(F.collect_list(one).alias("_cells"))
+    boxes = words.select(*PAGE, "word_idx", *[F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")]).where((F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin")))
+    near = F.filter("_cells", lambda c: (F.col("xmax") > c["left"]) & (F.col("xmin") < c["right"]) & (F.col("ymax") > c["top"]) & (F.col("ymin") < c["bottom"]))
+    both = boxes.join(grid, list(PAGE)).select(*TABLE, "word_idx", "xmin", "ymin", "xmax", "ymax", F.explode(near).alias("_c")).select(*TABLE, "word_idx", "xmin", "ymin", "xmax", "ymax", "_c.row_idx", "_c.col_idx", "_c.px", "_c.py")
+    n = F.size("px")
+
+    def turns(x: Column, y: Column) -> Column:
+        """On which sides of the polygon's edges a point lies."""
+        step = lambda k: (F.get("px", (k + 1) % n) - F.get("px", k)) * (y - F.get("py", k)) - (F.get("py", (k + 1) % n) - F.get("py", k)) * (x - F.get("px", k))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.signum(step(k)))
+
+    sides = F.concat(*[turns(F.col(x), F.col(y)) for x in ("xmin", "xmax") for y in ("ymin", "ymax")])
+    inside = F.forall(sides, lambda s: s >= 0) | F.forall(sides, lambda s: s <= 0)
+
+    def clipped(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
+        return pd.Series([clipped_area([(a, b), (c, b), (c, d), (a, d)], list(zip(xs, ys))) / ((c - a) * (d - b)) for a, b, c, d, xs, ys in zip(x0, y0, x1, y1, px, py)], dtype="float64")
+
+    part = F.pandas_udf(clipped, "double")(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax", "px", "py")])
+    told = both.withColumn("_in", inside)
+    covered = told.where("_in").unionByName(told.where("not _in").where(part > share))
+    return covered.groupBy(*TABLE, "word_idx").agg(F.min(F.struct("row_idx", "col_idx")).alias("c")).select(*TABLE, "word_idx", "c.row_idx", "c.col_idx")
 
 
 def depth_histogram(words: DataFrame, group: tuple[str, ...] = PAGE) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
+from pagewright.session import durable
 
 
 def exact(words: DataFrame, vocab: DataFrame, text: str = "text", fold: bool = False) -> DataFrame:
@@ -88,17 +89,27 @@ def differences(left: DataFrame, right: DataFrame, key: str, value: str) -> Data
 # ---- name trees
 
 
-def closure(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(node_id, ancestor_id, distance) of nodes (node_id, parent_id), each its own ancestor at 0; the tree is joined with itself once for each level."""
-    parents = nodes.select(F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    level = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    out = level
-    for k in range(1, depth):
-        level = level.join(parents, "ancestor_id").where("next is not null").select("node_id", F.col("next").alias("ancestor_id"), F.lit(k).alias("distance"))
-        out = out.unionByName(level)
-        if k >= 2 and k % 4 == 0 and level.isEmpty():
-            break
-    return out
+class Circular(ValueError):
+    """A tree in which a node is its own ancestor."""
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """(node_id, ancestor_id, distance) of nodes (node_id, parent_id), each its own ancestor at 0; for trees of any depth. What is known of a node's ancestors is joined with what is known of theirs, so that
+    each round doubles the distance. A circle is an error."""
+    links = nodes.where("parent_id is not null").select("node_id", "parent_id").distinct()
+    if not links.where("node_id = parent_id").isEmpty():
+        raise Circular("a node is its own parent")
+    known = durable(nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct().unionByName(links.select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))))
+    reach = 1
+    while True:
+        far = known.where(F.col("distance") == reach).select("node_id", F.col("ancestor_id").alias("via"))
+        more = far.join(known.select(F.col("node_id").alias("via"), "ancestor_id", (F.col("distance") + reach).alias("distance")).where(F.col("distance") > reach), "via").select("node_id", "ancestor_id", "distance")
+        more = durable(more)
+        if more.isEmpty():
+            return known
+        if not more.where("node_id = ancestor_id").isEmpty():
+            raise Circular("a node is its own ancestor")
+        known, reach = durable(known.unionByName(more)), 2 * reach
 
 
 MOST_NAMES = 2_000_000
@@ -166,12 +177,14 @@ def grouped_spans(spans: DataFrame, texts: DataFrame, tree: DataFrame, key: str,
 
         def depth(n: int) -> int:
             d = 0
-            while parent.get(n) is not None and d < 64:
+            while parent.get(n) is not None:
                 n, d = parent[n], d + 1
+                if d > len(parent):
+                    raise Circular(f"node {n} is its own ancestor")
             return d
 
         def under(n: int, top: int) -> bool:
-            for _ in range(64):
+            for _ in range(len(parent) + 1):
                 if n == top:
                     return True
                 if parent.get(n) is None:

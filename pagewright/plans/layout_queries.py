@@ -21,7 +21,7 @@ WORDS = """
 _line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 _tok AS (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS tok, generate_subscripts(string_split(line, ' '), 1) - 1 AS pos FROM _line),
 _st AS (SELECT *, CAST(coalesce(sum(length(tok) + 1) OVER (PARTITION BY doc_id ORDER BY line_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM _tok WHERE tok <> ''),
-words AS (SELECT doc_id, CAST((s // 80) // 50 AS INTEGER) AS page_idx, CAST(row_number() OVER (PARTITION BY doc_id, (s // 80) // 50 ORDER BY s) - 1 AS INTEGER) AS word_idx, CAST(line_no AS INTEGER) AS line_no,
+words AS MATERIALIZED (SELECT doc_id, CAST((s // 80) // 50 AS INTEGER) AS page_idx, CAST(row_number() OVER (PARTITION BY doc_id, (s // 80) // 50 ORDER BY s) - 1 AS INTEGER) AS word_idx, CAST(line_no AS INTEGER) AS line_no,
   CAST(pos AS INTEGER) AS pos, tok AS text, s AS start, CAST(20 + (s % 80) * 12 AS INTEGER) AS xmin, CAST(10 + ((s // 80) % 50) * 19 AS INTEGER) AS ymin,
   CAST(least(1000, 20 + (s % 80) * 12 + length(tok) * 12) AS INTEGER) AS xmax, CAST(22 + ((s // 80) % 50) * 19 AS INTEGER) AS ymax FROM _st)"""
 LINES = f"""{WORDS},
@@ -148,33 +148,68 @@ def neighbours_below(spark, sf_dir):
     return layout.neighbours(words_of(spark, sf_dir), "below", 20, 1).groupBy("doc_id", "page_idx", "word_idx").agg(F.count("*").alias("n_below"), F.min("other_idx").alias("first_below"))
 
 
-def _grid(spark):
-    rows = spark.range(10).select(F.col("id").cast("int").alias("row_idx"), (F.col("id") * 95 + 10).alias("y0"), (F.col("id") * 95 + 105).alias("y1"))
-    columns = spark.range(4).select(F.col("id").cast("int").alias("col_idx"), (F.col("id") * 240 + 20).alias("x0"), (F.col("id") * 240 + 260).alias("x1"))
+#: Two tables on each page, of five rows and four columns each, whose lines lie elsewhere in each document.
+GRIDS = """
+_tp AS (SELECT DISTINCT doc_id, page_idx FROM words),
+trows AS (SELECT doc_id, page_idx, CAST(t.i AS INTEGER) AS table_idx, CAST(r.i AS INTEGER) AS row_idx, t.i * 475 + r.i * 95 + 10 + doc_id % 7 AS y0, t.i * 475 + r.i * 95 + 105 + doc_id % 7 AS y1 FROM _tp, range(2) t(i), range(5) r(i)),
+tcols AS (SELECT doc_id, page_idx, CAST(t.i AS INTEGER) AS table_idx, CAST(c.i AS INTEGER) AS col_idx, c.i * 240 + 20 + (doc_id + t.i) % 11 AS x0, c.i * 240 + 260 + (doc_id + t.i) % 11 AS x1 FROM _tp, range(2) t(i), range(4) c(i))"""
+FIRST = f"""{GRIDS},
+_inr AS (SELECT doc_id, page_idx, table_idx, word_idx, min(row_idx) AS row_idx FROM words JOIN trows USING (doc_id, page_idx) WHERE xmax > xmin AND least(ymax, y1) - greatest(ymin, y0) >= 0 AND (least(ymax, y1) - greatest(ymin, y0)) * 100 // (ymax - ymin) >= 50 GROUP BY ALL),
+_inc AS (SELECT doc_id, page_idx, table_idx, word_idx, min(col_idx) AS col_idx FROM words JOIN tcols USING (doc_id, page_idx) WHERE xmax > xmin AND least(xmax, x1) - greatest(xmin, x0) >= 0 AND (least(xmax, x1) - greatest(xmin, x0)) * 100 // (xmax - xmin) >= 50 GROUP BY ALL),
+placed AS (SELECT * FROM _inr JOIN _inc USING (doc_id, page_idx, table_idx, word_idx))"""
+
+
+def table_grids(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of rows and columns of GRIDS."""
+    pages = words.select("doc_id", "page_idx").distinct().withColumn("table_idx", F.explode(F.array(F.lit(0), F.lit(1))))
+    top, left = F.col("table_idx") * 475 + F.col("row_idx") * 95 + 10 + F.col("doc_id") % 7, F.col("col_idx") * 240 + 20 + (F.col("doc_id") + F.col("table_idx")) % 11
+    rows = pages.withColumn("row_idx", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("y0", top).withColumn("y1", top + 95)
+    columns = pages.withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("x0", left).withColumn("x1", left + 240)
     return rows, columns
 
 
-@query(f"""WITH {WORDS}, r AS (SELECT CAST(i AS INTEGER) AS row_idx, i * 95 + 10 AS y0, i * 95 + 105 AS y1 FROM range(10) t(i)), c AS (SELECT CAST(i AS INTEGER) AS col_idx, i * 240 + 20 AS x0, i * 240 + 260 AS x1 FROM range(4) t(i)),
-a AS (SELECT doc_id, page_idx, word_idx, min(row_idx) AS row_idx FROM words, r WHERE xmax > xmin AND least(ymax, y1) - greatest(ymin, y0) >= 0 AND (least(ymax, y1) - greatest(ymin, y0)) * 100 // (ymax - ymin) >= 50 GROUP BY ALL),
-b AS (SELECT doc_id, page_idx, word_idx, min(col_idx) AS col_idx FROM words, c WHERE xmax > xmin AND least(xmax, x1) - greatest(xmin, x0) >= 0 AND (least(xmax, x1) - greatest(xmin, x0)) * 100 // (xmax - xmin) >= 50 GROUP BY ALL)
-SELECT * FROM a JOIN b USING (doc_id, page_idx, word_idx)""")
+@query(f"WITH {WORDS}, {FIRST} SELECT * FROM placed")
 def cells_first_match(spark, sf_dir):
-    return tables.cells_first_match(words_of(spark, sf_dir).where("xmax > xmin"), *_grid(spark))
+    w = words_of(spark, sf_dir).where("xmax > xmin")
+    return tables.cells_first_match(w, *table_grids(w))
+
+
+@query(f"WITH {WORDS}, {FIRST} SELECT p.doc_id, p.page_idx, p.table_idx, w.word_idx FROM (SELECT DISTINCT doc_id, page_idx, table_idx FROM trows) p JOIN words w USING (doc_id, page_idx) ANTI JOIN placed USING (doc_id, page_idx, table_idx, word_idx) WHERE xmax > xmin")
+def cells_leftover_words(spark, sf_dir):
+    w = words_of(spark, sf_dir).where("xmax > xmin")
+    rows, columns = table_grids(w)
+    return tables.leftovers(w, rows, tables.cells_first_match(w, rows, columns)).select("doc_id", "page_idx", "table_idx", "word_idx")
+
 
+@query(f"""WITH {WORDS}, {FIRST}, r AS (SELECT doc_id, page_idx, table_idx, row_idx, count(*) AS n_words, coalesce(string_agg(CASE WHEN col_idx = 0 THEN text END, ' ' ORDER BY xmin, word_idx), '') AS h FROM placed JOIN words USING (doc_id, page_idx, word_idx) GROUP BY ALL HAVING count(*) >= 3)
+SELECT doc_id, page_idx, table_idx, row_idx, n_words, regexp_full_match(h, '[\\x00-\\x7F]*') AND (contains(lower(h), 's.') OR contains(lower(h), 'no.') OR contains(lower(h), 'sno')) AS is_header FROM r""")
+def table_rows_kept(spark, sf_dir):
+    w = words_of(spark, sf_dir).where("xmax > xmin")
+    return tables.kept_rows(tables.cells_first_match(w, *table_grids(w)), w)
 
-@query(f"""WITH {WORDS}, g AS (SELECT CAST(r.i AS INTEGER) AS row_idx, CAST(c.i AS INTEGER) AS col_idx, r.i * 90 + 10 AS y0, r.i * 90 + 110 AS y1, c.i * 200 + 20 AS x0, c.i * 200 + 270 AS x1 FROM range(10) r(i), range(5) c(i)),
-p AS (SELECT *, least(xmax, x1) - greatest(xmin, x0) AS w, least(ymax, y1) - greatest(ymin, y0) AS h, (xmax - xmin) * (ymax - ymin) AS area FROM words, g)
-SELECT doc_id, page_idx, word_idx, row_idx, col_idx FROM p WHERE w >= 0 AND h >= 0 AND CASE WHEN area = 0 THEN 100 ELSE w * h * 100 // area END > 70""")
+
+@query(f"""WITH {WORDS}, {GRIDS}, g AS (SELECT doc_id, page_idx, table_idx, row_idx, col_idx, y0, y1 + 15 AS y1, x0, x1 + 10 AS x1 FROM trows JOIN tcols USING (doc_id, page_idx, table_idx)),
+p AS (SELECT *, least(xmax, x1) - greatest(xmin, x0) AS w, least(ymax, y1) - greatest(ymin, y0) AS h, (xmax - xmin) * (ymax - ymin) AS area FROM words JOIN g USING (doc_id, page_idx))
+SELECT doc_id, page_idx, table_idx, word_idx, row_idx, col_idx FROM p WHERE w >= 0 AND h >= 0 AND CASE WHEN area = 0 THEN 100 ELSE w * h * 100 // area END > 70""")
 def cells_all_matches(spark, sf_dir):
-    r, c = spark.range(10).select(F.col("id").alias("r")), spark.range(5).select(F.col("id").alias("c"))
-    cells = r.crossJoin(c).select(F.col("r").cast("int").alias("row_idx"), F.col("c").cast("int").alias("col_idx"), (F.col("r") * 90 + 10).alias("y0"), (F.col("r") * 90 + 110).alias("y1"), (F.col("c") * 200 + 20).alias("x0"), (F.col("c") * 200 + 270).alias("x1"))
-    return tables.cells_all_matches(words_of(spark, sf_dir), cells)
+    w = words_of(spark, sf_dir)
+    rows, columns = table_grids(w)
+    cells = rows.join(columns, ["doc_id", "page_idx", "table_idx"]).withColumn("y1", F.col("y1") + 15).withColumn("x1", F.col("x1") + 10)
+    return tables.cells_all_matches(w, cells)
 
 
-@query()
+@query(f"""WITH {WORDS}, {GRIDS}, g AS (SELECT * FROM trows JOIN tcols USING (doc_id, page_idx, table_idx)),
+p AS (SELECT *, least(xmax, x1) - greatest(xmin, x0) AS w, least(ymax, y1) - greatest(ymin, y0) AS h, (xmax - xmin) * (ymax - ymin) AS area FROM words JOIN g USING (doc_id, page_idx) WHERE xmax > xmin),
+m AS (SELECT doc_id, page_idx, table_idx, word_idx, min(row_idx * 100 + col_idx) AS k FROM p WHERE w > 0 AND h > 0 AND w * h * 2 > area GROUP BY ALL)
+SELECT doc_id, page_idx, table_idx, word_idx, CAST(k // 100 AS INTEGER) AS row_idx, CAST(k % 100 AS INTEGER) AS col_idx FROM m""")
 def cells_by_polygon(spark, sf_dir):
-    cells = [(r, c, [(20 + c * 240 + r, 10 + r * 95), (260 + c * 240 + r, 10 + r * 95), (260 + c * 240, 105 + r * 95), (20 + c * 240, 105 + r * 95)]) for r in range(10) for c in range(4)]
-    return tables.cells_by_polygon(words_of(spark, sf_dir), cells)
+    """Cells as polygons, of five corners as one stands in the middle of a side; the SQL has them as boxes."""
+    w = words_of(spark, sf_dir)
+    rows, columns = table_grids(w)
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    cells = rows.join(columns, ["doc_id", "page_idx", "table_idx"]).withColumn("polygon", F.array(p(x0, y0), p((x0 + x1) / 2, y0), p(x1, y0), p(x1, y1), p(x0, y1)))
+    return tables.cells_by_polygon(w, cells)
 
 
 @query(f"""WITH {WORDS}, s AS (SELECT doc_id, page_idx, unnest(generate_series(xmin, least(xmax, 999))) AS slot FROM words WHERE xmin < 1000)
@@ -320,15 +355,26 @@ def replace_strings(spark, sf_dir):
     return records.replace_strings(w.select("doc_id", "page_idx", "word_idx", "text"), edits)
 
 
-@query(f"""WITH {WORDS}, m AS (SELECT *, CASE WHEN page_idx = 0 AND word_idx = 0 THEN '' WHEN page_idx = 0 AND word_idx = 1 THEN (SELECT 'New') ELSE text END AS t FROM words)
-SELECT doc_id, page_idx, word_idx, t AS text, CASE WHEN page_idx = 0 AND word_idx < 2 THEN text END AS orig_text FROM m""")
+@query(f"""WITH {WORDS}, l AS (SELECT doc_id, max(word_idx) AS last FROM words WHERE page_idx = 0 GROUP BY doc_id),
+a AS (SELECT w.*, last, page_idx = 0 AND last >= 7 AS e FROM words w JOIN l USING (doc_id)), t AS (SELECT doc_id, word_idx, text, xmin, ymin, xmax, ymax, last FROM a WHERE e),
+m AS (SELECT doc_id, page_idx, word_idx, CASE WHEN NOT e THEN text WHEN word_idx = 0 OR word_idx = 3 THEN '' WHEN word_idx = 1 THEN translate(text, 'ae', '') WHEN word_idx = 2 THEN text || (SELECT text FROM t WHERE t.doc_id = a.doc_id AND t.word_idx = 3)
+  WHEN word_idx = 4 THEN left(text, 1) WHEN word_idx = 5 THEN replace(text, 'e', 'E') WHEN word_idx = 6 THEN 'New' || doc_id ELSE text END AS text, CASE WHEN e AND word_idx <= 6 THEN text END AS orig_text, xmin::DOUBLE AS xmin,
+  CASE WHEN e AND word_idx = 4 THEN xmin + (xmax - xmin) / length(text) ELSE xmax END::DOUBLE AS xmax FROM a)
+SELECT doc_id, page_idx, word_idx, text, orig_text, xmin, round(xmax, 6) AS xmax FROM m
+UNION ALL SELECT t.doc_id, 0, last + 1, right(text, length(text) - 1), NULL, xmin + (xmax - xmin) / length(text)::DOUBLE, xmax FROM t WHERE word_idx = 4
+UNION ALL SELECT a.doc_id, 0, a.last + 2, 'Added', NULL, a.xmin, a.xmax FROM t a WHERE a.word_idx = 5
+UNION ALL SELECT doc_id, 0, last + 3, 'ab', NULL, xmax + 20, xmax + 20 + (xmax - xmin) / length(text)::DOUBLE * 2 FROM t WHERE word_idx = 7""")
 def apply_edits(spark, sf_dir):
-    """Two commands on each document that has two words: the first word cleared, the second replaced."""
+    """Nine commands on the first page of each document that has eight words there."""
     w = words_of(spark, sf_dir)
-    docs = w.where("page_idx = 0").groupBy("doc_id").agg(F.max("word_idx").alias("last"))
-    clear = docs.select("doc_id", F.lit(0).alias("seq"), F.lit("clearWord").alias("cmd"), F.array(F.lit("pa0.wo0")).alias("args"))
-    new = docs.where("last >= 1").select("doc_id", F.lit(1).alias("seq"), F.lit("replaceStr").alias("cmd"), F.array(F.lit("pa0.wo1"), F.lit("<all>"), F.lit("New")).alias("args"))
-    return records.apply_edits(w, clear.unionByName(new)).select("doc_id", "page_idx", "word_idx", "text", "orig_text")
+    docs = w.where("page_idx = 0").groupBy("doc_id").agg(F.max("word_idx").alias("last"), F.max(F.when(F.col("word_idx") == 4, F.substring("text", 1, 1))).alias("head")).where("last >= 7")
+    lit = lambda *xs: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    todo = [
+        ("clearWord", lit("pa0.wo0")), ("clearChar", lit("pa0.wo1", "ae")), ("mergeWords", lit("pa0.wo2", "pa0.wo3")), ("splitWord", lit("pa0.wo4", F.col("head"))), ("replaceStr", lit("pa0.wo5", "e", "E")),
+        ("replaceStr", lit("pa0.wo6", "<all>", F.concat(F.lit("New"), F.col("doc_id").cast("string")))), ("newWord", lit("Added", "pa0.wo5", "pa0.wo6")), ("newAdjWord", lit("ab", "pa0.wo7", "right")), ("moveEdge", lit("pa0.ed0", "coord1", "up")),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(c).alias("cmd"), a.alias("args")) for k, (c, a) in enumerate(todo)]))
+    return records.apply_edits(w, docs.select("doc_id", each.alias("e")).select("doc_id", "e.*")).select("doc_id", "page_idx", "word_idx", "text", "orig_text", "xmin", F.round("xmax", 6).alias("xmax"))
 
 
 @query(f"""WITH {WORDS}, a AS (SELECT *, lead(text) OVER (PARTITION BY doc_id, page_idx, line_no ORDER BY pos, word_idx) AS nx FROM words) SELECT doc_id, page_idx, word_idx, text || coalesce(' ' || nx, '') AS gram, CASE WHEN nx IS NULL THEN 1 ELSE 2 END AS gram_size FROM a""")

@@ -55,7 +55,7 @@ def script_by_document(spark, sf_dir):
     return records.dominant_script(table(spark, sf_dir, "documents"), X.block)
 
 
-@query(f"""WITH {WORDS}, u AS (SELECT DISTINCT text FROM words), c AS (SELECT text, unnest(string_split(translate(text, '{PUNCT} ', ''), '')) AS ch FROM u),
+@query(f"""WITH {WORDS}, u AS MATERIALIZED (SELECT DISTINCT text FROM words), c AS MATERIALIZED (SELECT text, unnest(string_split(translate(text, '{PUNCT} ', ''), '')) AS ch FROM u),
 n AS (SELECT text, count(DISTINCT {BLOCK_SQL}) AS k FROM c WHERE ch <> '' GROUP BY text)
 SELECT u.text, coalesce(k, 0) <= 1 AS single, regexp_full_match(u.text, '[\\x00-\\x7F]*') AS ascii, trim(translate(u.text, '{PUNCT}', '{BLANKS}'), ' ') AS bare FROM u LEFT JOIN n USING (text)""")
 def word_forms(spark, sf_dir):
@@ -85,11 +85,13 @@ def punct_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normal_punctuation(F.col("text"))).alias("plain"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?।])[ \\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ') <> '') AS s FROM documents)
-SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(list_transform(s, lambda x: 'src tgt ' || array_to_string((string_split(x, ' '))[1:256], ' ')), chr(10))) AS tagged FROM s""")
+@query("""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?।])[ \\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ') <> '') AS s FROM documents),
+p AS (SELECT doc_id, len(s) AS n_sentences, flatten(list_transform(s, lambda x: list_transform(generate_series(0, (len(string_split(x, ' ')) - 1) // 256), lambda i: 'src tgt ' || array_to_string((string_split(x, ' '))[i * 256 + 1:i * 256 + 256], ' ')))) AS p FROM s)
+SELECT doc_id, n_sentences, CAST(len(p) AS INTEGER) AS n_parts, md5(array_to_string(p, chr(10))) AS tagged FROM p""")
 def sentence_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join(F.transform("s", lambda x: X.tagged_for_translation(x, "src", "tgt")), "\n")).alias("tagged"))
+    parts = d.withColumn("p", F.flatten(F.transform("s", lambda x: X.tagged_for_translation(x, "src", "tgt"))))
+    return parts.select("doc_id", F.size("s").alias("n_sentences"), F.size("p").alias("n_parts"), F.md5(F.array_join("p", "\n")).alias("tagged"))
 
 
 @query("""SELECT doc_id, CAST(unnest(generate_series(doc_id % 5, doc_id % 5 + 3)) AS INTEGER) AS number FROM documents UNION ALL SELECT doc_id, 77 FROM documents""")
@@ -355,7 +357,7 @@ def _tree(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_TREE} SELECT node_id, node_id AS ancestor_id, 0 AS distance FROM nodes UNION ALL SELECT node_id, parent_id, 1 FROM nodes WHERE parent_id IS NOT NULL")
 def hierarchy_closure(spark, sf_dir):
-    return vocabulary.closure(_tree(spark, sf_dir), 4)
+    return vocabulary.closure(_tree(spark, sf_dir))
 
 
 def _places(spark, sf_dir) -> DataFrame:
@@ -512,9 +514,13 @@ def glyph_characters(spark, sf_dir):
     return glyphs.characters(g, cmap).select("p_partkey", "ch")
 
 
-@query(f"""WITH {WORDS} SELECT page_idx, CASE WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS font, count(DISTINCT word_idx) AS n_words FROM words GROUP BY ALL""")
+@query(f"""WITH {WORDS}, f AS (SELECT DISTINCT doc_id, page_idx, word_idx, CASE WHEN unicode(ch) < 97 THEN 'caps' WHEN unicode(ch) <= 122 THEN 'small' ELSE 'other' END AS font FROM (SELECT doc_id, page_idx, word_idx, unnest(string_split(text, '')) AS ch FROM words)),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_idx, word_idx) AS k FROM f) SELECT doc_id, page_idx, font, count(*) AS n_words, count_if(k > 1)::BIGINT AS n_mixed FROM n GROUP BY ALL""")
 def font_statistics(spark, sf_dir):
-    return glyphs.font_statistics(words_of(spark, sf_dir).withColumn("font", F.when(F.length("text") % 2 == 0, "even").otherwise("odd")))
+    """Words with a font for each of their letters, by its kind."""
+    letters = words_of(spark, sf_dir).select("doc_id", "page_idx", "word_idx", F.explode(X.characters(F.col("text"))).alias("ch"))
+    point = F.ascii("ch")
+    return glyphs.font_statistics(letters.withColumn("font", F.when(point < 97, "caps").when(point <= 122, "small").otherwise("other")))
 
 
 @query("""SELECT doc_id, 0 AS page_idx, CAST(0 AS INTEGER) AS word_idx, 'ab' AS text, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 1 END AS break_type, 0.0::DOUBLE AS xmin, 0.1::DOUBLE AS ymin, 0.4::DOUBLE AS xmax, 0.2::DOUBLE AS ymax FROM documents""")
