@@ -72,7 +72,7 @@ def region_stats(page_words: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFra
 
 def neighbours(page_words: DataFrame, direction: str, offset: float = 1000, overlap: float = 1.0, min_height: float | None = None) -> DataFrame:
     """(doc_id, page_idx, word_idx, other_idx): the words in a direction of each word, within ``offset`` thousandths, that share more than ``overlap`` percent of its
-    band. The page is the equality of the join; for sideways search rows of boxes are bands too, so that the residual condition sees few pairs. Above takes no account of the offset."""
+    band. The page and a cell of the band, across the direction, are the equality of the join, so that the residual condition sees few pairs. Above takes no account of the offset."""
     a = page_words.select(*PAGE, "word_idx", "xmin", "ymin", "xmax", "ymax")
     if min_height is not None:
         lack = F.greatest(F.lit(0), F.lit(min_height) - (F.col("ymax") - F.col("ymin"))) / 2
@@ -96,7 +96,12 @@ def neighbours(page_words: DataFrame, direction: str, offset: float = 1000, over
         high = own["ymin"] if direction == "above" else own["ymax"] + offset
         band = {"xmin": own["xmin"], "xmax": own["xmax"], "ymin": F.greatest(low, page["above"]), "ymax": F.least(high, page["below"])}
         side = (other["ymax"] <= own["ymin"]) if direction == "above" else (other["ymin"] >= own["ymax"])
-        joined_ = a.join(b, list(PAGE)).where(side)
+        # Cells of 100 thousandths of the width: only words that share a part of their bands can overlap.
+        cell = lambda low, high: F.sequence(F.floor(low / 100).cast("int"), F.floor(high / 100).cast("int"))
+        a = a.withColumn("cell", F.explode(cell(F.col("xmin"), F.col("xmax"))))
+        b = b.withColumn("cell", F.explode(cell(F.col("o_xmin"), F.col("o_xmax"))))
+        first = F.col("cell") == F.floor(F.greatest(own["xmin"], other["xmin"]) / 100)
+        joined_ = a.join(b, [*PAGE, "cell"]).where(first & side)
     found = joined_.where((F.col("word_idx") != F.col("other_idx")) & (G.overlap_percent(other, band) > overlap))
     return found.select(*PAGE, "word_idx", "other_idx", "o_xmin", "o_xmax")
 

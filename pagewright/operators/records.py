@@ -60,7 +60,7 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
     def fold(pdf: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             if len(todo):
-                raise UnknownCommand(f"edits of document {todo['edit_doc'].iloc[0]}: none of its pages has a word")
+                raise UnknownCommand(f"document {todo['edit_doc'].iloc[0]}: {todo['args'].iloc[0][-1]!r} isn't a word, nor has any page a word that its edits name")
             return pd.DataFrame([], columns=columns)
         rows = {(r.page_idx, r.word_idx): r._asdict() for r in pdf[columns].itertuples(index=False)}
         doc = pdf["doc_id"].iloc[0]
@@ -136,9 +136,10 @@ def edited_edges(edges: DataFrame, edits: DataFrame) -> DataFrame:
     Moves add up, so their order doesn't count; a path of another form is an error."""
     own = known_edits(edits, EDGE_COMMANDS)
     path, form = F.get("args", F.lit(0)), "^pa([0-9]+)[.]ed([0-9]+)(:([0-9]+))?$"
-    part = lambda k: F.regexp_extract(path, form, k)
     good = path.rlike(form) & F.get("args", F.lit(1)).isin("coord1", "coord2")
-    first = F.when(good, part(2)).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), F.array_join("args", " ")))).cast("int")
+    checked = F.when(good, path).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), F.array_join("args", " "))))
+    part = lambda k: F.regexp_extract(checked, form, k)
+    first = part(2).cast("int")
     moves = own.select(
         "doc_id", part(1).cast("int").alias("page_idx"), F.explode(F.sequence(first, F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), first))).alias("edge_idx"),
         F.get("args", F.lit(1)).alias("which"), F.get("args", F.lit(2)).alias("direction"), F.coalesce(F.get("args", F.lit(3)).cast("int"), F.lit(5)).alias("thou"),

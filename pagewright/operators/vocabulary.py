@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as X
@@ -217,19 +217,23 @@ SELECTIONS = {
     "connected_sum_span_len": "aggregate(zip_with(starts, ends, (s, e) -> e - s), 0, (a, x) -> a + x)",
     "deeper": "size(node_ids)",
     "inv_span_gap": "-(array_max(ends) - array_min(starts) - aggregate(zip_with(starts, ends, (s, e) -> e - s), 0, (a, x) -> a + x))",
+    "sum_matching_len": "aggregate(zip_with(starts, ends, (s, e) -> e - s), 0, (a, x) -> a + x)",
     "first": "-group_id",
 }
 
 
 def selected(groups: DataFrame, key: str, strategy: str) -> DataFrame:
-    """The groups of each text that a strategy keeps, all of those that tie: one of SELECTIONS, 'at_start', 'none', 'non_overlapping' (greedily: of two that overlap the shorter goes, of equals the
-    earlier) or 'unique' (of equal spans the first)."""
+    """The groups of each text that a strategy keeps, all of those that tie: one of SELECTIONS (for 'connected_sum_span_len' only groups of two names or more), 'at_start', 'none' (all groups, as nothing is
+    selected), 'non_overlapping' (greedily: of two that overlap the shorter goes, of equals the earlier) or 'unique' (of equal spans of equal nodes the first)."""
     if strategy == "none":
-        return groups.limit(0)
+        return groups
+    if strategy == "connected_sum_span_len":
+        groups = groups.where("size(node_ids) >= 2")
     if strategy == "at_start":
         return groups.where("array_min(starts) = 0")
     if strategy == "unique":
-        return groups.dropDuplicates([key, "starts", "ends"])
+        w = Window.partitionBy(key, "node_ids", "starts", "ends").orderBy("group_id")
+        return groups.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
     if strategy == "non_overlapping":
 
         def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +251,68 @@ def selected(groups: DataFrame, key: str, strategy: str) -> DataFrame:
     return groups.withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank")
 
 
+def group_accessors(groups: DataFrame, tree: DataFrame, key: str) -> DataFrame:
+    """(key, group_id, leaf_id, root_id, depth, level, span_start, span_end, is_contiguous): what groups (node_ids from the leaf up, starts, ends) tell: how many names they have, how deep the leaf lies in the tree, and whether
+    each name's span begins where another ends, but for a sign and a blank."""
+    level = closure(tree).groupBy("node_id").agg(F.max("distance").alias("level"))
+    low, high = F.array_min("starts"), F.array_max("ends")
+    gaps = high - low - F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0), lambda a, x: a + x)
+    told = groups.select(
+        key, "group_id", F.element_at("node_ids", 1).alias("node_id"), F.element_at("node_ids", -1).alias("root_id"), F.size("node_ids").alias("depth"), low.alias("span_start"), high.alias("span_end"),
+        (gaps <= 2 * (F.size("node_ids") - 1)).alias("is_contiguous"),
+    )
+    return told.join(level, "node_id").withColumnRenamed("node_id", "leaf_id")
+
+
+def path_match(groups: DataFrame, tree: DataFrame, path: list[str]) -> DataFrame:
+    """The groups whose leaf's path (the names from the root to the node above it) has the given names in a row, whatever their case."""
+    names = tree.select(F.col("node_id").alias("ancestor_id"), "name")
+    above = closure(tree).where("distance > 0").join(names, "ancestor_id").groupBy("node_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("distance", "name")), False), lambda x: x["name"]), ".").alias("_path"))
+    hits = above.where(F.contains(F.lower("_path"), F.lit(".".join(path).lower()))).select(F.col("node_id").alias("_leaf"))
+    return groups.join(hits, F.element_at("node_ids", 1) == F.col("_leaf"), "left_semi")
+
+
+_RESERVED = ("name", "alias", "unicode", "description", "expand_names")
+
+
+def tree_of(text: str, ignored_levels: tuple[str, ...] = (), expand: tuple[tuple[str, str], ...] = ()) -> list[tuple[int, int | None, str, list[str], str | None, list[str], dict[str, str]]]:
+    """(node_id, parent_id, name, aliases, level, path, info) of a YAML tree, numbered in depth-first order: a node has a name, perhaps aliases, at most one other key of a list of nodes, which names their level, and
+    other keys that tell of it. Nodes of ignored levels are left out. ``expand``: each name that holds the first text is an alias with the second in its place, too."""
+    import yaml
+
+    out: list[tuple] = []
+
+    def add(node: dict, parent: int | None, path: list[str], level: str | None) -> None:
+        if "name" not in node:
+            raise ValueError(f"a node below {'.'.join(path)!r} has no name")
+        levels = [k for k, v in node.items() if k not in _RESERVED and not k.startswith("_") and isinstance(v, list)]
+        if len(levels) > 1:
+            raise ValueError(f"{node['name']!r} has children of several levels: {', '.join(levels)}")
+        aliases = [str(a) for a in node.get("alias") or []]
+        for old, new in expand:
+            aliases += [n.replace(old, new).strip() for n in [str(node["name"]), *aliases] if old in n]
+        info = {k: str(v) for k, v in node.items() if k not in ("name", "alias", *levels)}
+        number = len(out)
+        out.append((number, parent, str(node["name"]), aliases, level, path, info))
+        for k in levels:
+            if k not in ignored_levels:
+                for child in node[k]:
+                    add(child, number, [*path, str(node["name"])], k)
+
+    add(yaml.safe_load(text), None, [], None)
+    return out
+
+
+def read_tree(spark: SparkSession, text: str, ignored_levels: tuple[str, ...] = (), expand: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """The nodes of a YAML tree as a table."""
+    return spark.createDataFrame(tree_of(text, ignored_levels, expand), "node_id bigint, parent_id bigint, name string, aliases array<string>, level string, path array<string>, info map<string,string>")
+
+
+def tree_names(tree: DataFrame) -> DataFrame:
+    """(node_id, parent_id, name): a row for each name and alias of the nodes, the longest first in each node."""
+    return tree.select("node_id", "parent_id", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("name")).orderBy("node_id", F.desc(F.length("name")), "name")
+
+
 def alias_record(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, aliases): the names by which each node was found, in order; none of nodes that weren't."""
     used = spans.groupBy("node_id").agg(F.array_sort(F.collect_set("name")).alias("aliases"))

@@ -148,6 +148,13 @@ def neighbours_below(spark, sf_dir):
     return layout.neighbours(words_of(spark, sf_dir), "below", 20, 1).groupBy("doc_id", "page_idx", "word_idx").agg(F.count("*").alias("n_below"), F.min("other_idx").alias("first_below"))
 
 
+@query(f"""WITH {WORDS}, p AS (SELECT a.doc_id, a.page_idx, a.word_idx, b.word_idx AS other_idx, least(b.xmax, a.xmax) - greatest(b.xmin, a.xmin) AS w, least(b.ymax, a.ymin) - greatest(b.ymin, 0) AS h, (b.xmax - b.xmin) * (b.ymax - b.ymin) AS area
+ FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND a.word_idx <> b.word_idx AND b.ymax <= a.ymin AND b.xmin <= a.xmax AND b.xmax >= a.xmin)
+SELECT doc_id, page_idx, word_idx, count(*) AS n_above, max(other_idx) AS last_above FROM p WHERE w >= 0 AND h >= 0 AND CASE WHEN area = 0 THEN 100 ELSE w * h * 100 // area END > 50 GROUP BY doc_id, page_idx, word_idx""")
+def neighbours_above(spark, sf_dir):
+    return layout.neighbours(words_of(spark, sf_dir), "above", 20, 50).groupBy("doc_id", "page_idx", "word_idx").agg(F.count("*").alias("n_above"), F.max("other_idx").alias("last_above"))
+
+
 #: Two tables on each page, of five rows and four columns each, whose lines lie elsewhere in each document.
 GRIDS = """
 _tp AS (SELECT DISTINCT doc_id, page_idx FROM words),

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as G
 from pagewright.functions import glyphs
 from pagewright.functions import text as X
-from pagewright.operators import layout, records, regions, tables
+from pagewright.operators import layout, models, records, regions, tables
 from pagewright.plans.layout_queries import FIRST, GRIDS, LINES, WORDS, lines_of, table_grids, words_of
 from pagewright.session import table
-from pagewright.sources import documents, pdf
+from pagewright.sources import documents, pdf, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -326,3 +326,184 @@ def pdf_pages(spark, sf_dir):
 def pdf_lines(spark, sf_dir):
     found = pdf.parsed(_pdfs(words_of(spark, sf_dir)), "lines").withColumn("doc_id", F.col("path").cast("bigint"))
     return found.select("doc_id", "page_idx", "line_idx", *[F.round(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+# ---- recognition of pages that differ
+
+
+_LOWER = "CASE WHEN word_idx % 5 = 0 THEN ymin + 4 ELSE ymax END"
+
+
+def _responses(w: DataFrame) -> DataFrame:
+    """Pages as the response of a recogniser: a block a page, a paragraph a line, in thousandths as parts of 1."""
+    p = lambda x, y: F.struct((F.col(x) / 1000).alias("x"), (F.col(y) / 1000).alias("y"))
+    symbols = F.transform(X.characters(F.col("text")), lambda c, i: F.struct(c.alias("text"), F.when(i + 1 == F.length("text"), F.struct(F.struct(F.when(F.col("word_idx") % 2 == 0, "SPACE").otherwise("LINE_BREAK").alias("type")).alias("detectedBreak"))).alias("property")))
+    word = F.struct("pos", "start", F.struct(F.array(p("xmin", "ymin"), p("xmax", "ymin"), p("xmax", "low"), p("xmin", "low")).alias("normalizedVertices")).alias("boundingBox"), symbols.alias("symbols"))
+    lines = w.withColumn("low", F.when(F.col("word_idx") % 5 == 0, F.col("ymin") + 4).otherwise(F.col("ymax"))).groupBy("doc_id", "page_idx", "line_no").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    pages = lines.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("line_no", "words"))).alias("paragraphs"))
+    page = F.struct(F.lit(612).alias("width"), F.lit(792).alias("height"), F.array(F.struct("paragraphs")).alias("blocks"))
+    return pages.select("doc_id", "page_idx", F.to_json(F.struct(F.array(F.struct(F.struct(F.array(page).alias("pages")).alias("fullTextAnnotation"))).alias("responses"))).alias("json"))
+
+
+@query(f"""WITH {WORDS}, d AS (SELECT doc_id, page_idx, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS p, word_idx, text, xmin, ymin, xmax, {_LOWER} AS low FROM words)
+SELECT doc_id, CAST(p AS INTEGER) AS page_idx, word_idx, text, CASE WHEN word_idx % 2 = 0 THEN 1 ELSE 5 END AS break_type, round(xmin / 1000.0, 6)::DOUBLE AS xmin, round(low / 1000.0, 6)::DOUBLE AS ymax FROM d""")
+def recognised_pages(spark, sf_dir):
+    """Each page a part of its document's response."""
+    found = documents.recognised_words(_responses(words_of(spark, sf_dir)), order="page_idx")
+    return found.select("doc_id", F.col("page_idx").cast("int").alias("page_idx"), F.col("word_idx").cast("int").alias("word_idx"), "text", "break_type", F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"))
+
+
+@query(f"""WITH {WORDS}, d AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1 AS p, word_idx, text, {_LOWER} - ymin AS h FROM words), m AS (SELECT *, avg(h) OVER (PARTITION BY doc_id, p) AS mean FROM d)
+SELECT doc_id, CAST(p AS INTEGER) AS page_idx, CAST(row_number() OVER (PARTITION BY doc_id, p ORDER BY word_idx) - 1 AS INTEGER) AS word_idx, text FROM m WHERE h >= 0.4 * mean""")
+def recognised_tall_words(spark, sf_dir):
+    """As recognised_pages, without words that are low for their page."""
+    found = documents.recognised_words(_responses(words_of(spark, sf_dir)), order="page_idx", least_height=0.4)
+    return found.select("doc_id", F.col("page_idx").cast("int").alias("page_idx"), F.col("word_idx").cast("int").alias("word_idx"), "text")
+
+
+# ---- before and after models
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, CAST(0 AS INTEGER) AS page_idx, l_quantity / 50 AS score, l_linenumber AS x0, l_suppkey % 90 AS y0, l_linenumber + 5 AS x1, l_suppkey % 90 + 5 AS y1 FROM lineitem)
+SELECT doc_id, page_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, y1, x1) - 1 AS INTEGER) AS box_idx, x0, y0, x1, y1 FROM p WHERE score > 0.6""")
+def detected_boxes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    top = F.col("l_suppkey") % 90
+    p = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_idx"), (F.col("l_quantity") / 50).alias("score"), F.lit("table").alias("label"), F.col("l_linenumber").alias("x0"), top.alias("y0"), (F.col("l_linenumber") + 5).alias("x1"), (top + 5).alias("y1"))
+    return models.detected(p, 0.6, "table")
+
+
+_PREDICTED = """p AS (SELECT l_orderkey AS doc_id, 0 AS page_idx, l_suppkey % 2 AS table_idx, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS orientation, unnest([l_partkey % 97, l_partkey % 97 + 8]) AS v, l_quantity AS q FROM lineitem),
+g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY doc_id, table_idx, orientation ORDER BY v) >= 5 THEN 1 ELSE 0 END AS new FROM p WHERE q > 20),
+l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, table_idx, orientation ORDER BY v RANGE UNBOUNDED PRECEDING) AS line FROM g), m AS (SELECT doc_id, page_idx, table_idx, orientation, line, avg(v) AS v FROM l GROUP BY ALL),
+edges AS (SELECT doc_id, page_idx, table_idx, orientation, list(round(v, 6) ORDER BY v) AS positions FROM m GROUP BY ALL)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, at, row = table(spark, sf_dir, "lineitem"), F.col("l_partkey") % 97, F.col("l_linenumber") % 2 == 0
+    box = [F.when(~row, at).alias("x0"), F.when(row, at).alias("y0"), F.when(~row, at + 8).alias("x1"), F.when(row, at + 8).alias("y1")]
+    p = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_idx"), (F.col("l_suppkey") % 2).alias("table_idx"), F.col("l_quantity").alias("score"), F.when(row, "row").otherwise("column").alias("label"), *box)
+    return models.table_edges(p, 20).withColumn("positions", F.transform("positions", lambda v: F.round(v, 6)))
+
+
+@query(f"WITH {_PREDICTED} SELECT * FROM edges")
+def detected_table_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query(f"WITH {_PREDICTED} SELECT doc_id, page_idx, table_idx, CAST(len(positions) - 1 AS INTEGER) AS columns, CAST(1 + doc_id % 2 AS INTEGER) AS expected FROM edges WHERE orientation = 'v' AND len(positions) - 1 <> 1 + doc_id % 2")
+def table_column_errors(spark, sf_dir):
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (1 + F.col("o_orderkey") % 2).cast("int").alias("expected"))
+    return models.column_errors(_edges(spark, sf_dir), expected)
+
+
+@query(f"""WITH {WORDS}, t AS (SELECT *, CASE WHEN length(text) % 4 = 0 THEN NULL WHEN length(text) % 4 = 1 THEN 'NAME' ELSE 'POST' END AS label FROM words) SELECT doc_id, page_idx, label, list(word_idx ORDER BY word_idx) AS word_idxs, string_agg(text, ' ' ORDER BY word_idx) AS text FROM t WHERE label IS NOT NULL GROUP BY ALL""")
+def word_labels(spark, sf_dir):
+    """Tags of words in two parts each, of which the second is always O."""
+    w, n = words_of(spark, sf_dir), F.length("text") % 4
+    tag = F.when(n == 0, "O").when(n == 1, "B-NAME").otherwise("I-POST")
+    tags = w.withColumn("t", F.explode(F.array(F.struct(F.lit(0).alias("part"), tag.alias("tag")), F.struct(F.lit(1).alias("part"), F.lit("O").alias("tag"))))).select("doc_id", "page_idx", "word_idx", "t.part", "t.tag")
+    return models.word_labels(tags, w)
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, page_idx, word_idx, word_idx // 50 AS c FROM words), n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_idx, c) - 1 AS k FROM c) SELECT doc_id, page_idx, word_idx, CAST(k AS INTEGER) AS chunk_idx, CAST(k // 10 AS INTEGER) AS batch_idx FROM n""")
+def model_batches(spark, sf_dir):
+    return models.batches(words_of(spark, sf_dir).select("doc_id", "page_idx", "word_idx"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'UnequalLengths' ELSE 'BadBox' END AS error FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_custkey % 3 = 0""")
+def training_errors(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    box = F.when(k % 7 == 0, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0), F.lit(0), F.when(F.col("o_custkey") % 3 == 0, 1001).otherwise(1000), F.lit(9)))
+    return models.training_errors(o.select(k.alias("id"), F.array(F.lit("a"), F.lit("b")).alias("words"), F.array(box, F.array(*[F.lit(1)] * 4)).alias("boxes"), F.when(k % 5 == 0, F.array(F.lit("O"))).otherwise(F.array(F.lit("O"), F.lit("O"))).alias("labels")))
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT *, 300 + doc_id % 900 AS w, 400 + doc_id % 700 AS h FROM words), r AS (SELECT *, least(1.0::DOUBLE, 800.0::DOUBLE / greatest(w, h)) AS r FROM s)
+SELECT doc_id, page_idx, word_idx, CAST(trunc(xmin / 1000.0::DOUBLE * w) AS INTEGER) AS "left", CAST(trunc(ymax / 1000.0::DOUBLE * h) AS INTEGER) AS bottom, CAST(trunc(w * r) AS INTEGER) AS width, CAST(trunc(h * r) AS INTEGER) AS height FROM r""")
+def image_crops(spark, sf_dir):
+    w = words_of(spark, sf_dir).withColumn("w", 300 + F.col("doc_id") % 900).withColumn("h", 400 + F.col("doc_id") % 700)
+    box = models.crop_pixels(*[F.col(c) / 1000 for c in ("xmin", "ymin", "xmax", "ymax")], F.col("w"), F.col("h"))
+    small = models.resized(F.col("w"), F.col("h"), 800)
+    return w.select("doc_id", "page_idx", "word_idx", box.alias("c"), small.alias("s")).select("doc_id", "page_idx", "word_idx", "c.left", "c.bottom", "s.width", "s.height")
+
+
+@query("""SELECT o_orderkey, 'out/' || CASE WHEN o_orderkey % 2 = 0 THEN 'pages/' ELSE '' END || o_orderkey AS path, 'out/pages/' || o_orderkey AS added, 'out/' || o_orderkey AS removed FROM orders""")
+def image_paths(spark, sf_dir):
+    path = F.concat(F.lit("out/"), F.when(F.col("o_orderkey") % 2 == 0, "pages/").otherwise(""), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), models.image_path(path, "out", "pages").alias("added"), models.image_path(path, "out", "pages", False).alias("removed"))
+
+
+# ---- turns, texts and paths that vary by row
+
+
+@query(f"""WITH {WORDS}, a AS (SELECT *, (doc_id % 4) * 90.0::DOUBLE + doc_id % 7 AS deg FROM words), f AS (SELECT *, xmin - 20.0::DOUBLE - 490 AS dx, ymin - 10.0::DOUBLE - 495 AS dy FROM a)
+SELECT doc_id, page_idx, word_idx, round(cos(radians(deg)) * dx + sin(radians(deg)) * dy + 500, 5) AS fx, round(-sin(radians(deg)) * dx + cos(radians(deg)) * dy + 510, 5) AS fy, xmin::DOUBLE AS bx, ymin::DOUBLE AS by_ FROM f""")
+def turned_chain(spark, sf_dir):
+    """A crop and a turn by the document's angle, and the way back."""
+    kind = "array<struct<op:string,dx:double,dy:double,angle:double,w:double,h:double,w2:double,h2:double>>"
+    number = lambda v: F.lit(float(v))
+    turn = F.struct(F.lit("rotate"), number(0), number(0), (F.col("doc_id") % 4 * 90 + F.col("doc_id") % 7).cast("double"), number(980), number(990), number(1000), number(1020))
+    w = words_of(spark, sf_dir).withColumn("chain", F.array(F.struct(F.lit("crop"), number(20), number(10), *[number(0)] * 5), turn).cast(kind))
+    w = w.withColumn("f", G.transformed(F.col("xmin"), F.col("ymin"), F.col("chain"))).withColumn("b", G.transformed(F.col("f.x"), F.col("f.y"), F.col("chain"), True))
+    return w.select("doc_id", "page_idx", "word_idx", F.round("f.x", 5).alias("fx"), F.round("f.y", 5).alias("fy"), F.round("b.x", 5).alias("bx"), F.round("b.y", 5).alias("by_"))
+
+
+@query(f"""WITH {WORDS}, a AS (SELECT *, doc_id % 4 * 90 AS g, xmin / 1000.0::DOUBLE AS x, ymin / 1000.0::DOUBLE AS y FROM words)
+SELECT doc_id, page_idx, word_idx, round(greatest(0, least(1, CASE g WHEN 90 THEN y WHEN 180 THEN 1 - x WHEN 270 THEN 1 - y ELSE x END)), 6) AS nx, round(greatest(0, least(1, CASE g WHEN 90 THEN 1 - x WHEN 180 THEN 1 - y WHEN 270 THEN x ELSE y END)), 6) AS ny,
+ CASE WHEN word_idx % 2 = 0 THEN round(y + 0.001, 6) ELSE round(x - 0.001, 6) END AS pulled FROM a""")
+def reoriented_words(spark, sf_dir):
+    w = words_of(spark, sf_dir).withColumn("x", F.col("xmin") / 1000).withColumn("y", F.col("ymin") / 1000)
+    nx, ny = G.reoriented(F.col("x"), F.col("y"), F.col("doc_id") % 4 * 90)
+    other = {"xmin": F.col("x"), "xmax": F.col("y")}
+    pulled = F.when(F.col("word_idx") % 2 == 0, G.reduced_width(G.box(), other, "left")).otherwise(G.reduced_width(G.box(), other, "right"))
+    return w.select("doc_id", "page_idx", "word_idx", F.round(nx, 6).alias("nx"), F.round(ny, 6).alias("ny"), F.round(pulled, 6).alias("pulled"))
+
+
+@query("""SELECT doc_id, md5(translate(CAST(doc_id AS VARCHAR), '0123456789', '०१२३४५६७८९')) AS number, regexp_full_match(CAST(doc_id % 100 AS VARCHAR), '[0-9]+') AND doc_id % 2 = 0 AS is_number,
+ 'dir' || doc_id % 3 AS cadre, CASE doc_id % 3 WHEN 0 THEN 'Home' WHEN 1 THEN 'Law' END AS department FROM documents""")
+def number_and_path_parts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    nagari = F.translate(F.col("doc_id").cast("string"), "0123456789", "०१२३४५६७८९")
+    path = F.concat(F.lit("/in/dir"), (F.col("doc_id") % 3).cast("string"), F.lit("/file.pdf"))
+    part = X.path_part(path, -2)
+    text = F.when(F.col("doc_id") % 2 == 0, nagari).otherwise(F.concat(nagari, F.lit("x")))
+    return d.select("doc_id", F.md5(nagari).alias("number"), X.is_devanagari_number(text).alias("is_number"), part.alias("cadre"), X.literal_map({"dir0": "Home", "dir1": "Law"})[part].alias("department"))
+
+
+@query(r"""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN 'a' || repeat(' ', 13 + length(CAST(doc_id AS VARCHAR))) || 'b (short) ' || repeat(' ', 13) WHEN 1 THEN 'no brackets' ELSE '(keep no)' || repeat(' ', 11) END) AS text FROM documents""")
+def brackets_blanked(spark, sf_dir):
+    number = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a(a long part"), number, F.lit(")b (short) (another one)"))).when(F.col("doc_id") % 3 == 1, F.lit("no brackets")).otherwise(F.lit("(keep no)(something)"))
+    blank = X.brackets_blanked(text, 8)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(blank).alias("text"))
+
+
+# ---- pictures and word-processor files
+
+
+@query(f"""WITH {WORDS}, {GRIDS}, i AS (SELECT doc_id, page_idx, 'marker' AS kind, word_idx AS idx, xmin AS x0, ymin AS y0, xmax AS x1, ymax AS y1, text AS label FROM words WHERE regexp_matches(text, '^[0-9]+[.]$')
+ UNION ALL SELECT doc_id, page_idx, 'edge', table_idx * 10 + row_idx, 0, y0, 1000, y0, NULL FROM trows UNION ALL SELECT doc_id, page_idx, 'table', table_idx, 20, min(y0), 980, max(y1), 'table <' || table_idx || '>' FROM trows GROUP BY doc_id, page_idx, table_idx),
+e AS (SELECT *, CASE WHEN kind = 'edge' THEN '<line class="edge" stroke="red" x1="' || x0 || '" y1="' || y0 || '" x2="' || x1 || '" y2="' || y1 || '"' ELSE '<rect class="' || kind || '" fill="none" stroke="' || CASE kind WHEN 'marker' THEN 'blue' ELSE 'green' END || '" x="' || x0 || '" y="' || y0 || '" width="' || (x1 - x0) || '" height="' || (y1 - y0) || '"' END
+ || CASE WHEN label IS NULL THEN '/>' ELSE '><title>' || replace(replace(label, '<', '&lt;'), '>', '&gt;') || '</title></rect>' END AS s FROM i),
+p AS (SELECT doc_id, page_idx, '<svg viewBox="0 0 1000 1000">' || chr(10) || string_agg(s, chr(10) ORDER BY kind, idx) || chr(10) || '</svg>' AS svg FROM e GROUP BY ALL)
+SELECT doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || string_agg('<div class="page" id="pa' || page_idx || '"><img src="page' || page_idx || '.png"/>' || svg || '</div>', chr(10) ORDER BY page_idx) || chr(10) || '</body></html>') AS html FROM p GROUP BY doc_id""")
+def overlay_html(spark, sf_dir):
+    """Numbers as markers, tables and their lines, over each page's image."""
+    w = words_of(spark, sf_dir)
+    rows, _ = table_grids(w)
+    named = lambda df, kind, idx, x0, y0, x1, y1, label: df.select("doc_id", "page_idx", F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), *[c.cast("int").alias(n) for n, c in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))], label.alias("label"))
+    marks = named(w.where(F.col("text").rlike("^[0-9]+[.]$")), "marker", F.col("word_idx"), *[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.col("text"))
+    edges = named(rows, "edge", F.col("table_idx") * 10 + F.col("row_idx"), F.lit(0), F.col("y0"), F.lit(1000), F.col("y0"), F.lit(None).cast("string"))
+    whole = rows.groupBy("doc_id", "page_idx", "table_idx").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    boxes = named(whole, "table", F.col("table_idx"), F.lit(20), F.col("y0"), F.lit(980), F.col("y1"), F.format_string("table <%d>", "table_idx"))
+    pages = sinks.overlays(marks.unionByName(edges).unionByName(boxes))
+    return sinks.page_html(pages, F.format_string("page%d.png", "page_idx")).select("doc_id", F.md5("html").alias("html"))
+
+
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, page_idx, line_idx, string_agg(text, ' ' ORDER BY xmin, word_idx) AS text, min(xmin) AS x, count(*) < 3 AS is_heading FROM lined GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, line_idx) - 1 AS INTEGER) AS seq, text, is_heading, x * 12 AS indent FROM l""")
+def docx_round_trip(spark, sf_dir):
+    """Each line a paragraph, written as word-processor files and read again."""
+    lines = lines_of(spark, sf_dir).groupBy("doc_id", "page_idx", "line_idx").agg(layout.joined(F.struct("xmin", "word_idx")).alias("text"), (F.count("*") < 3).alias("is_heading"), (F.min("xmin") * 12).alias("indent"))
+    seq = F.col("page_idx") * 1_000_000 + F.col("line_idx")
+    return sinks.docx_paragraphs(sinks.docx_files(lines.select("doc_id", seq.alias("seq"), "text", "is_heading", "indent")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import time
 from collections.abc import Callable
@@ -42,6 +43,19 @@ def stage(name: str, requires: tuple[str, ...] = (), assigns: tuple[str, ...] =
     return register
 
 
+def component(requires: tuple[str, ...] = (), assigns: tuple[str, ...] = (), depends: tuple[str, ...] = ()) -> Callable[[type], type]:
+    """Register a class whose instances are stages, under its own name: made with the stage's settings, called with the bundle. ``depends``: modules that have to be there when it is added."""
+
+    def register(kind: type) -> type:
+        lacking = [m for m in depends if importlib.util.find_spec(m) is None]
+        if lacking:
+            raise PipelineError(f"{kind.__name__} needs {', '.join(lacking)}, which isn't installed")
+        stage(kind.__name__, requires, assigns)(lambda bundle, **config: kind(**config)(bundle))
+        return kind
+
+    return register
+
+
 def environment(name: str, prefix: str = "PW_") -> dict[str, str]:
     """Settings of a stage in the environment: PW_<STAGE>__<KEY>."""
     head = f"{prefix}{name.upper()}__"
@@ -125,6 +139,24 @@ class Pipeline:
         bundle["provenance"] = spark.createDataFrame([(n, k) for k, n in enumerate(self.names)], "pipe string, seq int")
         return bundle
 
+    def write(self, bundle: Bundle, folder: str) -> DataFrame:
+        """Run the stages with each one's new or changed tables written below the folder, by stage and table, and read again by the next: so the lineage is cut, and each stage's results can be looked at. Returns
+        (pipe, seq, table, n_rows, seconds), also in the folder, as ``log``."""
+        bundle, told = dict(bundle), []
+        spark = next(iter(bundle.values())).sparkSession
+        for k, (name, own, config) in enumerate(self.stages):
+            lacking = [t for t in own.requires if t not in bundle]
+            if lacking:
+                raise PipelineError(f"stage {name!r} needs {lacking}, which no stage before it provides")
+            for table, frame in own.run(bundle, **config).items():
+                began, path = time.perf_counter(), f"{folder}/{k:03}-{name}/{table}.parquet"
+                frame.write.mode("overwrite").parquet(path)
+                bundle[table] = spark.read.parquet(path)
+                told.append((name, k, table, bundle[table].count(), time.perf_counter() - began))
+        log = spark.createDataFrame(told, "pipe string, seq int, table string, n_rows bigint, seconds double")
+        log.write.mode("overwrite").parquet(f"{folder}/log.parquet")
+        return log
+
 
 def guarded(docs: DataFrame, check: Any, pipe: str, message: Any, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows that pass, quarantine (doc_id, pipe, error)) by a condition; with ``fail_fast`` the first row that fails ends the query."""

@@ -379,12 +379,38 @@ def hierarchy_match(spark, sf_dir):
     return vocabulary.named_spans(_places(spark, sf_dir), _tree(spark, sf_dir), "c_custkey")
 
 
-@query()
+#: A text of these has one name, or a nation and, behind a comma, its region: so it has one group.
+_GROUPS = f"{_PLACES}, _deep AS (SELECT c_custkey, node_id, start, \"end\", parent_id IS NULL AS up FROM spans JOIN nodes USING (node_id)), groups AS (SELECT c_custkey, 0 AS group_id, list(node_id ORDER BY up) AS node_ids, list(start ORDER BY up) AS starts, list(\"end\" ORDER BY up) AS ends FROM _deep GROUP BY c_custkey)"
+
+
+@query(f"WITH {_GROUPS} SELECT * FROM groups")
 def hierarchy_groups(spark, sf_dir):
     p, t = _places(spark, sf_dir), _tree(spark, sf_dir)
     return vocabulary.grouped_spans(vocabulary.named_spans(p, t, "c_custkey"), p, t, "c_custkey")
 
 
+@query(f"""WITH {_GROUPS} SELECT c_custkey, group_id, node_ids[1] AS leaf_id, node_ids[-1] AS root_id, CAST(len(node_ids) AS INTEGER) AS depth, CASE WHEN n.parent_id IS NULL THEN 0 ELSE 1 END AS level, list_min(starts) AS span_start, list_max(ends) AS span_end, true AS is_contiguous FROM groups g JOIN nodes n ON n.node_id = g.node_ids[1]""")
+def hierarchy_accessors(spark, sf_dir):
+    return vocabulary.group_accessors(hierarchy_groups(spark, sf_dir), _tree(spark, sf_dir), "c_custkey")
+
+
+@query(f"WITH {_GROUPS} SELECT g.* FROM groups g JOIN nodes n ON n.node_id = g.node_ids[1] JOIN nodes p ON p.node_id = n.parent_id WHERE contains(lower(p.name), 'asia')")
+def hierarchy_path_match(spark, sf_dir):
+    return vocabulary.path_match(hierarchy_groups(spark, sf_dir), _tree(spark, sf_dir), ["ASIA"])
+
+
+@query("""WITH t AS (SELECT 'World' AS name, [] AS aliases, NULL AS level, '' AS path UNION ALL SELECT r_name, list_filter([replace(r_name, 'A', 'AA')], lambda x: contains(r_name, 'A')), 'regions', 'World' FROM region
+ UNION ALL SELECT n_name, list_filter([replace(n_name, 'A', 'AA')], lambda x: contains(n_name, 'A')), 'nations', 'World.' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT name, array_to_string(aliases, ',') AS aliases, level, path FROM t""")
+def hierarchy_yaml(spark, sf_dir):
+    """A tree read from YAML, with names in which a text is replaced as aliases."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").orderBy("r_name", "n_name").collect()  # a tree of names, small by its kind
+    lines = ["name: World", "regions:"]
+    for region in sorted({r["r_name"] for r in rows}):
+        lines += [f"  - name: '{region}'", "    nations:", *(f"      - name: '{r['n_name']}'" for r in rows if r["r_name"] == region)]
+    tree = vocabulary.read_tree(spark, "\n".join(lines), expand=(("A", "AA"),))
+    return tree.select("name", F.array_join("aliases", ",").alias("aliases"), "level", F.array_join("path", ".").alias("path"))
+
+
 def _selection(name: str):
     def run(spark, sf_dir):
         return vocabulary.selected(hierarchy_groups(spark, sf_dir), "c_custkey", name)
@@ -393,8 +419,10 @@ def _selection(name: str):
     return run
 
 
+#: As each text has one group, a strategy keeps it, or not: by where it starts, or how many names it has.
+_KEPT = {"at_start": " WHERE list_min(starts) = 0", "connected_sum_span_len": " WHERE len(node_ids) >= 2"}
 for _name in (*vocabulary.SELECTIONS, "at_start", "non_overlapping", "unique", "none"):
-    query()(_selection(_name))
+    query(f"WITH {_GROUPS} SELECT * FROM groups{_KEPT.get(_name, '')}")(_selection(_name))
 
 
 @query(f"WITH {_PLACES} SELECT n.node_id, CASE WHEN count(s.name) = 0 THEN [] ELSE list_sort(list(DISTINCT s.name)) END AS aliases FROM nodes n LEFT JOIN spans s ON s.node_id = n.node_id GROUP BY n.node_id")

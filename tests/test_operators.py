@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import layout, records, tables, timeline, vocabulary
-from pagewright.plans.registry import Pipeline, PipelineError
+from pagewright.plans.registry import Pipeline, PipelineError, component
 from pagewright.plans import stages  # noqa: F401
 from pagewright.sources import documents, sinks
 from pagewright.streaming import files
@@ -95,6 +95,69 @@ def test_hierarchy(spark):
     assert vocabulary.selected(groups, "k", "non_overlapping").count() == 2
 
 
+def test_selections_against_loops(spark):
+    groups = [(1, 0, [2, 1], [5, 12], [10, 16]), (1, 1, [3], [5], [9]), (1, 2, [4], [20], [30]), (1, 3, [4], [20], [30]), (2, 0, [3], [0], [4]), (2, 1, [2], [2], [8]), (2, 2, [2, 1], [40, 50], [45, 54])]
+    frame = spark.createDataFrame(groups, "k int, group_id int, node_ids array<bigint>, starts array<int>, ends array<int>")
+    got = lambda name: sorted((r.k, r.group_id) for r in vocabulary.selected(frame, "k", name).collect())
+    total = lambda g: sum(e - s for s, e in zip(g[3], g[4]))
+    gap = lambda g: max(g[4]) - min(g[3]) - total(g)
+
+    def best(measure, which=groups):
+        return sorted((g[0], g[1]) for g in which if measure(g) == max(measure(x) for x in which if x[0] == g[0]))
+
+    two = [g for g in groups if len(g[2]) > 1]
+    assert got("left_most") == best(lambda g: -min(g[3])) and got("sum_span_len") == got("sum_matching_len") == best(total)
+    assert got("connected_sum_span_len") == best(total, two) and got("deeper") == best(lambda g: len(g[2])) and got("inv_span_gap") == best(lambda g: -gap(g)) and got("first") == best(lambda g: -g[1])
+    assert got("none") == sorted((g[0], g[1]) for g in groups) and got("at_start") == [(2, 0)] and got("unique") == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    assert got("non_overlapping") == [(1, 0), (1, 3), (2, 1), (2, 2)]
+
+
+def test_trees(spark):
+    text = "name: Gov\nalias: [Government]\nministries:\n  - name: Ministry of Home\n    code: 7\n    departments: [{name: Police}]\n  - name: Ministry of Law\n"
+    rows = vocabulary.tree_of(text, expand=(("Ministry of", "M/o"),))
+    assert [(r[0], r[1], r[2], r[3], r[4], r[5], r[6]) for r in rows] == [
+        (0, None, "Gov", ["Government"], None, [], {}), (1, 0, "Ministry of Home", ["M/o Home"], "ministries", ["Gov"], {"code": "7"}), (2, 1, "Police", [], "departments", ["Gov", "Ministry of Home"], {}), (3, 0, "Ministry of Law", ["M/o Law"], "ministries", ["Gov"], {}),
+    ]
+    assert [r[2] for r in vocabulary.tree_of(text, ("departments",))] == ["Gov", "Ministry of Home", "Ministry of Law"]
+    with pytest.raises(ValueError, match="several levels"):
+        vocabulary.tree_of("name: a\nb: [{name: x}]\nc: [{name: y}]")
+    assert [r.name for r in vocabulary.tree_names(vocabulary.read_tree(spark, text)).collect()] == ["Government", "Gov", "Ministry of Home", "Police", "Ministry of Law"]
+    deep = spark.createDataFrame([(k, k - 1 if k else None) for k in range(70)], "node_id bigint, parent_id bigint")
+    assert {(r.node_id, r.ancestor_id, r.distance) for r in vocabulary.closure(deep).collect()} == {(a, b, a - b) for a in range(70) for b in range(a + 1)}
+    with pytest.raises(vocabulary.Circular):
+        vocabulary.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node_id bigint, parent_id bigint"))
+    assert vocabulary.closure(deep.limit(0)).count() == 0
+
+
+def test_unknown_edits_and_missing_words_are_errors(spark, docs):
+    w = layout.words(docs)
+    kind = "doc_id bigint, seq int, cmd string, args array<string>"
+    for cmd, args in (("explode", ["pa0.wo0"]), ("clearWord", ["pa0.wo99"]), ("clearWord", ["pa7.wo0"]), ("clearWord", ["word"])):
+        if args != ["word"]:
+            with pytest.raises(Exception, match="explode|isn't a word"):
+                records.apply_edits(w, spark.createDataFrame([(1, 0, cmd, args)], kind)).collect()
+    deleted = records.apply_edits(w, spark.createDataFrame([(1, 0, "deletePage", ["pa0"]), (4, 0, "moveEdge", ["pa0.ed0", "coord1", "up"])], kind)).collect()
+    assert {r.doc_id for r in deleted} == {4}
+    edges = spark.createDataFrame([(1, 0, 0, 0.1, 0.1, 0.2, 0.2)], "doc_id bigint, page_idx int, edge_idx int, x1 double, y1 double, x2 double, y2 double")
+    with pytest.raises(Exception, match="not an edge"):
+        records.edited_edges(edges, spark.createDataFrame([(1, 0, "moveEdge", ["pa0", "coord1", "up"])], kind)).collect()
+    assert [c for _, c, _ in records.parsed(["moveEdge pa0.ed0 coord1 up", "addWords r0 pa0.wo1", "moveEdges pa0.ed0:2 coord2 left 3"])] == ["moveEdge", "addWords", "moveEdges"]
+
+
+def test_polygon_cells_against_clipping(spark):
+    rng = random.Random(2)
+    words = [(1, 0, k, (x := rng.randint(0, 150)), (y := rng.randint(0, 150)), x + rng.randint(1, 40), y + rng.randint(1, 40)) for k in range(120)]
+    cells = [(1, 0, 0, r, c, [(c * 60 + r * 5, r * 60), (c * 60 + 60 + r * 5, r * 60 + 8), (c * 60 + 66, r * 60 + 66), (c * 60, r * 60 + 60)]) for r in range(3) for c in range(3)]
+    frame = spark.createDataFrame([(*c[:5], [{"x": x, "y": y} for x, y in c[5]]) for c in cells], "doc_id bigint, page_idx int, table_idx int, row_idx int, col_idx int, polygon array<struct<x:int,y:int>>")
+    found = {r.word_idx: (r.row_idx, r.col_idx) for r in tables.cells_by_polygon(spark.createDataFrame(words, "doc_id bigint, page_idx int, word_idx int, xmin int, ymin int, xmax int, ymax int"), frame).collect()}
+    expected = {}
+    for _, _, k, x0, y0, x1, y1 in words:
+        for _, _, _, r, c, polygon in cells:
+            if tables.clipped_area([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], polygon) / ((x1 - x0) * (y1 - y0)) > 0.5:
+                expected.setdefault(k, (r, c))
+    assert found == expected and len(found) > 60
+
+
 def test_edits(spark):
     lines = ["clearWord pa0.wo0", "# a remark", "replaceStr pa0.wo1 <all> 'two words'", "newWord NEW pa0.wo1 pa0.wo0", "mergeWords pa0.wo2 pa0.wo3", "splitWord pa0.wo4 fo"]
     commands = records.parsed(lines)
@@ -151,6 +214,37 @@ def test_json_and_files(spark, docs, tmp_path):
     assert [(r.page_idx, r.text) for r in read] == [(0, "Hello"), (0, "big"), (0, "world"), (1, "Second"), (1, "page")]
 
 
+def test_pipeline_tables_and_log(spark, docs, tmp_path):
+    @component(requires=("words",), assigns=("long",), depends=("json",))
+    class LongWords:
+        def __init__(self, least=4):
+            self.least = least
+
+        def __call__(self, bundle):
+            return {"long": bundle["words"].where(F.length("text") >= self.least)}
+
+    log = Pipeline().add("words").add("LongWords", config={"least": 5}).write({"docs": docs}, str(tmp_path / "out"))
+    assert {(r.pipe, r.table, r.n_rows) for r in log.collect()} == {("words", "words", 9), ("LongWords", "long", 3)}
+    assert spark.read.parquet(str(tmp_path / "out/001-LongWords/long.parquet")).count() == 3 and spark.read.parquet(str(tmp_path / "out/log.parquet")).count() == 2
+    with pytest.raises(PipelineError, match="no_such_module"):
+        component(depends=("no_such_module",))(LongWords)
+    with pytest.raises(PipelineError, match="needs"):
+        Pipeline().add("LongWords").write({"docs": docs}, str(tmp_path / "none"))
+
+
+def test_copied_files_and_docx(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.bin").write_bytes(bytes([k]) * (k * 3_000_000 + 1))
+    files = spark.createDataFrame([(str(tmp_path / f"{k}.bin"),) for k in range(3)], "path string")
+    told = sinks.copy_files(files, str(tmp_path / "copies")).collect()
+    assert sorted(r.n_bytes for r in told) == [1, 3_000_001, 6_000_001] and all((tmp_path / f"copies/{k}.bin").read_bytes() == (tmp_path / f"{k}.bin").read_bytes() for k in range(3))
+    assert not list((tmp_path / "copies").glob(".*part"))
+    rows = [(1, 0, "A <b> & c", True, 0), (1, 1, "two\x01", False, 240), (2, 0, "", False, 0), (2, 1, None, False, 0)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, seq int, text string, is_heading boolean, indent int")
+    got = sorted(tuple(r) for r in sinks.docx_paragraphs(sinks.docx_files(frame)).collect())
+    assert got == [(1, 0, "A <b> & c", True, 0), (1, 1, "two", False, 240), (2, 0, "", False, 0), (2, 1, "", False, 0)]
+
+
 def test_stream(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     stream = files.documents(spark, str(tmp_path / "in"), "doc_id bigint, text string")
