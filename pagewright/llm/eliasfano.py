@@ -87,6 +87,30 @@ class EliasFano:
         top = self._select(i, self.ones, 0) - i
         return (top.astype(_U) << _U(self.width)) | self.lows(i)
 
+    def values(self) -> np.ndarray:
+        """All values, in as few bytes as they need; read in one go, which costs far less for each than a search."""
+        place = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        out = ((place - np.arange(self.n)).astype(_U) << _U(self.width)) | self.lows(np.arange(self.n))
+        return out.astype(np.uint32) if not self.n or out[-1] < _U(1 << 32) else out
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those behind them, with one search for both."""
+        if not len(i):
+            return np.zeros(0, _U), np.zeros(0, _U)
+        place = self._select(i, self.ones, 0)
+        word = place >> 6
+        rest = (self.high[word] >> (place & 63).astype(_U)) >> _U(1)
+        base = place + 1
+        active = np.flatnonzero(rest == 0)
+        while len(active):
+            word[active] += 1
+            rest[active] = self.high[word[active]]
+            base[active] = word[active] << 6
+            active = active[rest[active] == 0]
+        after = base + np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.int64)
+        width = _U(self.width)
+        return ((place - i).astype(_U) << width) | self.lows(i), ((after - i - 1).astype(_U) << width) | self.lows(i + 1)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of the first value that equals x, or -1; a successor search."""
         if not self.n or not len(x):

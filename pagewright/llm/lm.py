@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.columns import cuts, release, signed, utf8, word_hashes, words
+from pagewright.llm.columns import cuts, release, utf8, word_hashes, words
 from pagewright.llm.eliasfano import EliasFano
 from pagewright.session import scratch
 
@@ -31,7 +31,8 @@ MIN_WORD, MIN_GRAM = 1, 2
 SHARD_BYTES = 32 << 20
 PIECE = 300_000
 FLUSH = 3 << 20
-DECODED_POINTERS = 1 << 22
+#: How much of the pointers a task may hold as plain numbers, which are looked up faster; the rest is searched as it lies. The same is found either way.
+DECODED_BYTES = 256 << 20
 STEP = 1 / 2000
 _U = np.uint64
 
@@ -107,15 +108,16 @@ class Trie:
                 f["nodes"] = sequence_of(f, "nodes")
                 if level > 1:
                     f["pointers"] = sequence_of(f, "pointers")
-                    if f["pointers"].n <= DECODED_POINTERS:
-                        f["plain"] = f["pointers"].get(np.arange(f["pointers"].n)).astype(np.int64)
+                    if (size := 4 * f["pointers"].n) <= self.__dict__.setdefault("_room", DECODED_BYTES):
+                        self._room -= size
+                        f["plain"] = f["pointers"].values()
             except FileNotFoundError:
                 f = None
             cache[level, shard] = f
         return cache[level, shard]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_files"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_files", "_room")}
 
     def numbers(self, hashes: np.ndarray, mark: bool = False) -> np.ndarray:
         """The words' numbers; -1 of unknown ones. Each distinct word is looked up once. ``mark``: -2 - number of words that stand once in the corpus."""
@@ -137,9 +139,8 @@ class Trie:
         f = self.file(level, shard)
         if not f or not f["nodes"].n:
             return np.full(len(context), -1, np.int64)
-        get = f["plain"].__getitem__ if "plain" in f else lambda i: f["pointers"].get(i).astype(np.int64)
-        low = get(context)
-        n = get(context + 1) - low
+        low, high = (v.astype(np.int64) for v in ((f["plain"][context], f["plain"][context + 1]) if "plain" in f else f["pointers"].pair(context)))
+        n = high - low
         out = np.full(len(context), -1, np.int64)
         some = np.flatnonzero(n)
         out[some] = f["nodes"].find(relative(low[some], n[some], word[some], self.size))
@@ -227,51 +228,62 @@ def relative(low: np.ndarray, n: np.ndarray, word: np.ndarray, size: int) -> np.
     return ((low.astype(_U) + whole) << bits) + ((share - whole * _U(size)) << bits) // _U(size)
 
 
+def packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ordered keys and their counts as bytes: the steps between keys, and the counts, byte by byte of their places, so that what is 0 stands together and compresses."""
+    steps = np.diff(key, prepend=_U(0))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = len(data) // 12
+    steps = np.ascontiguousarray(data[: 8 * size].reshape(8, size).T).view(_U).ravel()
+    return np.cumsum(steps, dtype=_U), np.ascontiguousarray(data[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
+
+
 def counted(held: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(shard, key, n) of pieces of keys, each key once; a shard's keys are those from its bound on."""
+    """(shard, counts) of pieces of keys, each key once, a row for each shard: what passes through the shuffle is a few long rows, not one for each key. A shard's keys are those from its bound on."""
     key = np.sort(np.concatenate(held))
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.append(edges, len(key)))
-    for a in range(0, len(edges), 200_000):
-        k = key[edges[a : a + 200_000]]
-        shard = np.searchsorted(bounds, k, "right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(signed(k)), pa.array(n[a : a + 200_000].astype(np.int32))], _NAMES)
+    key = key[edges]
+    cut = np.append(np.searchsorted(key, bounds), len(key))
+    cut[0] = 0
+    some = np.flatnonzero(np.diff(cut))
+    for k in range(0, len(some), 64):
+        part = some[k : k + 64]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([packed(key[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]) for s in part.tolist()], pa.binary())], ["shard", "counts"])
 
 
-ROWS = "shard int, key bigint, n int"
-_NAMES = ["shard", "key", "n"]
+ROWS = "shard int, counts binary"
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, sums), one shard at a time, of rows ordered by shard and key (as unsigned numbers); rows are added up as they come."""
+    """(shard, keys, sums), one shard at a time, of rows ordered by shard."""
 
     def total(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         key, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key, kind="stable")  # merges the pieces, which are in order
+        key = key[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[first], np.add.reduceat(n, first, dtype=np.int64).astype(np.int64)
+        return key[first], np.add.reduceat(n[order], first, dtype=np.int64).astype(np.int64)
 
     open_: list[tuple[np.ndarray, np.ndarray]] = []
     shard = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        shards, key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True])
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if open_ and shards[a] != shard:
+        rows = batch.column(1)
+        for k, own in enumerate(batch.column(0).to_pylist()):
+            if open_ and own != shard:
                 yield int(shard), *total(open_)
                 open_ = []
-            shard = shards[a]
-            k, m = total([(key[a:b].view(_U), n[a:b])])
-            open_.append((k, m.astype(np.int32)))
+            shard = own
+            open_.append(unpacked(np.frombuffer(rows[k].as_buffer(), np.uint8)))
     if open_:
         yield int(shard), *total(open_)
     release()
 
 
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
-    # Keys are unsigned: those with the top bit set come last.
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("key") < 0, "key")
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
 #: Stands for all words that follow a context once and that stand once themselves, or whose own bigram does: each of them is a kind of its own.

@@ -37,6 +37,10 @@ def test_elias_fano():
     for n, universe in ((0, 10), (1, 1), (1, 100), (1000, 1 << 20), (5000, 1 << 60), (1000, 1000), (300, 10**8), (700, 3)):
         values = np.sort(rng.integers(0, universe, n)).astype(np.uint64)
         e = EliasFano.build(values, universe)
+        assert (e.values() == values).all()
+        if len(values) > 1:
+            a, b = e.pair(np.arange(len(values) - 1))
+            assert (a == values[:-1]).all() and (b == values[1:]).all()
         assert (e.get(np.arange(n)) == values).all()
         x = np.concatenate([values, rng.integers(0, universe, 500).astype(np.uint64)])
         at = np.searchsorted(values, x)

@@ -2,6 +2,7 @@ import collections
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import lm
@@ -65,6 +66,17 @@ def test_against_brute_force(make, min_word, min_gram, shard_bytes):
     assert sum(len(trie.successors(k)) for k in range(trie.size)) == len(kept2)
 
 
+def test_pointers_as_numbers_and_as_they_lie_tell_the_same(make, monkeypatch):
+    trie, numbered = lm.train(make(corpus(3)), 1, 2, 300)
+    ids, start = lm.flat(pa.array([r.ids for r in numbered.collect()], pa.list_(pa.int32())))
+    whole = trie.probabilities(ids, start)
+    monkeypatch.setattr(lm, "DECODED_BYTES", 200)
+    other = lm.Trie(trie.folder, trie.bits, trie.offsets, trie.tokens, trie.unknown, trie.nodes)
+    assert (other.probabilities(ids, start) == whole).all()
+    kinds = {"plain" in f for f in other._files.values() if f and "pointers" in f}
+    assert kinds == {True, False} and trie.bits > 1
+
+
 def test_empty(make):
     assert lm.scored(make([])).count() == 0
     assert [(r.n_tokens, r.mean_log_prob, r.perplexity) for r in lm.scored(make([(1, None)])).collect()] == [(0, None, None)]
