@@ -178,6 +178,21 @@ def test_records(spark):
     assert sorted((r.i, r.fold) for r in folds.collect()) == [(i, 0 if i < 3 else 1 if i < 6 else 2) for i in range(10)]
 
 
+def test_batches_are_full_and_in_order(spark):
+    rng = random.Random(5)
+    rows = [(d, k, rng.choice((1, 5, 20, 64, 90))) for d in range(12) for k in range(rng.randint(1, 40))]
+    found = layout.batches(spark.createDataFrame(rows, "doc_id bigint, idx int, size int"), 64).collect()
+    assert sorted((r.doc_id, r.idx, r.size) for r in found) == rows
+    for d in range(12):
+        own = sorted((r.idx, r.batch_idx, r.size) for r in found if r.doc_id == d)
+        assert own[0][1] == 0 and all(b[1] - a[1] in (0, 1) for a, b in zip(own, own[1:]))
+        sizes = {}
+        for _, k, size in own:
+            sizes.setdefault(k, []).append(size)
+        assert all(sum(x) <= 64 or len(x) == 1 for x in sizes.values())
+        assert all(sum(sizes[k]) + sizes[k + 1][0] > 64 for k in sizes if k + 1 in sizes)
+
+
 def test_timeline(spark):
     rows = spark.createDataFrame([(1, t, v) for t, v in enumerate("aabba")], "g int, t int, v string")
     assert [(r.v, r.n) for r in timeline.scenes(rows, ("g",), "t", "v").orderBy("start").collect()] == [("a", 2), ("b", 2), ("a", 1)]
