@@ -25,6 +25,8 @@ HOT_GRAMS = 1 << 18
 BLOCK_BITS = 13
 FLUSH = 1 << 20
 POSTINGS_TOGETHER = 4_000_000
+#: Places are told in parts of a set, rounded down, so that they take a byte beside the gram, where shuffled rows compress.
+PLACES = 256
 _U = np.uint64
 
 
@@ -120,24 +122,25 @@ def hot_levels(grams: DataFrame, all_grams: int) -> tuple[np.ndarray, float]:
     return table, 1 + sum(r["times"] for r in counts if r["level"] < lowest) / all_grams
 
 
-def blocks(grams: np.ndarray, level: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, sides) under which a node posts its grams. Nodes of a gram that is estimated to be in more than 2**BLOCK_BITS of them are dealt to blocks, and each two
+def blocks(grams: np.ndarray, level: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sides, places of the grams) under which a node posts its grams. Nodes of a gram that is estimated to be in more than 2**BLOCK_BITS of them are dealt to blocks, and each two
     blocks meet under a key of their own; there the sides are 1 and 2, and only nodes of different sides are paired (0: all are)."""
     hot = level >= BLOCK_BITS
     if not hot.any():
-        return grams, np.zeros(len(grams), np.int32)
-    keys, sides = [grams[~hot]], [np.zeros(int((~hot).sum()), np.int32)]
-    for g, bits in zip(grams[hot], level[hot].tolist()):
+        return grams, np.zeros(len(grams), np.int64), np.arange(len(grams))
+    keys, sides, places = [grams[~hot]], [np.zeros(int((~hot).sum()), np.int64)], [np.flatnonzero(~hot)]
+    for place, g, bits in zip(np.flatnonzero(hot).tolist(), grams[hot], level[hot].tolist()):
         count = 1 << (int(bits) - BLOCK_BITS + 1)
         own, other = int(mix(np.array([node], np.int64).view(_U))[0]) % count, np.arange(count)
         low, high = np.minimum(own, other).astype(_U), np.maximum(own, other).astype(_U)
         keys.append(mix(g ^ mix((low << _U(32)) + high + _U(1))))
-        sides.append(np.where(other == own, 0, np.where(other > own, 1, 2)).astype(np.int32))
-    return np.concatenate(keys), np.concatenate(sides)
+        sides.append(np.where(other == own, 0, np.where(other > own, 1, 2)).astype(np.int64))
+        places.append(np.full(count, place))
+    return np.concatenate(keys), np.concatenate(sides), np.concatenate(places)
 
 
 def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float) -> DataFrame:
-    """(gram, node, size, l) of the grams that each node posts; l has the side (see blocks) from its ninth bit on."""
+    """(gram, info, node, size) of the grams that each node posts. info: the gram's place in the node's order, in parts of 1 / PLACES of the set, in its lowest 8 bits, l in the next 8, then the side (see blocks)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +158,51 @@ def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float)
                     out.append((*blocks(grams[order[:post]], level[order[:post]], node), node, len(grams), l))
                 if out:
                     count = [len(o[0]) for o in out]
-                    columns = [signed(np.concatenate([o[0] for o in out]))] + [np.repeat(np.array([o[k] for o in out], kind), count) for k, kind in ((2, np.int64), (3, np.int32), (4, np.int32))]
-                    columns[3] |= np.concatenate([o[1] for o in out]) << 8
-                    for a in range(0, len(columns[0]), 200_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in columns], ["gram", "node", "size", "l"])
+                    node, size, l = (np.repeat(np.array([o[k] for o in out], kind), count) for k, kind in ((3, np.int64), (4, np.int32), (5, np.int64)))
+                    place, side = np.concatenate([o[2] for o in out]) * PLACES // size, np.concatenate([o[1] for o in out])
+                    columns = signed(np.concatenate([o[0] for o in out])), (place | l << 8 | side << 16).astype(np.int32), node, size
+                    for a in range(0, len(node), 200_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in columns], ["gram", "info", "node", "size"])
         release()
 
-    return docs.select("text").where("text is not null and doc_id is not null").mapInArrow(run, "gram bigint, node bigint, size int, l int")
+    return docs.select("text").where("text is not null and doc_id is not null").mapInArrow(run, "gram bigint, info int, node bigint, size int")
+
+
+def met(group: np.ndarray, node: np.ndarray, size: np.ndarray, info: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, grams that they must share), about FLUSH at a time, of each two nodes of a group that can have a similarity of t as far as their sizes and the gram's places tell.
+
+    Two sets of Jaccard similarity >= t have least = t / (1 + t) * (their sizes) grams in common or more, and behind the l-th of these in x stand at least least - l others: it is among
+    the first |x| - least + l of x, and likewise of y. A gram that stands further behind in one of them is none of those first l."""
+    order = np.lexsort((node, size, group))
+    group, node, size, info = group[order], node[order], size[order], info[order]
+    # A node that several tasks have posted counts once. Then by growing size, each with those of at most 1 / t of its size.
+    first = np.r_[True, (group[1:] != group[:-1]) | (node[1:] != node[:-1])]
+    group, node, size, info = group[first], node[first], size[first].astype(np.int64), info[first]
+    l, side, place = info >> 8 & 255, info >> 16, -((info & 255).astype(np.int64) * -size // PLACES)
+    span = int(size.max(initial=0)) + 1
+    upto = np.searchsorted(group * span + size, group * span + np.minimum((size / t + 1e-9).astype(np.int64), span - 1), "right")
+    count = upto - np.arange(len(group)) - 1
+    total = np.cumsum(count)
+    at = 0
+    while at < len(group):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FLUSH, "right")))
+        c = count[at:to]
+        i = np.repeat(np.arange(at, to), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        need = np.minimum(l[i], l[j])
+        least = np.ceil(t / (1 + t) * (1 - 1e-8) * (size[i] + size[j]) - 1e-6).astype(np.int64)
+        keep = (place[i] < size[i] - least + need) & (place[j] < size[j] - least + need) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), need[keep].astype(np.int32)
+        at = to
+
+
+def summed(a: np.ndarray, b: np.ndarray, need: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same with times added up for equal pairs. They are ordered by a hash; pairs of one hash may be left in several parts, which is harmless."""
+    order = np.argsort(mix(a.view(_U) ^ mix(b.view(_U))))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], need[order[first]], np.add.reduceat(times[order], first, dtype=np.int32)
 
 
 def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
@@ -169,69 +210,35 @@ def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
     together: a pair is told once for each part in which it shares grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[int, int] = {}  # nodes by the order in which they are met
-        ls: list[int] = []
-        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int32)  # pairs of numbers, and the grams they share so far
-        held: list[np.ndarray] = []
-        total = 0
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        pairs, held, total = none, [], 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            nodes, need = np.fromiter(number, np.int64, len(number)), np.array(ls, np.int32)
-            for k in range(0, len(keys), 200_000):
-                i, j = nodes[x := keys[k : k + 200_000] >> 32], nodes[y := keys[k : k + 200_000] & 0xFFFFFFFF]
-                columns = np.minimum(i, j), np.maximum(i, j), times[k : k + 200_000], np.minimum(need[x], need[y])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "times", "need"])
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            both = np.concatenate([keys, *held])
-            order = np.argsort(both)
-            both = both[order]
-            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            count = np.concatenate([times, np.ones(len(both) - len(times), np.int32)])
-            return both[first], np.add.reduceat(count[order], first, dtype=np.int32)
-
-        for edges, (gram, node, size, l) in grouped(batches):
-            for s in np.flatnonzero(np.diff(edges) > 1):
-                x, y = edges[s], edges[s + 1]
-                ids, first = np.unique(node[x:y], return_index=True)
-                if len(ids) < 2:
-                    continue
-                z, side = size[x:y][first], l[x:y][first] >> 8
-                own = []
-                for i, m in zip(ids.tolist(), (l[x:y][first] & 255).tolist()):
-                    if (k := number.setdefault(i, len(number))) == len(ls):
-                        ls.append(m)
-                    own.append(k)
-                # By growing size, each with those of at most 1 / t of its size.
-                order = np.argsort(z, kind="stable")
-                z, own, side = z[order], np.array(own, np.int64)[order], side[order]
-                sided = side[0] > 0
-                count = np.searchsorted(z, z / t + 1e-9, "right") - np.arange(len(z)) - 1
-                at = 0
-                while at < len(z):
-                    to = at + max(1, int(np.searchsorted(np.cumsum(count[at:]), FLUSH, "right")))
-                    c = count[at:to]
-                    i = np.repeat(np.arange(at, at + len(c)), c)
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-                    if sided:
-                        apart = side[i] != side[j]
-                        i, j = i[apart], j[apart]
-                    held.append((np.minimum(own[i], own[j]) << 32) | np.maximum(own[i], own[j]))
-                    total += len(i)
-                    at = to
-                    if total > FLUSH:
-                        keys, times = summed()
-                        held, total = [], 0
-                        if len(keys) > 2 * FLUSH:
-                            yield from told()
-                            keys, times = keys[:0], times[:0]
-        if held:
-            keys, times = summed()
+            for k in range(0, len(pairs[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in pairs], ["a", "b", "need", "times"])
+
+        for edges, (_, info, node, size) in grouped(batches):
+            count = np.diff(edges)
+            several = np.flatnonzero(np.repeat(count > 1, count))
+            if not len(several):
+                continue
+            group = np.repeat(np.arange(len(count)), count)[several]
+            for a, b, need in met(group, node[several], size[several], info[several], t):
+                held.append((a, b, need, np.ones(len(a), np.int32)))
+                total += len(a)
+                if total > FLUSH:
+                    pairs = summed(*map(np.concatenate, zip(pairs, *held)))
+                    held, total = [], 0
+                    if len(pairs[0]) > 2 * FLUSH:
+                        yield from told()
+                        pairs = none
+        if total:
+            pairs = summed(*map(np.concatenate, zip(pairs, *held)))
         yield from told()
         release()
 
     parts = max(posted.sparkSession.sparkContext.defaultParallelism, int(np.ceil(rows / POSTINGS_TOGETHER)))
-    found = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, times int, need int")
+    found = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "a bigint, b bigint, need int, times int")
     return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
 
 

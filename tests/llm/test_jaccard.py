@@ -142,3 +142,28 @@ def test_odd_column_names(make):
     df = make([(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "e f g"), (4, "e f h"), (4, "other words")]).selectExpr("*", "1 as `a.b`", "2 as `c``d`", "3 as `Class_ID`")
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 4]
+
+
+def test_candidates_that_strangers_share_far_behind_are_not_met():
+    # Two sets of 100 grams that share one gram: similar sets have 75 in common, so the first of these is among the first 26 of either.
+    info = lambda place, l=1, side=0, size=100: place * jaccard.PLACES // size | l << 8 | side << 16
+
+    def pairs(*posted, t=0.6):
+        group, node, size, told = (np.array(c, np.int64) for c in zip(*posted))
+        return sorted((a, b, n) for x in jaccard.met(group, node, size, told, t) for a, b, n in zip(*(c.tolist() for c in x)))
+
+    assert pairs((0, 7, 100, info(25)), (0, 3, 100, info(0))) == [(3, 7, 1)]
+    assert pairs((0, 7, 100, info(26)), (0, 3, 100, info(0))) == []
+    assert pairs((0, 7, 100, info(32, 8)), (0, 3, 100, info(0, 9))) == [(3, 7, 8)] and pairs((0, 7, 100, info(33, 8)), (0, 3, 100, info(0, 9))) == []
+    # A smaller set needs its first gram; one that is too small is never met. Repeated postings count once, groups are apart, and so are equal sides.
+    assert pairs((0, 7, 60, info(0)), (0, 3, 100, info(40))) == [(3, 7, 1)] and pairs((0, 7, 60, info(1)), (0, 3, 100, info(0))) == []
+    assert pairs((0, 7, 59, info(0)), (0, 3, 100, info(0))) == []
+    assert pairs((0, 1, 9, info(0)), (0, 2, 9, info(0)), (0, 1, 9, info(0)), (1, 1, 9, info(0)), (1, 4, 9, info(0))) == [(1, 2, 1), (1, 4, 1)]
+    assert pairs((0, 1, 9, info(0, 1, 1)), (0, 2, 9, info(0, 1, 1)), (0, 3, 9, info(0, 1, 2))) == [(1, 3, 1), (2, 3, 1)]
+
+
+def test_pairs_are_summed_whatever_their_hashes():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-4, 4, (2, 500))
+    x, y, need, times = jaccard.summed(a, b, np.full(500, 2, np.int32), np.ones(500, np.int32))
+    assert {(i, j): n for i, j, n in zip(x.tolist(), y.tolist(), times.tolist())} == {(i, j): int(((a == i) & (b == j)).sum()) for i, j in zip(a.tolist(), b.tolist())} and set(need) == {2}
