@@ -27,6 +27,8 @@ FLUSH = 1 << 20
 POSTINGS_TOGETHER = 4_000_000
 #: Places are told in parts of a set, rounded down, so that they take a byte beside the gram, where shuffled rows compress.
 PLACES = 256
+#: Grams of a node's sketch, and nodes whose groups are known where pairs are formed: neither changes the result.
+SKETCH, KNOWN = 8, 1 << 20
 _U = np.uint64
 
 
@@ -67,9 +69,13 @@ def choose(frequencies: np.ndarray, size: int, t: float) -> tuple[int, int]:
 
 
 def summarise(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: rows (doc_id, node, null) of texts with a word, (null, gram, times) of grams that a part of the table holds
+    """One pass: rows (doc_id, node, null, sketch) of texts with a word, where the sketch has the grams of least hash, (null, gram, times) of grams that a part of the table holds
     more than once, and (0, null, times) of how many grams there are."""
 
+    def sketch(grams: np.ndarray) -> np.ndarray:
+        hashes = mix(grams ^ _U(0x2545F4914F6CDD1D))
+        return signed(np.partition(hashes, SKETCH)[:SKETCH] if len(hashes) > SKETCH else hashes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
 
@@ -79,8 +85,9 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
             told = np.append(signed(grams[keep]), 0), np.append(times[keep], total).astype(np.int64)
             return batch_of(pa.array([None] * int(keep.sum()) + [0], pa.int64()), pa.array(told[0], mask=np.arange(len(told[0])) == len(told[0]) - 1), pa.array(told[1]))
 
-        def batch_of(ids: pa.Array, keys: pa.Array, times: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, keys, times], ["doc_id", "key", "times"])
+        def batch_of(ids: pa.Array, keys: pa.Array, times: pa.Array, sketches: list[np.ndarray] | None = None) -> pa.RecordBatch:
+            told = pa.nulls(len(ids), pa.list_(pa.int64())) if sketches is None else pa.array(sketches, pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, keys, times, told], ["doc_id", "key", "times", "sketch"])
 
         for batch in batches:
             for at, rows in cuts(batch.column("text")):
@@ -89,7 +96,7 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
                 nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 some = np.array([len(s) > 0 for s in sets], bool)
                 ids = piece.column("doc_id").filter(pa.array(some))
-                yield batch_of(ids, pa.array(nodes[some]), pa.nulls(int(some.sum()), pa.int64()))
+                yield batch_of(ids, pa.array(nodes[some]), pa.nulls(int(some.sum()), pa.int64()), [sketch(s) for s in sets if len(s)])
                 for s, node in zip(sets, nodes.tolist()):
                     if len(s) and node not in seen:
                         seen.add(node)
@@ -102,7 +109,7 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
             yield counted()
         release()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, key bigint, times bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, key bigint, times bigint, sketch array<bigint>")
 
 
 def hot_levels(grams: DataFrame, all_grams: int) -> tuple[np.ndarray, float]:
@@ -168,16 +175,18 @@ def postings(docs: DataFrame, levels: np.ndarray, cold: float, n: int, t: float)
     return docs.select("text").where("text is not null and doc_id is not null").mapInArrow(run, "gram bigint, info int, node bigint, size int")
 
 
-def met(group: np.ndarray, node: np.ndarray, size: np.ndarray, info: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def met(group: np.ndarray, node: np.ndarray, size: np.ndarray, info: np.ndarray, t: float, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, grams that they must share), about FLUSH at a time, of each two nodes of a group that can have a similarity of t as far as their sizes and the gram's places tell.
 
     Two sets of Jaccard similarity >= t have least = t / (1 + t) * (their sizes) grams in common or more, and behind the l-th of these in x stand at least least - l others: it is among
-    the first |x| - least + l of x, and likewise of y. A gram that stands further behind in one of them is none of those first l."""
+    the first |x| - least + l of x, and likewise of y. A gram that stands further behind in one of them is none of those first l.
+    With ``root``, nodes of equal roots aren't paired."""
     order = np.lexsort((node, size, group))
     group, node, size, info = group[order], node[order], size[order], info[order]
+    root = node if root is None else root[order]
     # A node that several tasks have posted counts once. Then by growing size, each with those of at most 1 / t of its size.
     first = np.r_[True, (group[1:] != group[:-1]) | (node[1:] != node[:-1])]
-    group, node, size, info = group[first], node[first], size[first].astype(np.int64), info[first]
+    group, node, size, info, root = group[first], node[first], size[first].astype(np.int64), info[first], root[first]
     l, side, place = info >> 8 & 255, info >> 16, -((info & 255).astype(np.int64) * -size // PLACES)
     span = int(size.max(initial=0)) + 1
     upto = np.searchsorted(group * span + size, group * span + np.minimum((size / t + 1e-9).astype(np.int64), span - 1), "right")
@@ -191,7 +200,7 @@ def met(group: np.ndarray, node: np.ndarray, size: np.ndarray, info: np.ndarray,
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         need = np.minimum(l[i], l[j])
         least = np.ceil(t / (1 + t) * (1 - 1e-8) * (size[i] + size[j]) - 1e-6).astype(np.int64)
-        keep = (place[i] < size[i] - least + need) & (place[j] < size[j] - least + need) & ((side[i] == 0) | (side[i] != side[j]))
+        keep = (place[i] < size[i] - least + need) & (place[j] < size[j] - least + need) & ((side[i] == 0) | (side[i] != side[j])) & (root[i] != root[j])
         i, j = i[keep], j[keep]
         yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), need[keep].astype(np.int32)
         at = to
@@ -205,13 +214,15 @@ def summed(a: np.ndarray, b: np.ndarray, need: np.ndarray, times: np.ndarray) ->
     return a[first], b[first], need[order[first]], np.add.reduceat(times[order], first, dtype=np.int32)
 
 
-def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
+def candidates(posted: DataFrame, t: float, rows: float, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(a, b): nodes, a < b, that share as many of their posted grams as they must. About ``rows`` postings are divided so that many are
-    together: a pair is told once for each part in which it shares grams."""
+    together: a pair is told once for each part in which it shares grams. ``known``: nodes, in order, and their roots; nodes of one root are left out as pairs."""
+    shared = posted.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         pairs, held, total = none, [], 0
+        nodes, roots = shared.value or (none[0], none[0])
 
         def told() -> Iterator[pa.RecordBatch]:
             for k in range(0, len(pairs[0]), 200_000):
@@ -223,7 +234,17 @@ def candidates(posted: DataFrame, t: float, rows: float) -> DataFrame:
             if not len(several):
                 continue
             group = np.repeat(np.arange(len(count)), count)[several]
-            for a, b, need in met(group, node[several], size[several], info[several], t):
+            node, root = node[several], None
+            if len(nodes):
+                at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+                root = np.where(nodes[at] == node, roots[at], node)
+                # Grams that stand in one group of nodes only are the many.
+                start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), np.diff(np.r_[start, len(group)]))
+                several, group, node, root = several[mixed], group[mixed], node[mixed], root[mixed]
+                if not len(several):
+                    continue
+            for a, b, need in met(group, node, size[several], info[several], t, root):
                 held.append((a, b, need, np.ones(len(a), np.int32)))
                 total += len(a)
                 if total > FLUSH:
@@ -273,17 +294,55 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: flo
     return compare(cell, texts.mapInArrow(sets, "node bigint, payload array<bigint>"), overlap, t, "jaccard")
 
 
-def similar_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of the documents, and (a, b, jaccard) of the pairs of nodes."""
+def summarised(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(summary, (doc_id, node) of the documents, (node, rep), how many grams there are)."""
     summary = durable(summarise(docs, n))
     ids = summary.where("doc_id is not null and key is not null").select("doc_id", F.col("key").alias("node")).distinct()
     grams = summary.where("key is null").agg(F.sum("times")).first()[0] or 1
+    return summary, ids, ids.groupBy("node").agg(F.min("doc_id").alias("rep")), grams
+
+
+def similar_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of the documents, and (a, b, jaccard) of the pairs of nodes."""
+    summary, ids, nodes, grams = summarised(docs, n)
     levels, cold = hot_levels(summary.where("doc_id is null"), grams)
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("rep"))
     pairs = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t)))
     return ids, durable(verified(docs, nodes, pairs, n, t))
 
 
+def likely(summary: DataFrame) -> DataFrame:
+    """(a, b): of each node and the least nodes that share a gram of their sketches, the one with most of them; at most one pair a node."""
+    sketches = summary.where("sketch is not null").groupBy(F.col("key").alias("node")).agg(F.first("sketch").alias("sketch")).select("node", F.explode("sketch").alias("gram"))
+    least = sketches.groupBy("gram").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("gram", "least")
+    met = sketches.join(least, "gram").where("least < node").groupBy("node", "least").count()
+    return met.groupBy("node").agg(F.max_by("least", F.struct("count", "least")).alias("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+
+
+def largest(roots: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in order, their roots), of at most KNOWN nodes: those of the largest groups, by powers of two."""
+    sized = durable(roots.join(roots.groupBy("root").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("level")), "root"))
+    counts = {r["level"]: r["count"] for r in sized.groupBy("level").count().collect()}
+    lowest, total = 64, 0
+    while lowest and total + counts.get(lowest - 1, 0) <= KNOWN:
+        lowest -= 1
+        total += counts.get(lowest, 0)
+    own = sized.where(F.col("level") >= lowest)
+    found = own.select("node", "root").union(own.select("root", "root").distinct()).toArrow()  # bounded by KNOWN, and as many roots at most
+    node, root = (found.column(k).to_numpy().astype(np.int64) for k in range(2))
+    order = np.argsort(node)
+    return node[order], root[order]
+
+
+def spanning_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """As similar_nodes, with fewer pairs: as many of those of at least t as lead from each node to all that are reached over any. First the likely pairs are verified; then, of all others,
+    those whose nodes these don't connect. So a group of near copies isn't expanded into its pairs."""
+    summary, ids, nodes, grams = summarised(docs, n)
+    some = durable(verified(docs, nodes, durable(likely(summary)), n, t))
+    levels, cold = hot_levels(summary.where("doc_id is null"), grams)
+    rest = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t), largest(components(some.select("a", "b")))))
+    return ids, durable(some.union(verified(docs, nodes, rest, n, t)))
+
+
 def linked(ids: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(name, class_id, n_links) of the ids that have a link, from (name, node) and pairs (a, b) of nodes; an id may be of several nodes.
 
@@ -335,7 +394,7 @@ def components(edges: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """The documents without those that are, directly or through others, similar to one of a smaller doc_id; rows with a null doc_id or
     without a word stay. Of repeated rows (doc_id and text) one stays."""
-    ids, pairs = similar_nodes(docs, n, t)
+    ids, pairs = spanning_nodes(docs, n, t)
     gone = linked(ids, pairs, "doc_id").where("doc_id <> class_id").select("doc_id")
     kept = docs.join(durable(gone), "doc_id", "left_anti")
     again = durable(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))

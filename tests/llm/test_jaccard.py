@@ -167,3 +167,19 @@ def test_pairs_are_summed_whatever_their_hashes():
     a, b = rng.integers(-4, 4, (2, 500))
     x, y, need, times = jaccard.summed(a, b, np.full(500, 2, np.int32), np.ones(500, np.int32))
     assert {(i, j): n for i, j, n in zip(x.tolist(), y.tolist(), times.tolist())} == {(i, j): int(((a == i) & (b == j)).sum()) for i, j in zip(a.tolist(), b.tolist())} and set(need) == {2}
+
+
+def test_groups_are_not_expanded_into_pairs(make, monkeypatch):
+    rows = [r for r in corpus(6, copies=90) if r != (6, "another text of this id")]
+    root = groups(rows, 3, 0.6)
+    copies = [i for i, _ in rows if i is not None and 1000 <= i < 1090]
+    assert len({root[i] for i in copies}) == 1
+    for known in (jaccard.KNOWN, 0):
+        monkeypatch.setattr(jaccard, "KNOWN", known)
+        seen = []
+        monkeypatch.setattr(jaccard, "verified", lambda d, nodes, pairs, *a, real=jaccard.__dict__["verified"]: seen.append(pairs.count()) or real(d, nodes, pairs, *a))
+        ids, pairs = jaccard.spanning_nodes(make(rows), 3, 0.6)
+        found = jaccard.linked(ids, pairs, "doc_id").collect()
+        monkeypatch.undo()
+        assert {r.doc_id: r.class_id for r in found} == {i: c for i, c, _ in linked(rows, 3, 0.6)}
+        assert (sum(seen) < 400) == (known > 0)  # 90 copies have 4005 pairs
