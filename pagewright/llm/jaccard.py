@@ -29,6 +29,8 @@ POSTINGS_TOGETHER = 4_000_000
 PLACES = 256
 #: Grams of a node's sketch, and nodes whose groups are known where pairs are formed: neither changes the result.
 SKETCH, KNOWN = 8, 1 << 20
+#: Nodes are grouped where likely pairs have this part of the threshold; a group is compared in blocks of about so many nodes and grams. Neither changes the result.
+LOOSE, GROUP_NODES, GROUP_GRAMS = 0.5, 1024, 1 << 20
 _U = np.uint64
 
 
@@ -69,7 +71,7 @@ def choose(frequencies: np.ndarray, size: int, t: float) -> tuple[int, int]:
 
 
 def summarise(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: rows (doc_id, node, null, sketch) of texts with a word, where the sketch has the grams of least hash, (null, gram, times) of grams that a part of the table holds
+    """One pass: rows (doc_id, node, size, sketch) of texts with a word, where the sketch has the grams of least hash and size says how many there are, (null, gram, times) of grams that a part of the table holds
     more than once, and (0, null, times) of how many grams there are."""
 
     def sketch(grams: np.ndarray) -> np.ndarray:
@@ -96,7 +98,7 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
                 nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
                 some = np.array([len(s) > 0 for s in sets], bool)
                 ids = piece.column("doc_id").filter(pa.array(some))
-                yield batch_of(ids, pa.array(nodes[some]), pa.nulls(int(some.sum()), pa.int64()), [sketch(s) for s in sets if len(s)])
+                yield batch_of(ids, pa.array(nodes[some]), pa.array([len(s) for s in sets if len(s)], pa.int64()), [sketch(s) for s in sets if len(s)])
                 for s, node in zip(sets, nodes.tolist()):
                     if len(s) and node not in seen:
                         seen.add(node)
@@ -273,11 +275,8 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of at least t, from the sets themselves; ``nodes``: (node, rep), a document of each."""
-    cell = cells(pairs)
-    reps = durable(wanted(cell).select("node").distinct().join(nodes, "node"))
-
+def payloads(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(node, payload): the sets of the nodes in (node, rep), among some others; one may be there more than once."""
     # Only documents in the bitmap are looked at; what it lets through by chance finds no partner.
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(reps, "rep"))
 
@@ -291,7 +290,13 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: flo
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in grams], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "payload"])
 
     texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("rep"), "text").select(slot("rep").alias("slot"), "text")
-    return compare(cell, texts.mapInArrow(sets, "node bigint, payload array<bigint>"), overlap, t, "jaccard")
+    return texts.mapInArrow(sets, "node bigint, payload array<bigint>")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of at least t, from the sets themselves; ``nodes``: (node, rep), a document of each."""
+    cell = cells(pairs)
+    return compare(cell, payloads(docs, durable(wanted(cell).select("node").distinct().join(nodes, "node")), n), overlap, t, "jaccard")
 
 
 def summarised(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -302,14 +307,6 @@ def summarised(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame
     return summary, ids, ids.groupBy("node").agg(F.min("doc_id").alias("rep")), grams
 
 
-def similar_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of the documents, and (a, b, jaccard) of the pairs of nodes."""
-    summary, ids, nodes, grams = summarised(docs, n)
-    levels, cold = hot_levels(summary.where("doc_id is null"), grams)
-    pairs = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t)))
-    return ids, durable(verified(docs, nodes, pairs, n, t))
-
-
 def likely(summary: DataFrame) -> DataFrame:
     """(a, b): of each node and the least nodes that share a gram of their sketches, the one with most of them; at most one pair a node."""
     sketches = summary.where("sketch is not null").groupBy(F.col("key").alias("node")).agg(F.first("sketch").alias("sketch")).select("node", F.explode("sketch").alias("gram"))
@@ -318,8 +315,8 @@ def likely(summary: DataFrame) -> DataFrame:
     return met.groupBy("node").agg(F.max_by("least", F.struct("count", "least")).alias("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
 
 
-def largest(roots: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes in order, their roots), of at most KNOWN nodes: those of the largest groups, by powers of two."""
+def largest(roots: DataFrame) -> DataFrame:
+    """(node, root) of at most KNOWN nodes, and of their roots: those of the largest groups, by powers of two; whole groups."""
     sized = durable(roots.join(roots.groupBy("root").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("level")), "root"))
     counts = {r["level"]: r["count"] for r in sized.groupBy("level").count().collect()}
     lowest, total = 64, 0
@@ -327,34 +324,169 @@ def largest(roots: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         lowest -= 1
         total += counts.get(lowest, 0)
     own = sized.where(F.col("level") >= lowest)
-    found = own.select("node", "root").union(own.select("root", "root").distinct()).toArrow()  # bounded by KNOWN, and as many roots at most
+    return own.select("node", "root").union(own.select(F.col("root").alias("node"), "root").distinct())
+
+
+def in_order(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in order, their roots) of ``largest``."""
+    found = members.toArrow()  # bounded by KNOWN, and as many roots at most
     node, root = (found.column(k).to_numpy().astype(np.int64) for k in range(2))
     order = np.argsort(node)
     return node[order], root[order]
 
 
+def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """How many grams each two of two lists of sets have in common, from (set, gram) entries of either list, where grams are numbered from 0. Grams of many sets are met in a product of matrices, others one by one."""
+    both = np.zeros(shape, np.int32)
+    grams = 1 + max(x[1].max(initial=-1), y[1].max(initial=-1))
+    cx, cy = np.bincount(x[1], minlength=grams), np.bincount(y[1], minlength=grams)
+    meetings = cx * cy
+    many = meetings > max(shape[0] * shape[1] / 64, 1)
+    found = np.flatnonzero(many)
+    for a in range(0, len(found), 1024):
+        column = np.full(grams, -1)
+        column[found[a : a + 1024]] = np.arange(len(found[a : a + 1024]))
+        sides = []
+        for (own, gram), rows in zip((x, y), shape):
+            sides.append(np.zeros((rows, len(found[a : a + 1024])), np.float32))
+            at = column[gram]
+            sides[-1][own[at >= 0], at[at >= 0]] = 1
+        both += (sides[0] @ sides[1].T).astype(np.int32)  # at most 1024: exact
+    own, gram = (c[(meetings[x[1]] > 0) & ~many[x[1]]] for c in x)
+    order = np.argsort(y[1], kind="stable")
+    first, count = np.cumsum(cy) - cy, cy[gram]
+    total = np.cumsum(count)
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FLUSH, "right")))
+        c = count[at:to]
+        j = y[0][order[np.repeat(first[gram[at:to]], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)]]
+        both += np.bincount(np.repeat(own[at:to], c) * shape[1] + j, minlength=both.size).reshape(shape).astype(np.int32)
+        at = to
+    return both
+
+
+def met_whole(node: np.ndarray, block: np.ndarray, size: np.ndarray, several: np.ndarray, sets: list[np.ndarray], p: int, q: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, a, b), from each two nodes of blocks p and q that have a similarity of t or more: (0, node, how many documents its partners have), (1, a, b) of as many pairs as connect what these connect, and
+    (2, a, b) of pairs in which both are ``several``."""
+    x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    length = np.array([len(s) for s in sets], np.int64)
+    gram = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.repeat(np.arange(len(sets)), length)
+
+    def entries(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(len(sets), -1)
+        place[side] = np.arange(len(side))
+        at = place[own]
+        return at[at >= 0], gram[at >= 0]
+
+    both = common(entries(x), entries(y), (len(x), len(y)))
+    hit = both / (length[x][:, None] + length[y][None] - both) >= t - 1e-9
+    if p == q:
+        np.fill_diagonal(hit, False)
+    near = np.zeros(len(sets), np.int64)
+    near[x] += np.where(hit, size[y][None], 0).sum(axis=1)
+    if p != q:
+        near[y] += np.where(hit, size[x][:, None], 0).sum(axis=0)
+    label = np.arange(len(sets))
+    while True:
+        before = label.copy()
+        label[x] = np.minimum(label[x], np.where(hit, label[y][None], len(sets)).min(axis=1, initial=len(sets)))
+        label[y] = np.minimum(label[y], np.where(hit, label[x][:, None], len(sets)).min(axis=0, initial=len(sets)))
+        label = label[label]
+        if (label == before).all():
+            break
+    some, led = np.flatnonzero(near), np.flatnonzero(label != np.arange(len(sets)))
+    i, j = np.nonzero(hit & several[x][:, None] & several[y][None])
+    once = (i < j) | (p != q)
+    i, j = x[i[once]], y[j[once]]
+    kind = np.repeat([0, 1, 2], [len(some), len(led), len(i)]).astype(np.int32)
+    return kind, np.concatenate([node[some], node[led], node[i]]), np.concatenate([near[some], node[label[led]], node[j]])
+
+
+def whole_groups(docs: DataFrame, summary: DataFrame, ids: DataFrame, nodes: DataFrame, members: DataFrame, n: int, t: float) -> DataFrame:
+    """(kind, a, b) of met_whole, for all pairs of nodes within each of the groups (node, root). Each two blocks of a group meet in a task; no pair has a row."""
+    lengths = summary.where("doc_id is not null and key is not null").groupBy(F.col("key").alias("node")).agg(F.max("times").alias("length"))
+    several = ids.join(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "doc_id").select("node").distinct().withColumn("several", F.lit(True))
+    known = members.join(lengths, "node").join(ids.groupBy("node").agg(F.count("*").alias("size")), "node").join(several, "node", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    known = durable(known)
+    blocks_of = known.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(GROUP_NODES), F.sum("length") / F.lit(GROUP_GRAMS))).cast("int").alias("blocks"))
+    placed = known.join(blocks_of, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select("node", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "size", "several")
+    rows = placed.join(payloads(docs, durable(known.select("node").join(nodes, "node")), n), "node").select("root", "p", "q", "block", "node", "size", "several", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        cell, out, told = None, [], 0
+
+        def close() -> int:
+            block, size, several = (np.array(c) for c in zip(*(h[:3] for h in held.values())))
+            out.append(met_whole(np.array(list(held), np.int64), block, size, several, [h[3] for h in held.values()], cell[1], cell[2], t))
+            return len(out[-1][0])
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["kind", "a", "b"])
+
+        for batch in batches:
+            lists = batch.column("payload")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, (root, p, q, block, node, size, several) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)))):
+                if (root, p, q) != cell:
+                    told += close() if held else 0
+                    held, cell = {}, (root, p, q)
+                    if told > FLUSH:
+                        yield batch_of()
+                        out, told = [], 0
+                held[node] = block, size, several, values[offsets[i] : offsets[i + 1]].copy()
+        if held:
+            close()
+        if out:
+            yield batch_of()
+        release()
+
+    return rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(run, "kind int, a bigint, b bigint")
+
+
+def similar_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node) of the documents, (a, b, jaccard) of the pairs of nodes of different groups, and (kind, a, b) of met_whole, of the pairs within groups. Groups are what likely pairs, by sketches, connect;
+    which they are doesn't change what is found. So large groups of near copies aren't expanded into candidates, and the exact join is left with what lies between groups."""
+    summary, ids, nodes, grams = summarised(docs, n)
+    loose = durable(verified(docs, nodes, durable(likely(summary)), n, t * LOOSE))
+    members = durable(largest(components(loose.select("a", "b"))))
+    within = durable(whole_groups(docs, summary, ids, nodes, members, n, t))
+    levels, cold = hot_levels(summary.where("doc_id is null"), grams)
+    pairs = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t), in_order(members)))
+    return ids, durable(verified(docs, nodes, pairs, n, t)), within
+
+
 def spanning_nodes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """As similar_nodes, with fewer pairs: as many of those of at least t as lead from each node to all that are reached over any. First the likely pairs are verified; then, of all others,
     those whose nodes these don't connect. So a group of near copies isn't expanded into its pairs."""
     summary, ids, nodes, grams = summarised(docs, n)
     some = durable(verified(docs, nodes, durable(likely(summary)), n, t))
     levels, cold = hot_levels(summary.where("doc_id is null"), grams)
-    rest = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t), largest(components(some.select("a", "b")))))
+    rest = durable(candidates(postings(docs, levels, cold, n, t), t, grams * (1 - t), in_order(largest(components(some.select("a", "b"))))))
     return ids, durable(some.union(verified(docs, nodes, rest, n, t)))
 
 
-def linked(ids: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def linked(ids: DataFrame, pairs: DataFrame, name: str, within: DataFrame | None = None) -> DataFrame:
     """(name, class_id, n_links) of the ids that have a link, from (name, node) and pairs (a, b) of nodes; an id may be of several nodes.
 
     Ids of one node are linked, and those of two nodes of a pair. n_links counts an id's links to other ids (once for each two nodes that link them); class_id is the
-    least id that is reached over links. Nothing is expanded into pairs of ids."""
+    least id that is reached over links. Nothing is expanded into pairs of ids. ``within``: (kind, a, b) of met_whole, of further pairs."""
     sizes = ids.groupBy("node").agg(F.count("*").alias("size"))
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    near = both.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("near"))
+    near = both.join(sizes.withColumnRenamed("node", "other"), "other").select("node", F.col("size").alias("near"))
+    edges = pairs.select("a", "b")
+    if within is not None:
+        near = near.union(within.where("kind = 0").select("a", "b"))
+        edges = edges.union(within.where("kind = 1").select("a", "b"))
+        both = both.union(within.where("kind = 2").select("a", "b")).union(within.where("kind = 2").select("b", "a"))
+    near = near.groupBy("node").agg(F.sum("near").alias("near"))
     several = durable(ids.groupBy(name).agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select(name, "first"))
     again = ids.join(several, name).select(name, "node", "first")
     own = again.select(name, "node").join(both, "node").select(name, F.col("other").alias("node")).join(again, [name, "node"]).groupBy(name).agg(F.count("*").alias("own"))
-    roots = components(pairs.select("a", "b").union(again.select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    roots = components(edges.union(again.select(F.col("node").alias("a"), F.col("first").alias("b"))))
     told = ids.join(sizes.join(near, "node", "left").join(roots, "node", "left"), "node")
     told = durable(told.select(name, F.coalesce("root", "node").alias("root"), (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0"))
     least = told.groupBy("root").agg(F.min(name).alias("class_id"))
@@ -370,7 +502,8 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     Words are runs of characters other than ASCII white space. A text of fewer than n words has one gram. Null doc_id, null text, or a text without a
     word: no row. Repeated rows count once; two texts of one doc_id are compared apart, are not a link with themselves, and are in one class. Other columns play no part. An empty table gives an empty result.
     """
-    return linked(*similar_nodes(docs, n, t), "doc_id")
+    ids, pairs, within = similar_nodes(docs, n, t)
+    return linked(ids, pairs, "doc_id", within)
 
 
 def components(edges: DataFrame) -> DataFrame:

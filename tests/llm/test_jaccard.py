@@ -183,3 +183,24 @@ def test_groups_are_not_expanded_into_pairs(make, monkeypatch):
         monkeypatch.undo()
         assert {r.doc_id: r.class_id for r in found} == {i: c for i, c, _ in linked(rows, 3, 0.6)}
         assert (sum(seen) < 400) == (known > 0)  # 90 copies have 4005 pairs
+
+
+def test_links_within_groups_are_counted_without_candidates(make, monkeypatch):
+    rows = corpus(11, copies=90) + [(1000, "once more " + corpus(11, copies=90)[121][1])]
+    for known, nodes in ((jaccard.KNOWN, 1024), (jaccard.KNOWN, 16), (0, 1024)):
+        monkeypatch.setattr(jaccard, "KNOWN", known)
+        monkeypatch.setattr(jaccard, "GROUP_NODES", nodes)
+        seen = []
+        monkeypatch.setattr(jaccard, "candidates", lambda *a, real=jaccard.__dict__["candidates"]: seen.append(real(*a)) or seen[-1])
+        found = {tuple(r) for r in jaccard.join(make(rows), 3, 0.6).select("doc_id", "class_id", "n_links").collect()}
+        monkeypatch.undo()
+        assert found == linked(rows, 3, 0.6)
+        assert (seen[0].count() < 400) == (known > 0)  # 90 copies have 4005 pairs
+
+
+@pytest.mark.parametrize("words", [30, 3000])
+def test_grams_in_common(words):
+    rng = np.random.default_rng(words)
+    x, y = ([np.unique(rng.integers(0, words, rng.integers(0, 60))) for _ in range(k)] for k in (25, 40))
+    entries = [(np.repeat(np.arange(len(s)), [len(g) for g in s]), np.concatenate(s)) for s in (x, y)]
+    assert jaccard.common(*entries, (25, 40)).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
