@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.blocks import bitmap, hits, slot
 from pagewright.llm.columns import cuts, named, numbered, others, utf8, word_hashes, words
 from pagewright.session import durable
 
 HASHED = 1 << 18
 LENGTH_POWER = 0.5
 DENSE = 13
-#: Bounds of the fit alone: labelled rows, bytes of their texts, and preference pairs drawn from them.
+#: Size of the blocks in which all labelled rows are learned from: about so many rows and bytes of their texts, and preference pairs drawn within each.
 SAMPLE_ROWS, SAMPLE_BYTES, PAIRS = 6000, 96 << 20, 60000
 _CLASSES = np.zeros((6, 256), np.float32)
 _CLASSES[0, 65:91] = 1  # capitals
@@ -88,6 +89,21 @@ def strongest(odds: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.nd
     return out
 
 
+def with_bucket(buckets: np.ndarray, own: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(for each rank and bucket, how many texts have it; how many texts each rank has)."""
+    bucket, text = np.divmod(np.unique(buckets * len(rank) + own), max(len(rank), 1))
+    ranks = int(rank.max(initial=0)) + 1
+    return np.bincount(rank[text] * HASHED + bucket, minlength=ranks * HASHED).reshape(ranks, HASHED), np.bincount(rank, minlength=ranks)
+
+
+def odds_of(texts_with: np.ndarray, texts: np.ndarray, min_texts: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(how many texts have each bucket, its odds) from with_bucket."""
+    best = int(np.flatnonzero(texts).max(initial=0))
+    best_with, poor_with = texts_with[best], texts_with[1:best].sum(axis=0)
+    odds = np.log((poor_with + 0.5) / (texts[1:best].sum() + 1)) - np.log((best_with + 0.5) / (texts[best] + 1))
+    return texts_with.sum(axis=0), np.where(poor_with >= min_texts, np.maximum(odds, 0.0), 0.0)
+
+
 class BradleyTerry:
     """score(text) = w · φ(text); P(a preferred to b) = 1 / (1 + exp(score(b) - score(a))).
     ``odds``: of each word's bucket, how much likelier texts of a middle rank (toxic ones) have it than the best-ranked (log, at least 0). The
@@ -105,9 +121,9 @@ class BradleyTerry:
         return np.concatenate(out)
 
     @staticmethod
-    def fit(texts: list[str | None], rank: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7, l2: float = 1e-4, min_texts: int = 10) -> BradleyTerry:
+    def fit(texts: list[str | None], rank: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7, l2: float = 1e-4, min_texts: int = 10, known: tuple[np.ndarray, np.ndarray] | None = None) -> BradleyTerry:
         """Learn from up to ``pairs`` random preference pairs: in each, the text of higher rank is preferred.
-        With no pair of different ranks all weights are 0, so that every text ties."""
+        With no pair of different ranks all weights are 0, so that every text ties. ``known``: how many texts have each bucket, and its odds, where the texts are a part of more."""
         rng = np.random.default_rng(seed)
         dense, buckets, first = all_features(pa.array(texts, pa.large_string()))
         model = BradleyTerry(np.zeros(DENSE), np.zeros(HASHED))
@@ -122,13 +138,8 @@ class BradleyTerry:
         scale = dense.std(axis=0) + 1e-3
         dense = dense / scale
         # A bucket that few of the texts have says nothing that would hold for others.
-        bucket, text = np.divmod(np.unique(buckets * len(texts) + own), len(texts))
-        texts_with = np.bincount(bucket, minlength=HASHED)
+        texts_with, model.odds = known or odds_of(*with_bucket(buckets, own, rank), min_texts)
         common = texts_with >= min_texts
-        best, poor = rank == rank.max(), (rank > 0) & (rank < rank.max())
-        best_with, poor_with = (np.bincount(bucket[kind[text]], minlength=HASHED) for kind in (best, poor))
-        odds = np.log((poor_with + 0.5) / (poor.sum() + 1)) - np.log((best_with + 0.5) / (best.sum() + 1))
-        model.odds = np.where(poor_with >= min_texts, np.maximum(odds, 0.0), 0.0)
         worst = strongest(model.odds, buckets, first)
         worst_scale = worst.std() + 1e-3
         worst = worst / worst_scale
@@ -154,7 +165,7 @@ class BradleyTerry:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str | None], np.ndarray]:
     """At most ``rows`` labelled texts, those of smallest hashed doc_id, as far as they have ``most_bytes`` together; whole texts. A document labelled twice counts by its worst label; of
-    several texts of one doc_id the least teaches. Rank: 0 of low quality, 1 toxic, 2 neither. Rows without a label, or with a null one, teach nothing."""
+    several texts of one doc_id the least teaches. Rank: 0 of low quality, 1 toxic, 2 neither. Rows without a label, or with a null one, teach nothing. A look at the labels; train doesn't use it."""
     order = F.xxhash64("doc_id", F.lit(seed))
     ranked = (
         labels.select("doc_id", F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic")).alias("rank"))
@@ -176,17 +187,117 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return [r["text"] for r in texts], np.array([rank[r["doc_id"]] for r in texts], np.int64)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 7) -> DataFrame:
+    """(block, held, rank, text) of all labelled documents, ranked as in labelled_sample. Blocks, by a hash of the doc_id, are of about ``rows`` rows and ``most_bytes`` of text; each lies whole and in order
+    in one partition. Every third row of a block is held out."""
+    ranks = durable(
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic")).cast("int").alias("rank"))
+        .where("doc_id is not null and rank is not null")
+        .groupBy("doc_id").agg(F.min("rank").alias("rank"))
+    )
+    # Only documents in the bitmap are sent; what it lets through by chance has no rank.
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ranks, "doc_id"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(hits(shared.value, batch.column("slot"))).select(["doc_id", "text"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").select("doc_id", slot("doc_id").alias("slot"), "text").mapInArrow(some, "doc_id bigint, text string")
+    own = durable(texts.join(ranks, "doc_id").groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min("text").alias("text")))
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // rows), -(-size // most_bytes))
+    placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
+    placed = placed.withColumn("held", F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) % 3 == 0)
+    parts = min(blocks, 8 * docs.sparkSession.sparkContext.defaultParallelism)
+    return durable(placed.repartitionByRange(parts, "block").sortWithinPartitions("block", "doc_id").select("block", "held", "rank", "text"))
+
+
+def bucket_counts(teaching: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """with_bucket of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, HASHED + 1), np.int64)
+        for batch in batches:
+            for at, rows in cuts(batch.column("text")):
+                rank = batch.column("rank").slice(at, rows).to_numpy().astype(np.int64)
+                _, buckets, first = features(batch.column("text").slice(at, rows))
+                have, texts = with_bucket(buckets, np.repeat(np.arange(rows), np.diff(first)), rank)
+                total[: len(texts), :HASHED] += have
+                total[: len(texts), HASHED] += texts
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "n"])
+
+    out = np.zeros((3, HASHED + 1), np.int64)
+    found = teaching.select("rank", "text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # bounded by three ranks' buckets
+    out.ravel()[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out[:, :HASHED], out[:, HASHED]
+
+
+def fit_blocks(teaching: DataFrame) -> BradleyTerry:
+    """The mean of the blocks' models, each learned from preference pairs of its own rows; which words are common, and their odds, are those of all rows. Sums are of whole numbers (parts of 2**-40), whatever their order."""
+    known = odds_of(*bucket_counts(teaching))
+    shared = teaching.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(HASHED + DENSE + 2, np.int64)
+        texts, rank, block = [], [], None
+
+        def close() -> None:
+            if len(set(rank)) > 1:
+                own = BradleyTerry.fit(texts, np.array(rank), known=shared.value)
+                total[:] += np.rint(np.concatenate([own.hashed, own.dense, [own.strong, 1.0]]) * 2.0**40).astype(np.int64)
+
+        for batch in batches:
+            for b, r, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if b != block:
+                    close()
+                    texts, rank, block = [], [], b
+                texts.append(t)
+                rank.append(r)
+        close()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
+
+    total = np.zeros(HASHED + DENSE + 2)
+    found = teaching.select("block", "rank", "text").mapInArrow(run, "at int, v bigint").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by the buckets
+    total[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    total /= total[-1] or 1.0
+    return BradleyTerry(total[HASHED : HASHED + DENSE], total[:HASHED], odds=known[1], strong=float(total[-2]))
+
+
+def quantiles(scores: DataFrame, levels: dict[bool, float]) -> dict[bool, float]:
+    """The exact quantile, of the level given, of each kind's scores, by sorting (kind, score); kinds without a score are left out."""
+    counts = {r["kind"]: r["count"] for r in scores.groupBy("kind").count().collect()}
+    ordered = durable(scores.orderBy("kind", "score").withColumn("place", F.monotonically_increasing_id()))
+    parts = sorted((r["part"], r["count"]) for r in ordered.groupBy(F.shiftright("place", 33).alias("part")).count().collect())
+    before, ends = 0, {}
+    for kind in sorted(counts):
+        at = levels[kind] * (counts[kind] - 1)
+        ends[kind] = before + int(np.floor(at)), before + int(np.ceil(at)), at - np.floor(at)
+        before += counts[kind]
+    wanted, upto = {}, 0
+    for part, count in parts:
+        wanted |= {(part << 33) + at - upto: at for low, high, _ in ends.values() for at in (low, high) if upto <= at < upto + count}
+        upto += count
+    found = {wanted[r["place"]]: r["score"] for r in ordered.where(F.col("place").isin(list(wanted))).collect()} if wanted else {}
+    return {kind: found[low] + share * (found[high] - found[low]) for kind, (low, high, share) in ends.items()}
+
+
 def train(docs: DataFrame, labels: DataFrame, good_quantile: float = 0.002, bad_quantile: float = 0.98, rows: int = SAMPLE_ROWS) -> BradleyTerry:
-    """Fit on two thirds of the labelled sample. The threshold comes from score quantiles of the other third: it lies a quarter
+    """Fit on two thirds of all labelled rows, in blocks of about ``rows``. The threshold comes from exact score quantiles of the other third: it lies a quarter
     of the way from the ``bad_quantile`` quantile of the low-quality and toxic texts to the ``good_quantile`` quantile of the best-ranked
     ones, or at the latter where they overlap. Without labels of both kinds nothing is rejected."""
-    texts, rank = labelled_sample(docs, labels, rows)
-    held = np.arange(len(texts)) % 3 == 2
-    model = BradleyTerry.fit([t for t, h in zip(texts, held) if not h], rank[~held])
-    scores = model.score(pa.array(texts, pa.large_string()))
-    good, bad = scores[held & (rank == 2)], scores[held & (rank < 2)]
-    if len(good) and len(bad):
-        low, high = np.quantile(good, good_quantile), np.quantile(bad, bad_quantile)
+    own = labelled(docs, labels, rows)
+    model = fit_blocks(own.where("not held"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.dense, model.hashed, model.threshold, model.odds, model.strong))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(BradleyTerry(*shared.value).score(batch.column("text")))], ["kind", "score"])
+
+    held = quantiles(own.where("held").select((F.col("rank") == 2).alias("kind"), "text").mapInArrow(run, "kind boolean, score double"), {True: good_quantile, False: bad_quantile})
+    if len(held) == 2:
+        low, high = held[True], held[False]
         model.threshold = float(min(low, high + 0.25 * (low - high)))
     return model
 

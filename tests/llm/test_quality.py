@@ -134,3 +134,20 @@ def test_odd_column_names(make, model):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c`d", "quality_score", "quality_keep"] and out.count() == 2
     model.threshold = -np.inf
     assert [tuple(r) for r in quality.accept(df, model).collect()] == [(1, "fine words here.", "en", "s", 16, 1, 2, "x")]
+
+
+def test_every_labelled_row_teaches(spark, make):
+    good, junk = texts(150, 14)
+    # Words that stand only in documents of few blocks are learned, too, and the held-out quantiles are those of all blocks.
+    docs = make([(k, t) for k, t in enumerate(good + junk)])
+    labels = spark.createDataFrame([(k, int(k < 150), 0) for k in range(300)], "doc_id bigint, quality int, toxic int")
+    own = quality.labelled(docs, labels, 60).collect()
+    assert sorted(r.text for r in own) == sorted(good + junk) and len({r.block for r in own}) == 5
+    have, count = quality.bucket_counts(spark.createDataFrame(own))
+    buckets = [set(quality.features(pa.array([t]))[1].tolist()) for t in good]
+    assert count.tolist() == [150, 0, 150] and have[2].tolist() == np.bincount([b for s in buckets for b in s], minlength=quality.HASHED).tolist()
+    model = quality.train(docs, labels, rows=60)
+    held = [r for r in own if r.held]
+    low, high = (np.quantile(model.score(pa.array([r.text for r in held if (r.rank == 2) == kind])), q) for kind, q in ((True, 0.002), (False, 0.98)))
+    assert model.threshold == pytest.approx(min(low, high + 0.25 * (low - high)), abs=1e-9)
+    assert {r.doc_id for r in quality.accept(docs, model).collect()} == set(range(150))
