@@ -66,13 +66,48 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def all_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As features, worked out on a piece of the texts at a time."""
-    parts = [features(texts.slice(at, rows)) for at, rows in cuts(texts)]
-    if not parts:
-        return features(texts)
+    return joined([features(texts.slice(at, rows)) for at, rows in cuts(texts)] or [features(texts)])
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of successive pieces of texts, as those of one."""
     base = np.cumsum([0] + [len(b) for _, b, _ in parts])
     return np.concatenate([d for d, _, _ in parts]), np.concatenate([b for _, b, _ in parts]), np.concatenate([[0]] + [f[1:] + o for (_, _, f), o in zip(parts, base)])
 
 
+_HEAD = 8 * DENSE + 4 * (HASHED >> 16)
+
+
+def packed(texts: pa.Array) -> pa.Array:
+    """The features of each text in a few bytes: dense ones, how many buckets lie in each stretch of 2**16, and the places of the ordered buckets in these."""
+    out = []
+    for at, rows in cuts(texts):
+        dense, buckets, first = features(texts.slice(at, rows))
+        own, buckets = np.divmod(np.sort(np.repeat(np.arange(rows), np.diff(first)) * HASHED + buckets), HASHED)
+        many = np.bincount(own * (HASHED >> 16) + (buckets >> 16), minlength=rows * (HASHED >> 16)).reshape(rows, -1)
+        dense, many, low = dense.astype("<f8"), many.astype("<i4"), (buckets & 0xFFFF).astype("<u2")
+        out += [dense[k].tobytes() + many[k].tobytes() + low[first[k] : first[k + 1]].tobytes() for k in range(rows)]
+    return pa.array(out, pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As features, from packed; the buckets of each text are ordered."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, DENSE)), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    data, offsets = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    at = offsets[:-1, None] + np.arange(_HEAD)
+    heads, rest = data[at], np.ones(len(data), bool)
+    rest[at] = False
+    dense = np.ascontiguousarray(heads[:, : 8 * DENSE]).view("<f8").astype(np.float64)
+    many = np.ascontiguousarray(heads[:, 8 * DENSE :]).view("<i4").astype(np.int64)
+    high = np.repeat(np.tile(np.arange(HASHED >> 16), n), many.ravel())
+    return dense, high << 16 | data[rest].view("<u2"), np.concatenate([[0], np.cumsum(many.sum(axis=1))])
+
+
 def hashed_sum(weights: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of the word weights of each text over a power of the number of its distinct words."""
     total = np.concatenate([[0.0], np.cumsum(weights[buckets])])
@@ -116,24 +151,30 @@ class BradleyTerry:
     def score(self, texts: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
         for at, rows in cuts(texts):
-            dense, buckets, first = features(texts.slice(at, rows))
-            out.append(dense @ self.dense + hashed_sum(self.hashed, buckets, first) + self.strong * strongest(self.odds, buckets, first))
+            out.append(self.score_features(*features(texts.slice(at, rows))))
         return np.concatenate(out)
 
+    def score_features(self, dense: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return dense @ self.dense + hashed_sum(self.hashed, buckets, first) + self.strong * strongest(self.odds, buckets, first)
+
     @staticmethod
-    def fit(texts: list[str | None], rank: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7, l2: float = 1e-4, min_texts: int = 10, known: tuple[np.ndarray, np.ndarray] | None = None) -> BradleyTerry:
+    def fit(texts: list[str | None], rank: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7, l2: float = 1e-4, min_texts: int = 10) -> BradleyTerry:
         """Learn from up to ``pairs`` random preference pairs: in each, the text of higher rank is preferred.
-        With no pair of different ranks all weights are 0, so that every text ties. ``known``: how many texts have each bucket, and its odds, where the texts are a part of more."""
-        rng = np.random.default_rng(seed)
-        dense, buckets, first = all_features(pa.array(texts, pa.large_string()))
+        With no pair of different ranks all weights are 0, so that every text ties."""
+        return BradleyTerry.fit_features(*all_features(pa.array(texts, pa.large_string())), rank, pairs, steps, seed, l2, min_texts)
+
+    @staticmethod
+    def fit_features(dense: np.ndarray, buckets: np.ndarray, first: np.ndarray, rank: np.ndarray, pairs: int = PAIRS, steps: int = 400, seed: int = 7, l2: float = 1e-4, min_texts: int = 10, known: tuple[np.ndarray, np.ndarray] | None = None) -> BradleyTerry:
+        """As fit, from the texts' features. ``known``: how many texts have each bucket, and its odds, where the texts are a part of more."""
+        rng, n = np.random.default_rng(seed), len(rank)
         model = BradleyTerry(np.zeros(DENSE), np.zeros(HASHED))
-        a, b = rng.integers(0, max(len(texts), 1), (2, 4 * pairs)) if len(texts) else np.zeros((2, 0), int)
-        keep = np.flatnonzero(rank[a] != rank[b])[:pairs] if len(texts) else np.zeros(0, int)
+        a, b = rng.integers(0, n, (2, 4 * pairs)) if n else np.zeros((2, 0), int)
+        keep = np.flatnonzero(rank[a] != rank[b])[:pairs] if n else np.zeros(0, int)
         if not len(keep):
             return model
         a, b = a[keep], b[keep]
         a, b = np.where(rank[a] > rank[b], a, b), np.where(rank[a] > rank[b], b, a)
-        own = np.repeat(np.arange(len(texts)), np.diff(first))
+        own = np.repeat(np.arange(n), np.diff(first))
         root = np.maximum(np.diff(first), 1) ** -LENGTH_POWER
         scale = dense.std(axis=0) + 1e-3
         dense = dense / scale
@@ -148,7 +189,7 @@ class BradleyTerry:
         for _ in range(steps):
             s = dense @ model.dense + hashed_sum(model.hashed, buckets, first) + model.strong * worst
             p = 1 / (1 + np.exp(np.clip(s[a] - s[b], -30, 30)))  # the gradient of the logistic loss
-            pull = (np.bincount(a, p, len(texts)) - np.bincount(b, p, len(texts))) / len(a)
+            pull = (np.bincount(a, p, n) - np.bincount(b, p, n)) / len(a)
             gd = dense.T @ pull - l2 * model.dense
             gh = np.where(common, np.bincount(buckets, (pull * root)[own], HASHED), 0.0) - l2 * model.hashed
             gs = float(worst @ pull) - l2 * model.strong
@@ -187,29 +228,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     return [r["text"] for r in texts], np.array([rank[r["doc_id"]] for r in texts], np.int64)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 7) -> DataFrame:
-    """(block, held, rank, text) of all labelled documents, ranked as in labelled_sample. Blocks, by a hash of the doc_id, are of about ``rows`` rows and ``most_bytes`` of text; each lies whole and in order
-    in one partition. Every third row of a block is held out."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 7, content: str = "text") -> DataFrame:
+    """(block, held, rank, text) of all labelled documents, ranked as in labelled_sample; of several texts of one doc_id that of the least hash teaches, a null only where there is no other. Blocks, by a hash of the
+    doc_id, are of about ``rows`` rows and ``most_bytes`` of text; each lies whole and in order in one partition. Every third row of a block is held out. With ``content`` "features", what packed makes of the
+    texts is there in their place: rows are chosen and placed by their ids and hashes alone, and no text is sent."""
     ranks = durable(
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic")).cast("int").alias("rank"))
         .where("doc_id is not null and rank is not null")
         .groupBy("doc_id").agg(F.min("rank").alias("rank"))
     )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where("doc_id is not null")
+    least = F.min(F.struct(F.col("text").isNull(), "hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("least")
+    own = durable(texts.groupBy("doc_id").agg(least).join(ranks, "doc_id").select("doc_id", "rank", "least.hash", "least.size"))
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks = max(1, -(-n // rows), -(-size // most_bytes))
+    placed = own.select("doc_id", "rank", "hash", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
+    placed = placed.withColumn("held", F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) % 3 == 0)
     # Only documents in the bitmap are sent; what it lets through by chance has no rank.
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(ranks, "doc_id"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(hits(shared.value, batch.column("slot"))).select(["doc_id", "text"])
+            batch = batch.filter(hits(shared.value, batch.column("slot")))
+            found = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), packed(found) if content == "features" else found], ["doc_id", "hash", content])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").select("doc_id", slot("doc_id").alias("slot"), "text").mapInArrow(some, "doc_id bigint, text string")
-    own = durable(texts.join(ranks, "doc_id").groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min("text").alias("text")))
-    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // rows), -(-size // most_bytes))
-    placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int"))
-    placed = placed.withColumn("held", F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) % 3 == 0)
+    sent = texts.select("doc_id", "hash", slot("doc_id").alias("slot"), "text").mapInArrow(some, f"doc_id bigint, hash bigint, {content} {'binary' if content == 'features' else 'string'}")
+    # Repeated rows have one hash, so that one of them is left.
+    found = sent.join(placed, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(*[F.min(c).alias(c) for c in ("block", "held", "rank", content)])
     parts = min(blocks, 8 * docs.sparkSession.sparkContext.defaultParallelism)
-    return durable(placed.repartitionByRange(parts, "block").sortWithinPartitions("block", "doc_id").select("block", "held", "rank", "text"))
+    return durable(found.repartitionById(parts, F.col("block")).sortWithinPartitions("block", "doc_id").select("block", "held", "rank", content))
+
+
+def content_of(rows: DataFrame) -> str:
+    """Which column labelled has put the texts, or their features, in."""
+    return "features" if "features" in rows.columns else "text"
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(rows, their features) of a piece of a batch at a time; the last column holds texts or packed features."""
+    own = batch.column(batch.num_columns - 1)
+    for at, rows in cuts(own):
+        yield batch.slice(at, rows), (unpacked if batch.schema.names[-1] == "features" else features)(own.slice(at, rows))
 
 
 def bucket_counts(teaching: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -218,17 +278,16 @@ def bucket_counts(teaching: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, HASHED + 1), np.int64)
         for batch in batches:
-            for at, rows in cuts(batch.column("text")):
-                rank = batch.column("rank").slice(at, rows).to_numpy().astype(np.int64)
-                _, buckets, first = features(batch.column("text").slice(at, rows))
-                have, texts = with_bucket(buckets, np.repeat(np.arange(rows), np.diff(first)), rank)
+            for piece, (_, buckets, first) in pieces(batch):
+                rank = piece.column("rank").to_numpy().astype(np.int64)
+                have, texts = with_bucket(buckets, np.repeat(np.arange(len(rank)), np.diff(first)), rank)
                 total[: len(texts), :HASHED] += have
                 total[: len(texts), HASHED] += texts
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "n"])
 
     out = np.zeros((3, HASHED + 1), np.int64)
-    found = teaching.select("rank", "text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # bounded by three ranks' buckets
+    found = teaching.select("rank", content_of(teaching)).mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # bounded by three ranks' buckets
     out.ravel()[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out[:, :HASHED], out[:, HASHED]
 
@@ -240,26 +299,30 @@ def fit_blocks(teaching: DataFrame) -> BradleyTerry:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(HASHED + DENSE + 2, np.int64)
-        texts, rank, block = [], [], None
+        parts, ranks, block = [], [], None
 
         def close() -> None:
-            if len(set(rank)) > 1:
-                own = BradleyTerry.fit(texts, np.array(rank), known=shared.value)
+            rank = np.concatenate([np.zeros(0, np.int64), *ranks])
+            if len(np.unique(rank)) > 1:
+                own = BradleyTerry.fit_features(*joined(parts), rank, known=shared.value)
                 total[:] += np.rint(np.concatenate([own.hashed, own.dense, [own.strong, 1.0]]) * 2.0**40).astype(np.int64)
 
         for batch in batches:
-            for b, r, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if b != block:
+            of = batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else []
+            for start, end in zip(edges, edges[1:]):
+                if of[start] != block:
                     close()
-                    texts, rank, block = [], [], b
-                texts.append(t)
-                rank.append(r)
+                    parts, ranks, block = [], [], of[start]
+                for piece, found in pieces(batch.slice(start, end - start)):
+                    parts.append(found)
+                    ranks.append(piece.column("rank").to_numpy().astype(np.int64))
         close()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
 
     total = np.zeros(HASHED + DENSE + 2)
-    found = teaching.select("block", "rank", "text").mapInArrow(run, "at int, v bigint").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by the buckets
+    found = teaching.select("block", "rank", content_of(teaching)).mapInArrow(run, "at int, v bigint").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by the buckets
     total[found.column(0).to_numpy()] = found.column(1).to_numpy()
     total /= total[-1] or 1.0
     return BradleyTerry(total[HASHED : HASHED + DENSE], total[:HASHED], odds=known[1], strong=float(total[-2]))
@@ -287,15 +350,16 @@ def train(docs: DataFrame, labels: DataFrame, good_quantile: float = 0.002, bad_
     """Fit on two thirds of all labelled rows, in blocks of about ``rows``. The threshold comes from exact score quantiles of the other third: it lies a quarter
     of the way from the ``bad_quantile`` quantile of the low-quality and toxic texts to the ``good_quantile`` quantile of the best-ranked
     ones, or at the latter where they overlap. Without labels of both kinds nothing is rejected."""
-    own = labelled(docs, labels, rows)
+    own = labelled(docs, labels, rows, content="features")
     model = fit_blocks(own.where("not held"))
     shared = docs.sparkSession.sparkContext.broadcast((model.dense, model.hashed, model.threshold, model.odds, model.strong))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(BradleyTerry(*shared.value).score(batch.column("text")))], ["kind", "score"])
+            for piece, found in pieces(batch):
+                yield pa.RecordBatch.from_arrays([piece.column("kind"), pa.array(BradleyTerry(*shared.value).score_features(*found))], ["kind", "score"])
 
-    held = quantiles(own.where("held").select((F.col("rank") == 2).alias("kind"), "text").mapInArrow(run, "kind boolean, score double"), {True: good_quantile, False: bad_quantile})
+    held = quantiles(own.where("held").select((F.col("rank") == 2).alias("kind"), "features").mapInArrow(run, "kind boolean, score double"), {True: good_quantile, False: bad_quantile})
     if len(held) == 2:
         low, high = held[True], held[False]
         model.threshold = float(min(low, high + 0.25 * (low - high)))

@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -151,3 +152,39 @@ def test_every_labelled_row_teaches(spark, make):
     low, high = (np.quantile(model.score(pa.array([r.text for r in held if (r.rank == 2) == kind])), q) for kind, q in ((True, 0.002), (False, 0.98)))
     assert model.threshold == pytest.approx(min(low, high + 0.25 * (low - high)), abs=1e-9)
     assert {r.doc_id for r in quality.accept(docs, model).collect()} == set(range(150))
+
+
+def test_packed_features():
+    good, junk = texts(30, 15)
+    column = pa.array([*good, None, "", " ", "a a b", *junk, "x" * 3000, " ".join(map(str, range(70000)))])
+    for part in (column, column.slice(5, 31), column.slice(0, 0)):
+        dense, buckets, first = quality.features(part)
+        got = quality.unpacked(quality.packed(part))
+        assert got[0].tolist() == dense.tolist() and got[2].tolist() == first.tolist()
+        assert [sorted(x.tolist()) for x in np.split(buckets, first[1:-1])] == [x.tolist() for x in np.split(got[1], got[2][1:-1])]
+    assert quality.unpacked(quality.packed(column).slice(3, 9))[0].tolist() == quality.features(column.slice(3, 9))[0].tolist()
+
+
+def test_training_keeps_no_texts_on_disk(spark, make):
+    # Few words, but long ones: what is learned from is small, whatever the texts' length.
+    rng = np.random.default_rng(16)
+    docs = make([(k, " ".join(bytes(rng.integers(97, 123, 5000).astype(np.uint8)).decode() for _ in range(20))) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    stored = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = stored()
+    quality.train(docs, labels)
+    assert stored() - before < 60 * 100_000 / 10
+
+
+def test_one_of_several_texts_teaches(spark, make):
+    good, junk = texts(8, 17)
+    rows = [(k, t) for k, t in enumerate(good)] * 2 + [(k, t) for k, t in enumerate(junk[:6])] + [(k, None) for k in range(3)] + [(20, None), (20, None), (None, "x"), (21, "y")]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)] + [(20, 1, 1), (20, 0, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
+    found = quality.labelled(make(rows), labels).collect()
+    assert len(found) == 9 and len({r.text for r in found}) == 9 and {r.text for r in found} <= {*good, *junk, None}
+    assert [r["rank"] for r in found if r.text is None] == [0] and sum(r.held for r in found) == 3
+    features = quality.labelled(make(rows), labels, content="features").collect()
+    assert [(r.block, r.held, r["rank"], r.features) for r in features] == [(r.block, r.held, r["rank"], quality.packed(pa.array([r.text], pa.string()))[0].as_py()) for r in found]
+    empty = quality.labelled(make([]), labels, content="features")
+    assert empty.count() == 0 and quality.fit_blocks(empty).strong == 0
