@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,43 +172,44 @@ def grouped_spans(spans: DataFrame, texts: DataFrame, tree: DataFrame, key: str,
     shared = spans.sparkSession.sparkContext.broadcast(tree_rows)
     kind = spans.schema[key].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent = shared.value
-        text = pdf["text"].iloc[0]
-
-        def depth(n: int) -> int:
-            d = 0
-            while parent.get(n) is not None:
-                n, d = parent[n], d + 1
-                if d > len(parent):
-                    raise Circular(f"node {n} is its own ancestor")
-            return d
-
-        def under(n: int, top: int) -> bool:
-            for _ in range(len(parent) + 1):
-                if n == top:
-                    return True
-                if parent.get(n) is None:
-                    return False
-                n = parent[n]
-            return False
-
-        groups: list[list[tuple[int, int, int]]] = []
-        for _, node, start, end in sorted((-depth(n), n, s, e) for n, s, e in zip(pdf["node_id"], pdf["start"], pdf["end"])):
-            hit = False
-            for g in groups:
-                low, high = min(x[1] for x in g), max(x[2] for x in g)
-                if g[0][0] != node and under(g[0][0], node) and node not in {x[0] for x in g} and (end <= low or start >= high):
-                    if not text[min(end, high) : max(start, low)].strip(ignore):
-                        g.append((node, start, end))
-                        hit = True
-            if not hit:
-                groups.append([(node, start, end)])
-        rows = [(pdf[key].iloc[0], k, [int(x[0]) for x in g], [int(x[1]) for x in g], [int(x[2]) for x in g]) for k, g in enumerate(groups)]
-        return pd.DataFrame(rows, columns=[key, "group_id", "node_ids", "starts", "ends"])
-
-    joined = spans.join(texts.select(key, "text"), key)
-    return joined.groupBy(key).applyInPandas(fold, f"{key} {kind}, group_id int, node_ids array<bigint>, starts array<int>, ends array<int>")
+        paths: dict[int, list[int]] = {}
+
+        def path(n: int) -> list[int]:
+            """A node and its ancestors, the root last."""
+            if n not in paths:
+                out = [n]
+                while (up := parent.get(out[-1])) is not None:
+                    out.append(up)
+                    if len(out) > len(parent) + 1:
+                        raise Circular(f"node {n} is its own ancestor")
+                paths[n] = out
+            return paths[n]
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, text, nodes, starts, ends in zip(*[c.to_pylist() for c in batch.columns]):
+                groups: list[list] = []  # of each its spans, its nodes, and where it begins and ends
+                for _, node, start, end in sorted((1 - len(path(n)), n, s, e) for n, s, e in zip(nodes, starts, ends)):
+                    hit = False
+                    for g in groups:
+                        own, known, low, high = g
+                        if node not in known and (end <= low or start >= high) and node in path(own[0][0]) and not text[min(end, high) : max(start, low)].strip(ignore):
+                            own.append((node, start, end))
+                            known.add(node)
+                            g[2], g[3] = min(low, start), max(high, end)
+                            hit = True
+                    if not hit:
+                        groups.append([[(node, start, end)], {node}, start, end])
+                rows += [(k, i, *([x[c] for x in own] for c in range(3))) for i, (own, *_) in enumerate(groups)]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [key, "group_id", "node_ids", "starts", "ends"])
+
+    # A text's spans travel as one row, as calling Python for each text by itself takes longer than all the rest.
+    found = spans.join(texts.select(key, "text"), key).groupBy(key).agg(F.first("text").alias("text"), F.collect_list(F.struct("node_id", "start", "end")).alias("_s"))
+    return found.select(key, "text", "_s.node_id", "_s.start", "_s.end").mapInArrow(run, f"{key} {kind}, group_id int, node_ids array<bigint>, starts array<int>, ends array<int>")
 
 
 #: What a selection keeps: the groups whose measure is largest.
@@ -236,17 +238,22 @@ def selected(groups: DataFrame, key: str, strategy: str) -> DataFrame:
         return groups.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
     if strategy == "non_overlapping":
 
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("group_id", kind="stable").reset_index(drop=True)
-            low, high = [min(x) for x in pdf["starts"]], [max(x) for x in pdf["ends"]]
-            gone: set[int] = set()
-            for i in range(len(pdf)):
-                for j in range(i + 1, len(pdf)):
-                    if i not in gone and j not in gone and low[i] < high[j] and low[j] < high[i]:
-                        gone.add(j if high[j] - low[j] < high[i] - low[i] else i)
-            return pdf.loc[[k for k in range(len(pdf)) if k not in gone]]
-
-        return groups.groupBy(key).applyInPandas(fold, groups.schema)
+        def kept(groups: pa.Array) -> pa.Array:
+            out = []
+            for own in groups.to_pylist():
+                low, high = [min(g["starts"]) for g in own], [max(g["ends"]) for g in own]
+                gone: set[int] = set()
+                for i in range(len(own)):
+                    for j in range(i + 1, len(own)):
+                        if i not in gone and j not in gone and low[i] < high[j] and low[j] < high[i]:
+                            gone.add(j if high[j] - low[j] < high[i] - low[i] else i)
+                out.append([i for i in range(len(own)) if i not in gone])
+            return pa.array(out, pa.list_(pa.int32()))
+
+        left = F.arrow_udf(kept, "array<int>")("_groups")
+        together = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("group_id", *[c for c in groups.columns if c not in (key, "group_id")]))).alias("_groups"))
+        each = together.withColumn("_left", left).select(key, F.explode(F.transform("_left", lambda i: F.get("_groups", i))).alias("_g"))
+        return each.select(*[F.col(c) if c == key else F.col("_g")[c].alias(c) for c in groups.columns])
     w = Window.partitionBy(key).orderBy(F.expr(SELECTIONS[strategy]).desc())
     return groups.withColumn("_rank", F.rank().over(w)).where("_rank = 1").drop("_rank")
 

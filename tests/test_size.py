@@ -34,3 +34,9 @@ def test_parts_by_size(spark, tmp_path):
     size = sum(p.stat().st_size for p in (tmp_path / "d.parquet").glob("*.parquet"))
     assert found.rdd.getNumPartitions() >= size // layout.PART_BYTES >= 3
     assert layout.by_document(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")).count() == 1
+
+
+def test_texts_are_grouped_without_a_call_for_each(spark):
+    for name in ("hierarchy_groups", "select_non_overlapping"):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan
