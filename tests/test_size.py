@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import plans
-from pagewright.operators import layout
+from pagewright.operators import layout, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,17 @@ def test_texts_are_grouped_without_a_call_for_each(spark):
     for name in ("hierarchy_groups", "select_non_overlapping"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroups" not in plan
+
+
+def test_words_meet_their_tables_once(spark):
+    """Cells are placed with the words' texts, and their columns counted without placing them again; polygons need no call for each word."""
+    for name in ("column_fill", "empty_columns_deleted"):
+        assert plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 3  # words, and the pages of rows and of columns
+    assert "ArrowEvalPython" not in plans.QUERIES["cells_by_polygon"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_bands(spark):
+    words = spark.createDataFrame([(1, 0, k, 10, k * 50, 20, k * 50 + 10) for k in range(20)], "doc_id bigint, page_idx int, word_idx int, xmin int, ymin int, xmax int, ymax int")
+    rows = spark.createDataFrame([(1, 0, 0, k, k * 50, k * 50 + 50) for k in range(20)], "doc_id bigint, page_idx int, table_idx int, row_idx int, y0 int, y1 int")
+    columns = spark.createDataFrame([(1, 0, 0, 0, 0, 100)], "doc_id bigint, page_idx int, table_idx int, col_idx int, x0 int, x1 int")
+    assert {(r.word_idx, r.row_idx, r.col_idx) for r in tables.cells_first_match(words, rows, columns).collect()} == {(k, k, 0) for k in range(20)}
