@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright import plans
 from pagewright.operators import layout, tables
+from pagewright.sources import pdf
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,15 @@ def test_many_bands(spark):
     rows = spark.createDataFrame([(1, 0, 0, k, k * 50, k * 50 + 50) for k in range(20)], "doc_id bigint, page_idx int, table_idx int, row_idx int, y0 int, y1 int")
     columns = spark.createDataFrame([(1, 0, 0, 0, 0, 100)], "doc_id bigint, page_idx int, table_idx int, col_idx int, x0 int, x1 int")
     assert {(r.word_idx, r.row_idx, r.col_idx) for r in tables.cells_first_match(words, rows, columns).collect()} == {(k, k, 0) for k in range(20)}
+
+
+def test_pdf_tables_need_no_call_for_each_document(spark):
+    for name in ("pdf_chars", "pdf_lines", "pdf_pages", "pdf_words"):
+        frame = plans.QUERIES[name](spark, SF)
+        assert "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString() and len(exchanges(frame)) == 1
+
+
+def test_pages_without_glyphs():
+    data = pdf.written([(612, 792, [("One", 72, 72)])], lines=[(10, 20, 110, 20)])
+    whole, bare = list(pdf.Pdf(data).pages()), list(pdf.Pdf(data, text=False).pages())
+    assert whole[0].lines == bare[0].lines and len(whole[0].chars) == 3 and not bare[0].chars
