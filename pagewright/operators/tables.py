@@ -165,8 +165,13 @@ def cells_by_polygon(words: DataFrame, cells: DataFrame, share: float = 0.5) ->
 
 def depth_histogram(words: DataFrame, group: tuple[str, ...] = PAGE) -> DataFrame:
     """(group, slot, depth): how many words cover each thousandth of the width."""
-    slots = F.sequence(F.col("xmin").cast("int"), F.least(F.col("xmax").cast("int"), F.lit(999)))
-    return words.where("xmin < 1000").select(*group, F.explode(slots).alias("slot")).groupBy(*group, "slot").agg(F.count("*").alias("depth"))
+    a, b = F.col("xmin").cast("int"), F.least(F.col("xmax").cast("int"), F.lit(999))
+    # A word counts where it begins and behind its end; only the runs between such places are made slots.
+    steps = F.explode(F.array(F.struct(F.least(a, b).alias("at"), F.lit(1).alias("d")), F.struct((F.greatest(a, b) + 1).alias("at"), F.lit(-1).alias("d")))).alias("s")
+    changes = words.where("xmin < 1000").select(*group, steps).groupBy(*group, F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"))
+    order = Window.partitionBy(*group).orderBy("at")
+    runs = changes.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(order)).where("depth > 0")
+    return runs.select(*group, F.explode(F.sequence("at", F.col("to") - 1)).alias("slot"), "depth")
 
 
 def widest_gap(words: DataFrame, group: tuple[str, ...] = PAGE, x_range: tuple[int, int] = (0, 1000), widen: int = 5) -> DataFrame:
