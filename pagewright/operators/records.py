@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import shlex
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +58,10 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
     per_doc = named.groupBy("doc_id").agg(F.collect_set(F.col("page").cast("int")).alias("_pages"), F.bool_or(F.col("cmd") == "deletePage").alias("_whole"))
     marked = slim.join(per_doc, "doc_id", "left").withColumn("_edited", F.coalesce(F.col("_whole") | F.array_contains("_pages", F.col("page_idx")), F.lit(False))).drop("_pages", "_whole")
 
-    def fold(pdf: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            if len(todo):
-                raise UnknownCommand(f"document {todo['edit_doc'].iloc[0]}: {todo['args'].iloc[0][-1]!r} isn't a word, nor has any page a word that its edits name")
-            return pd.DataFrame([], columns=columns)
-        rows = {(r.page_idx, r.word_idx): r._asdict() for r in pdf[columns].itertuples(index=False)}
-        doc = pdf["doc_id"].iloc[0]
+    def fold(doc: object, own_words: list[dict] | None, todo: list[dict]) -> list[dict]:
+        if not own_words:
+            raise UnknownCommand(f"document {doc}: {todo[0]['args'][-1]!r} isn't a word, nor has any page a word that its edits name")
+        rows = {(r["page_idx"], r["word_idx"]): r | {"doc_id": doc} for r in own_words}
 
         def at(path: str) -> list[tuple[int, int]]:
             found = re.fullmatch(r"pa(\d+)[.]wo(\d+)(?::(\d+))?", path)
@@ -74,7 +72,7 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
 
         def put(key: tuple[int, int], text: str) -> None:
             r = rows[key]
-            if r["orig_text"] is None or r["orig_text"] != r["orig_text"]:
+            if r["orig_text"] is None:
                 r["orig_text"] = r["text"]
             r["text"] = text
 
@@ -82,7 +80,7 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
             k = max(w for p, w in rows if p == page) + 1
             rows[page, k] = {"doc_id": doc, "page_idx": page, "word_idx": k, "text": text, "orig_text": None, "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
 
-        for cmd, args in todo.sort_values("seq", kind="stable")[["cmd", "args"]].itertuples(index=False):
+        for cmd, args in ((t["cmd"], t["args"]) for t in todo):
             if cmd in ("clearWord", "clearWords"):
                 for p in args:
                     for key in at(p):
@@ -125,9 +123,20 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
                 rows = {(p - (p > gone), w): r | {"page_idx": p - (p > gone)} for (p, w), r in rows.items() if p != gone}
             else:
                 raise UnknownCommand(f"document {doc}: {cmd!r} isn't a command of words")
-        return pd.DataFrame([rows[k] for k in sorted(rows)], columns=columns)
+        return [rows[k] for k in sorted(rows)]
 
-    changed = marked.where("_edited").drop("_edited").groupBy("doc_id").cogroup(own.withColumnRenamed("doc_id", "edit_doc").groupBy("edit_doc")).applyInPandas(fold, slim.schema)
+    kinds = [f.dataType.simpleString() for f in slim.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for args in zip(*(c.to_pylist() for c in batch.columns)) for r in fold(*args)]
+            number, whole = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}, [[r[c] for r in out] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(v, number[k]) for v, k in zip(whole, kinds)], columns)
+
+    # A document's words and edits travel as one row each.
+    texts = marked.where("_edited").groupBy("doc_id").agg(F.collect_list(F.struct(*columns[1:])).alias("_words"))
+    todo = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "cmd", "args"))).alias("_todo"))
+    changed = texts.join(todo, "doc_id", "full").select("doc_id", "_words", "_todo").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
     return marked.where("not _edited").drop("_edited").unionByName(changed)
 
 
