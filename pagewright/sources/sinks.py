@@ -120,11 +120,14 @@ def docx(paragraphs: list[tuple[str, bool, int]]) -> bytes:
 def docx_files(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, content): a file of each document's paragraphs (doc_id, seq, text, is_heading, indent) in order."""
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("seq", kind="stable")
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "content": [docx([(t or "", bool(h), int(i)) for t, h, i in zip(ordered["text"], ordered["is_heading"], ordered["indent"])])]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, rows = batch.column(1).offsets.to_pylist(), batch.column(1).values
+            parts = [(t or "", bool(h), int(i)) for t, h, i in zip(*(rows.field(c).to_pylist() for c in ("text", "is_heading", "indent")))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([docx(parts[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())], ["doc_id", "content"])
 
-    return paragraphs.groupBy("doc_id").applyInPandas(write, f"doc_id {paragraphs.schema['doc_id'].dataType.simpleString()}, content binary")
+    each = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "is_heading", "indent"))).alias("_rows"))
+    return each.mapInArrow(run, f"doc_id {paragraphs.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:
