@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import plans
-from pagewright.operators import layout, tables
+from pagewright.operators import layout, regions, tables
 from pagewright.sources import pdf
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +18,8 @@ def exchanges(frame) -> list[str]:
 
 
 #: Queries of which words, once split, stay where they are.
-IN_PLACE = """cells_leftover_words column_fill depth_histogram docx_round_trip empty_columns_deleted font_statistics footer_trimming json_round_trip layout_boxes line_first_words list_items number_markers paragraphs
- pipeline_yaml_smoke quick_lines reading_order_text region_words svg_pages text_with_breaks word_labels""".split()
+IN_PLACE = """apply_edits cells_leftover_words column_fill depth_histogram docx_round_trip edited_glyph_words empty_columns_deleted font_statistics footer_trimming full_lines json_round_trip layout_boxes line_first_words list_items number_markers paragraphs
+ pipeline_yaml_smoke quick_lines reading_order_text recognised_pages recognised_tall_words region_words svg_pages swapped_glyphs text_with_breaks word_labels""".split()
 
 
 @pytest.mark.parametrize("name", IN_PLACE)
@@ -67,3 +67,27 @@ def test_pages_without_glyphs():
     data = pdf.written([(612, 792, [("One", 72, 72)])], lines=[(10, 20, 110, 20)])
     whole, bare = list(pdf.Pdf(data).pages()), list(pdf.Pdf(data, text=False).pages())
     assert whole[0].lines == bare[0].lines and len(whole[0].chars) == 3 and not bare[0].chars
+
+
+def test_documents_and_pages_need_no_call_for_each(spark):
+    for name in ("apply_edits", "docx_round_trip", "full_lines"):
+        plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
+
+
+def test_letters_and_slots_are_not_made_rows(spark):
+    for name in ("swapped_glyphs", "edited_glyph_words"):
+        assert "explode(arrays_zip" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([(1, 10, 20), (1, 15, 2000), (1, 20, 30), (1, 12, 11), (2, 998, 999), (2, 1000, 1005)], "g int, xmin int, xmax int")
+    wanted = [(g, s) for g, a, b in [(1, 10, 20), (1, 15, 999), (1, 20, 30), (1, 11, 12), (2, 998, 999)] for s in range(a, b + 1)]
+    found = tables.depth_histogram(words, ("g",))
+    assert sorted((r.g, r.slot, r.depth) for r in found.collect()) == sorted((*k, wanted.count(k)) for k in set(wanted))
+    assert "Window" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_swaps_in_words_of_several_kinds(spark):
+    rows = [(1, 0, 0, ["t", "h", "t", "h"], ["f"] * 4), (1, 0, 1, ["t"], ["f"]), (1, 0, 2, ["h", "t"], ["f", "f"]), (1, 0, 3, None, None), (1, 0, 4, [], []), (1, 0, 5, ["t", "h"], ["f", "g"]), (1, 0, 6, ["t", None, "t", "h"], ["f"] * 4), (1, 0, 7, ["t", "h", "x"], ["f"]), (1, 0, 8, ["a", "a", "b"], ["f"] * 3)]
+    words = spark.createDataFrame(rows, "doc_id bigint, page_idx int, word_idx int, cids array<string>, fonts array<string>").coalesce(1)
+    swaps = spark.createDataFrame([("f", "t", "h"), ("f", "a", "a"), ("f", "a", "b")], "font string, cid1 string, cid2 string")
+    got = {r.word_idx: r.cids for r in regions.edit_font_words(words, swaps=swaps).collect()}
+    assert got == {0: ["h", "t", "h", "t"], 1: ["t"], 2: ["h", "t"], 3: None, 4: [], 5: ["t", "h"], 6: ["t", None, "h", "t"], 7: ["t", "h", "x"], 8: ["a", "b", "a"]}
