@@ -46,7 +46,7 @@ def known_edits(edits: DataFrame, commands: dict[str, tuple[int, int | None]]) -
 
 
 def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
-    """Words after edits (doc_id, seq, cmd, args), in order within a document. Only pages that an edit names are folded, and all of a document of which a page is deleted; all others pass by untouched.
+    """Words after edits (doc_id, seq, cmd, args), in order within a document. Only words that an edit names are folded, and all of a document of which a page is deleted; all others pass by untouched.
     Edits of edges and regions don't concern words (see edited_edges, edited_regions); unknown commands and paths without a word are errors.
 
     Columns doc_id, page_idx, word_idx, text, orig_text, xmin, ymin, xmax, ymax. A cleared word keeps its row; new words come last; deletePage makes later pages one less.
@@ -54,9 +54,15 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
     columns = [*PAGE, "word_idx", "text", "orig_text", "xmin", "ymin", "xmax", "ymax"]
     slim = page_words.select(*PAGE, "word_idx", "text", F.lit(None).cast("string").alias("orig_text"), *[F.col(c).cast("double") for c in columns[5:]])
     own = known_edits(edits, WORD_COMMANDS).select("doc_id", "seq", "cmd", "args")
-    named = own.select("doc_id", "cmd", F.explode("args").alias("arg")).select("doc_id", "cmd", F.regexp_extract("arg", "^pa([0-9]+)([.]|$)", 1).alias("page")).where("page <> ''")
-    per_doc = named.groupBy("doc_id").agg(F.collect_set(F.col("page").cast("int")).alias("_pages"), F.bool_or(F.col("cmd") == "deletePage").alias("_whole"))
-    marked = slim.join(per_doc, "doc_id", "left").withColumn("_edited", F.coalesce(F.col("_whole") | F.array_contains("_pages", F.col("page_idx")), F.lit(False))).drop("_pages", "_whole")
+    path = "^pa([0-9]+)[.]wo([0-9]+)(?::([0-9]+))?$"
+    part = lambda k: F.regexp_extract("arg", path, k).try_cast("int")
+    named = own.select("doc_id", "cmd", F.explode("args").alias("arg")).where(F.col("arg").rlike(path) | (F.col("cmd") == "deletePage"))
+    at_ = F.struct(part(1).alias("page"), part(2).alias("low"), F.coalesce(part(3), part(2)).alias("high"))
+    per_doc = named.groupBy("doc_id").agg(F.collect_set(at_).alias("_paths"), F.bool_or(F.col("cmd") == "deletePage").alias("_whole"))
+    is_named = F.exists("_paths", lambda x: (x["page"] == F.col("page_idx")) & F.col("word_idx").between(x["low"], x["high"]))
+    # New words come behind the page's last one, which may be none that is folded.
+    numbered = slim.withColumn("_last", F.max("word_idx").over(Window.partitionBy(*PAGE)))
+    marked = numbered.join(per_doc, "doc_id", "left").withColumn("_edited", F.coalesce(F.col("_whole") | is_named, F.lit(False))).drop("_paths", "_whole")
 
     def fold(doc: object, own_words: list[dict] | None, todo: list[dict]) -> list[dict]:
         if not own_words:
@@ -77,8 +83,8 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
             r["text"] = text
 
         def add(page: int, text: str, x0: float, y0: float, x1: float, y1: float) -> None:
-            k = max(w for p, w in rows if p == page) + 1
-            rows[page, k] = {"doc_id": doc, "page_idx": page, "word_idx": k, "text": text, "orig_text": None, "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
+            k = max(max(w, r["_last"]) for (p, w), r in rows.items() if p == page) + 1
+            rows[page, k] = {"_last": k, "doc_id": doc, "page_idx": page, "word_idx": k, "text": text, "orig_text": None, "xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1}
 
         for cmd, args in ((t["cmd"], t["args"]) for t in todo):
             if cmd in ("clearWord", "clearWords"):
@@ -134,10 +140,10 @@ def apply_edits(page_words: DataFrame, edits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, number[k]) for v, k in zip(whole, kinds)], columns)
 
     # A document's words and edits travel as one row each.
-    texts = marked.where("_edited").groupBy("doc_id").agg(F.collect_list(F.struct(*columns[1:])).alias("_words"))
+    texts = marked.where("_edited").groupBy("doc_id").agg(F.collect_list(F.struct(*columns[1:], "_last")).alias("_words"))
     todo = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "cmd", "args"))).alias("_todo"))
     changed = texts.join(todo, "doc_id", "full").select("doc_id", "_words", "_todo").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
-    return marked.where("not _edited").drop("_edited").unionByName(changed)
+    return marked.where("not _edited").select(*columns).unionByName(changed)
 
 
 def edited_edges(edges: DataFrame, edits: DataFrame) -> DataFrame:

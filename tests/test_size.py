@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import plans
-from pagewright.operators import layout, regions, tables
+from pagewright.operators import layout, records, regions, tables
 from pagewright.sources import pdf
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,13 @@ def test_swaps_in_words_of_several_kinds(spark):
     swaps = spark.createDataFrame([("f", "t", "h"), ("f", "a", "a"), ("f", "a", "b")], "font string, cid1 string, cid2 string")
     got = {r.word_idx: r.cids for r in regions.edit_font_words(words, swaps=swaps).collect()}
     assert got == {0: ["h", "t", "h", "t"], 1: ["t"], 2: ["h", "t"], 3: None, 4: [], 5: ["t", "h"], 6: ["t", None, "h", "t"], 7: ["t", "h", "x"], 8: ["a", "b", "a"]}
+
+
+def test_only_named_words_are_folded(spark):
+    rows = [(1, p, k, f"w{k}", k * 10, 10, k * 10 + 9, 20) for p in (0, 1) for k in range(30)]
+    words = spark.createDataFrame(rows, "doc_id bigint, page_idx int, word_idx int, text string, xmin int, ymin int, xmax int, ymax int")
+    edits = spark.createDataFrame([(1, 0, "newWord", ["new", "pa0.wo3", "pa0.wo4"]), (1, 1, "clearWords", ["pa1.wo5:7"]), (1, 2, "newAdjWord", ["pa0.wo9", "pa0.wo3", "left"])], "doc_id bigint, seq int, cmd string, args array<string>")
+    found = records.apply_edits(words, edits)
+    got = {(r.page_idx, r.word_idx): r.text for r in found.collect()}
+    assert len(got) == 62 and got[0, 30] == "new" and got[0, 31] == "pa0.wo9" and [k for k, t in got.items() if t == ""] == [(1, 5), (1, 6), (1, 7)]
+    assert "wo([0-9]+)" in found._jdf.queryExecution().executedPlan().toString()
